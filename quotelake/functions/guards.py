@@ -29,4 +29,4 @@ def floor_ts(ts: Column, seconds: int) -> Column:
 
 def add_seconds(ts: Column, seconds: int | Column) -> Column:
     sec = F.lit(int(seconds)) if isinstance(seconds, int) else seconds
-    return F.timestamp_micros(micros(ts) + sec * F.lit(1_000_000))
+    return F.timestamp_micros(micros(ts) + sec.cast("long") * F.lit(1_000_000))

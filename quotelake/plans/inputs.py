@@ -27,7 +27,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of five assets from the orders table."""
-    price = 100 + F.col("o_totalprice") / 20000
+    price = 100 + F.col("o_totalprice") / 25000
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("asset"), F.col("o_orderdate").cast("timestamp").alias("ts"))
@@ -57,8 +57,8 @@ QUOTES_SQL = """quotes AS (
   FROM events)"""
 BARS_SQL = """bars AS (
   SELECT o_orderpriority AS asset, CAST(o_orderdate AS TIMESTAMP) AS ts,
-         arg_min(100 + o_totalprice / 20000, o_orderkey) AS open, max(100 + o_totalprice / 20000) AS high,
-         min(100 + o_totalprice / 20000) AS low, arg_max(100 + o_totalprice / 20000, o_orderkey) AS close,
+         arg_min(100 + o_totalprice / 25000, o_orderkey) AS open, max(100 + o_totalprice / 25000) AS high,
+         min(100 + o_totalprice / 25000) AS low, arg_max(100 + o_totalprice / 25000, o_orderkey) AS close,
          CAST(count(*) AS DOUBLE) AS volume
   FROM orders GROUP BY 1, 2)"""
 EXTERNAL_SQL = """external AS (

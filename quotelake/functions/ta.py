@@ -67,13 +67,13 @@ class Feature:
         other = of(other)
 
         def make(s: Stage) -> Column:
-            c = op(s.value(self), s.value(other))
+            c = op(_value(s, self), _value(s, other))
             return finite(c) if guard else c
 
         return Feature(make, max(self.lookback, other.lookback), self.windowed or other.windowed)
 
     def _map(self, op) -> Feature:
-        return Feature(lambda s: op(s.value(self)), self.lookback, self.windowed)
+        return Feature(lambda s: op(_value(s, self)), self.lookback, self.windowed)
 
     def __add__(self, o):
         return self._with(o, lambda a, b: a + b)
@@ -135,6 +135,10 @@ class Feature:
         return self._map(lambda c: ~c)
 
 
+def _value(s: Stage | None, f: Feature) -> Column:
+    return s.value(f) if f.windowed else f.make(s)
+
+
 def of(x) -> Feature:
     if isinstance(x, Feature):
         return x
@@ -297,8 +301,8 @@ def where(cond: Feature, a, b) -> Feature:
     a, b = of(a), of(b)
 
     def make(s: Stage) -> Column:
-        k = s.value(cond)
-        return F.when(k, s.value(a)).when(~k, s.value(b))
+        k = _value(s, cond)
+        return F.when(k, _value(s, a)).when(~k, _value(s, b))
 
     return Feature(make, max(cond.lookback, a.lookback, b.lookback), cond.windowed or a.windowed or b.windowed)
 
@@ -327,7 +331,9 @@ def evaluate(
     order: list[str],
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
-    """Add the features as columns, block by block."""
+    """Add the features as columns, block by block; row-wise features need no blocks."""
+    if not any(f.windowed for f in features.values()):
+        return df.withColumns({n: f.make(None) for n, f in features.items()})
     b = blocks.split(df, keys, order, warmup(*features.values()), block_rows=block_rows)
     s = Stage(b)
     made = {n: s.value(f) for n, f in features.items()}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -41,3 +42,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    Used where several later steps read the same rows. The files survive lost executors,
+    and as Parquet they keep column pruning and size statistics, which a cached or
+    checkpointed frame would not.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

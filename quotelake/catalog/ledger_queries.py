@@ -11,6 +11,7 @@ from ..operators import ledger as lg
 from ..operators import metrics as mt
 from ..plans import backtest
 from ..plans.inputs import bars, quotes, report
+from ..session import stage
 from .common import with_views
 
 KEYS = ["asset"]
@@ -21,7 +22,7 @@ PARAMS = {"holding_cost_bps": 1.0, "quantity_step": 0.001, "max_holding": 20, "s
 
 def trend_bars(s, d):
     entry = signals.entry("trend", 5, 20)
-    return ta.evaluate(bars(s, d), {"entry": entry}, KEYS, ["ts"])
+    return ta.evaluate(backtest.positioned(bars(s, d), KEYS), {"entry": entry}, KEYS, ["ts"])
 
 
 def scenarios(b, names: dict[str, dict]):
@@ -52,7 +53,7 @@ def rows_sql(scen: str = "(VALUES ('base', 1e0, 1e0)) z(scenario, m, dir)", dela
     lag(close) OVER w AS seen, {pay('open', 'dir')} AS buy, {pay('open', '-dir')} AS sell, {pay('close', '-dir')} AS sell_close,
     coalesce(lag(close) OVER w * 1e0 / 1e4 * m * ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 86400e6), 0) AS cs
     FROM {source}, {scen} WINDOW w AS (PARTITION BY asset, scenario ORDER BY ts)),
-  r AS (SELECT *, sum(cs) OVER (PARTITION BY asset, scenario ORDER BY rn) AS carry FROM lagged WHERE {segment}),
+  r AS MATERIALIZED (SELECT *, sum(cs) OVER (PARTITION BY asset, scenario ORDER BY rn) AS carry FROM lagged WHERE {segment}),
   fin AS (SELECT asset, scenario, max(rn) AS last FROM r GROUP BY 1, 2)"""
 
 
@@ -63,11 +64,11 @@ def exits_sql(stop: str = "0.1e0", take: str = "0.2e0", hold: str = "20") -> str
     WHERE i.en AND NOT i.ex AND (j.ex OR j.rn = i.rn + {hold} OR {beyond}) GROUP BY 1, 2, 3),
   cand AS (SELECT i.asset, i.scenario, i.m, i.dir, i.rn, i.ts, i.buy AS ep, i.carry AS ec, coalesce(h.x, fin.last) AS xrow, h.x IS NULL AS atc
     FROM r i JOIN fin USING (asset, scenario) LEFT JOIN hits h USING (asset, scenario, rn) WHERE i.en AND NOT i.ex),
-  c AS (SELECT cand.*, r.ts AS xts, CASE WHEN atc THEN r.sell_close ELSE r.sell END AS xp, r.carry - ec AS uc FROM cand JOIN r ON r.asset = cand.asset AND r.scenario = cand.scenario AND r.rn = xrow)"""
+  c AS MATERIALIZED (SELECT cand.*, r.ts AS xts, CASE WHEN atc THEN r.sell_close ELSE r.sell END AS xp, r.carry - ec AS uc FROM cand JOIN r ON r.asset = cand.asset AND r.scenario = cand.scenario AND r.rn = xrow)"""
 
 
 def walk_sql(fixed: str = "1e0", rate: str = "1e-3", step: str = "1e-3", alloc: str = "0.9e0", least: str = "5e0", capital: str = "1e4") -> str:
-    return f"""hop AS (SELECT o.asset, o.scenario, o.at, min(c.rn) AS nx FROM (SELECT DISTINCT asset, scenario, xrow AS at FROM c UNION SELECT asset, scenario, rn FROM c UNION SELECT asset, scenario, -1 FROM fin) o
+    return f"""hop AS MATERIALIZED (SELECT o.asset, o.scenario, o.at, min(c.rn) AS nx FROM (SELECT DISTINCT asset, scenario, xrow AS at FROM c UNION SELECT asset, scenario, rn FROM c UNION SELECT asset, scenario, -1 FROM fin) o
       LEFT JOIN c ON c.asset = o.asset AND c.scenario = o.scenario AND c.rn > o.at GROUP BY 1, 2, 3),
   walk AS (SELECT asset, scenario, CAST(-1 AS BIGINT) AS at, {capital} AS cash, 'start' AS kind, CAST(-1 AS BIGINT) AS rn, 0e0 AS qty, 0e0 AS pnl, 0e0 AS opened FROM fin
     UNION ALL SELECT asset, scenario, CASE WHEN q > 0 AND q * ep >= {least} THEN xrow ELSE rn END,
@@ -139,7 +140,7 @@ def execution_price(s, d):
                               lg.execution_price(b, p, side(-1), "close").alias("sell")))
     parts.append(observed.select("asset", "ts", F.lit("observed").alias("model"), lg.execution_price(observed, {"cost_multiplier": 2.0}, side(1)).alias("buy"),
                                  lg.execution_price(observed, {"cost_multiplier": 2.0}, side(-1), "close").alias("sell")))
-    return report(reduce(lambda a, c: a.unionByName(c), parts))
+    return report(reduce(lambda a, c: a.unionByName(c), parts), 9)
 
 
 def next_open_fill(s, d):
@@ -148,7 +149,7 @@ def next_open_fill(s, d):
 
 
 def bar_exit_scan(s, d):
-    rows = lg.execution_rows(trend_bars(s, d), KEYS, PARAMS)
+    rows = stage(lg.execution_rows(trend_bars(s, d), KEYS, PARAMS))
     return report(lg.exit_scan(rows, KEYS, PARAMS, 20).select("asset", "rn", "exit_row", "exit_at_close"))
 
 
@@ -187,7 +188,7 @@ PASSIVE = {**PARAMS, "stop_loss": 1.0, "take_profit": 1e100, "max_holding": 1_00
 
 
 def passive_run(s, d, **kw):
-    return backtest.run(lg.buy_and_hold(bars(s, d)), KEYS, PASSIVE, bucket=1 << 20, **kw)
+    return backtest.run(lg.buy_and_hold(backtest.positioned(bars(s, d), KEYS)), KEYS, PASSIVE, bucket=1 << 20, **kw)
 
 
 def buy_and_hold(s, d):
@@ -203,7 +204,7 @@ def baseline_delta(s, d):
     """A filtered trend rule against the same rule without filters."""
     plain = signals.entry("trend", 5, 20)
     strict = signals.entry("trend", 5, 20, regime_name="uptrend", confirmation="strong_close")
-    b = ta.evaluate(bars(s, d), {"plain": plain, "strict": strict}, KEYS, ["ts"])
+    b = ta.evaluate(backtest.positioned(bars(s, d), KEYS), {"plain": plain, "strict": strict}, KEYS, ["ts"])
     both = b.withColumn("_s", F.explode(F.array(
         F.struct(F.lit("baseline").alias("scenario"), F.col("plain").alias("entry")),
         F.struct(F.lit("filtered").alias("scenario"), F.col("strict").alias("entry"))))).select(
@@ -215,16 +216,16 @@ def baseline_delta(s, d):
 BASELINE_SIGNAL = """sig0 AS (SELECT *, row_number() OVER w - 1 AS rn, coalesce(CASE WHEN count(*) OVER g = 20 THEN avg(close) OVER f > avg(close) OVER g END, FALSE) AS plain,
     coalesce(CASE WHEN count(*) OVER g = 20 THEN close > avg(close) OVER g END, FALSE) AND coalesce((close - low) / nullif(high - low, 0) >= 0.75e0, FALSE) AS strict
   FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts), f AS (PARTITION BY asset ORDER BY ts ROWS 4 PRECEDING), g AS (PARTITION BY asset ORDER BY ts ROWS 19 PRECEDING)),
-  sig AS (SELECT sig0.*, CASE WHEN scenario = 'baseline' THEN plain ELSE plain AND strict END AS entry, scenario AS sc FROM sig0, (VALUES ('baseline'), ('filtered')) z(scenario))"""
+  sig AS (SELECT sig0.*, CASE WHEN scenario = 'baseline' THEN plain ELSE plain AND strict END AS entry, scenario FROM sig0, (VALUES ('baseline'), ('filtered')) z(scenario))"""
 
 
 QUERIES = {
     "execution_price": (
         execution_price,
         with_views("bars", select="\nUNION ALL ".join(
-            [f"SELECT asset, ts, 'side{q}' AS model, round(open * (1 + ({b} + 5e0) / 1e4 * 2), 6) AS buy, round(close * (1 - ({a} + 5e0) / 1e4 * 2), 6) AS sell FROM bars"
+            [f"SELECT asset, ts, 'side{q}' AS model, round(open * (1 + ({b} + 5e0) / 1e4 * 2), 9) AS buy, round(close * (1 - ({a} + 5e0) / 1e4 * 2), 9) AS sell FROM bars"
              for q, b, a in ((0, 2, 2), (1, 4, 0), (2, 0, 4))]
-            + ["SELECT asset, ts, 'observed', round(open + (2e-2 * 2 + open * 5e0 / 1e4 * 2), 6), round(close - (3e-2 * 2 + close * 5e0 / 1e4 * 2), 6) FROM bars"])),
+            + ["SELECT asset, ts, 'observed', round(open + (2e-2 * 2 + open * 5e0 / 1e4 * 2), 9), round(close - (3e-2 * 2 + close * 5e0 / 1e4 * 2), 9) FROM bars"])),
     ),
     "next_open_fill": (
         next_open_fill,
@@ -258,7 +259,7 @@ QUERIES = {
         buy_and_hold,
         with_views("bars", "sig AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS rn, TRUE AS entry FROM bars)",
                    rows_sql(exit_expr="FALSE"),
-                   """c AS (SELECT i.asset, i.scenario, i.m, i.dir, i.rn, i.ts, i.buy AS ep, i.carry AS ec, f.last AS xrow, TRUE AS atc, x.ts AS xts, x.sell_close AS xp, x.carry - i.carry AS uc
+                   """c AS MATERIALIZED (SELECT i.asset, i.scenario, i.m, i.dir, i.rn, i.ts, i.buy AS ep, i.carry AS ec, f.last AS xrow, TRUE AS atc, x.ts AS xts, x.sell_close AS xp, x.carry - i.carry AS uc
                      FROM r i JOIN fin f USING (asset, scenario) JOIN r x ON x.asset = i.asset AND x.scenario = i.scenario AND x.rn = f.last WHERE i.rn = 1)""",
                    walk_sql(), MARKS, METRICS, select=f"SELECT {METRIC_SELECT} FROM metrics"),
     ),
@@ -268,9 +269,7 @@ QUERIES = {
     ),
     "baseline_delta": (
         baseline_delta,
-        with_views("bars", BASELINE_SIGNAL, rows_sql("(VALUES ('baseline', 1e0, 1e0), ('filtered', 1e0, 1e0)) z(scen, m, dir)").replace(
-            "lag(entry", "lag(entry").replace("FROM sig, (VALUES", "FROM (SELECT * EXCLUDE (sc, scenario), sc AS scenario FROM sig) sig JOIN (VALUES").replace(
-                "z(scen, m, dir) WINDOW", "z(scen, m, dir) ON scen = scenario WINDOW"),
+        with_views("bars", BASELINE_SIGNAL, rows_sql("(VALUES (1e0, 1e0)) z(m, dir)"),
                    exits_sql(), walk_sql(), MARKS, METRICS,
                    select="""SELECT a.asset, a.scenario, round(a.net_return - b.net_return, 6) AS net_return_difference, round(a.sharpe - b.sharpe, 6) AS sharpe_difference
                      FROM metrics a JOIN metrics b ON a.asset = b.asset AND b.scenario = 'baseline' WHERE a.scenario <> 'baseline'"""),

@@ -18,28 +18,34 @@ from . import blocks
 def asof(
     left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, fields: list[str],
     *, forward: bool = False, strict: bool = False, tolerance_seconds: int | None = None,
-    right_order: str | None = None, prefix: str = "", block_rows: int = blocks.BLOCK_ROWS,
+    right_order: str | None = None, prefix: str = "", positions: bool = False, block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Each left row with the nearest right row at or before it (``forward``: at or after).
 
     The right row travels whole, so a NULL field stays NULL and is not filled from an older
     row. ``strict`` hides a right row at the very same time. ``right_order`` ranks right
-    rows of one time (the latest wins, ``forward``: the earliest).
+    rows of one time (the latest wins, ``forward``: the earliest). ``positions`` says that
+    the two columns are row positions instead of times.
     """
+    axis = (lambda c: F.col(c).cast("long")) if positions else (lambda c: micros(F.col(c)))
     sign = -1 if forward else 1
     rank = F.col(right_order) if right_order else F.lit(0)
     lname = "_left"
     payload = F.struct(*[F.col(c) for c in left.columns])
-    found = F.struct(micros(F.col(right_on)).alias("_at"), *[F.col(c).alias(f"f_{c}") for c in fields])
+    found = F.struct(axis(right_on).alias("_at"), *[F.col(c).alias(f"f_{c}") for c in fields])
     no_left = F.lit(None).cast(left.select(payload.alias("x")).schema["x"].dataType)
     no_right = F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType)
     one = left.filter(F.col(left_on).isNotNull()).select(
-        *keys, (sign * micros(F.col(left_on))).alias("_t"), F.lit(0 if strict else 2).alias("_side"), F.lit(0).cast("long").alias("_q"),
+        *keys, (sign * axis(left_on)).alias("_t"), F.lit(0 if strict else 2).alias("_side"), F.lit(0).cast("long").alias("_q"),
         payload.alias(lname), no_right.alias("_right"))
     two = right.filter(F.col(right_on).isNotNull()).select(
-        *keys, (sign * micros(F.col(right_on))).alias("_t"), F.lit(1).alias("_side"), (sign * rank).cast("long").alias("_q"),
+        *keys, (sign * axis(right_on)).alias("_t"), F.lit(1).alias("_side"), (sign * rank).cast("long").alias("_q"),
         no_left.alias(lname), found.alias("_right"))
-    b = blocks.split(one.unionByName(two), keys, ["_t", "_side", "_q"], axis=F.col("_t"), block_rows=block_rows)
+    line, order = one.unionByName(two), ["_t", "_side", "_q"]
+    if positions:
+        b = blocks.split_dense(line, keys, order, F.col("_t"), block_rows=block_rows)
+    else:
+        b = blocks.split(line, keys, order, axis=F.col("_t"), block_rows=block_rows)
     when = F.when(F.col("_right").isNotNull(), F.struct("_t", "_q"))
     rows = blocks.carried(b, {"_carry": F.max_by("_right", when)}, {"_carry": "last"})
     here = F.last("_right", ignorenulls=True).over(b.window().rowsBetween(Window.unboundedPreceding, 0))

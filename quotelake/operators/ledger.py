@@ -62,9 +62,9 @@ def execution_price(df: DataFrame, params: dict, side: Column, at: str = "open")
 
 def execution_rows(bars: DataFrame, keys: list[str], params: dict, delay: int = 0,
                    block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Bars with position, the decision each one acts on, and running carry.
+    """Bars with the decision each one acts on, its fills, and running carry.
 
-    Input columns: ts, open, close, entry, and optionally exit (default: not entry),
+    Input columns: ts, rn (position), open, close, entry, and optionally exit (default: not entry),
     decision (default: every bar) and signal_price (default: close). A decision at bar t is
     acted on at the open of t + 1 + delay; stops look at the previous bar's signal price.
     """
@@ -80,21 +80,21 @@ def execution_rows(bars: DataFrame, keys: list[str], params: dict, delay: int =
     p = lambda n: param(bars, params, n)
     days = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 86_400e6
     step = F.lag("close").over(w) * p("holding_cost_bps") / 10000 * p("cost_multiplier") * days
-    rows = b.own(b.df.withColumns({
+    own = F.col(blocks.OWN)
+    shifted = b.df.withColumns({
         "entry_now": F.coalesce(F.lag("entry", 1 + delay).over(w), no),
         "exit_now": F.coalesce(F.lag("exit", 1 + delay).over(w), no),
         "acts": F.coalesce(F.lag("decision", 1 + delay).over(w), no),
-        "decided": F.coalesce(F.lag("decision").over(w), no).cast("long"),
+        "decided": F.when(own & F.lag("decision").over(w), 1).otherwise(0).cast("long"),
         "seen_price": F.lag("signal_price").over(w),
-        "_carry_step": F.coalesce(step, F.lit(0.0)),
-    }))
+        "_carry_step": F.when(own, F.coalesce(step, F.lit(0.0))).otherwise(F.lit(0.0)),
+    })
     # Running totals cross blocks through the per-block sums.
-    b = blocks.split(rows, keys, ["ts"], block_rows=block_rows)
-    rows = blocks.carried(b, {"_d0": F.sum("decided"), "_c0": F.sum("_carry_step")}, {"_d0": "sum", "_c0": "sum"})
-    run = b.window().rowsBetween(Window.unboundedPreceding, 0)
+    s = blocks.Blocked(shifted, b.keys, b.order)
+    rows = blocks.carried(s, {"_d0": F.sum("decided"), "_c0": F.sum("_carry_step")}, {"_d0": "sum", "_c0": "sum"})
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
     side = p("direction")
     return b.own(rows.withColumns({
-        "rn": F.first(blocks.BASE).over(run) + F.row_number().over(b.window()) - 1,
         "age": F.coalesce("_d0", F.lit(0)) + F.sum("decided").over(run),
         "carry": F.coalesce("_c0", F.lit(0.0)) + F.sum("_carry_step").over(run),
         "buy": execution_price(bars, params, side),
@@ -135,8 +135,8 @@ def exit_scan(rows: DataFrame, keys: list[str], params: dict, max_holding: int,
     ).withColumn("_age", F.coalesce("at", F.col("age") + max_holding))
     by_age = by_age.join(marks.select(*keys, "_age", "_row"), [*keys, "_age"], "left").drop("_age", "at")
     by_signal = asof.asof(
-        by_age, rows.filter("acts AND exit_now").select(*keys, "ts", "rn"), keys, "ts", "ts", ["rn"],
-        forward=True, strict=True, prefix="signal_",
+        by_age, rows.filter("acts AND exit_now").select(*keys, "rn"), keys, "rn", "rn", ["rn"],
+        forward=True, strict=True, positions=True, prefix="signal_",
     )
     last = rows.groupBy(*keys).agg(F.max("rn").alias("_end"))
     ended = by_signal.join(last, keys).withColumn("_exit", F.least("_row", "signal_rn"))
@@ -222,7 +222,7 @@ def equity_marks(rows: DataFrame, ledger: DataFrame, keys: list[str], params: di
     bars = rows.select(*keys, "rn", "ts", "close", "carry", "sell_close", *cols, param(rows, params, "capital").cast("double").alias("capital"),
                        (param(rows, params, "commission_rate") * param(rows, params, "cost_multiplier")).alias("_rate"),
                        (param(rows, params, "fixed_commission") * param(rows, params, "cost_multiplier")).alias("_fixed"))
-    m = asof.asof(bars, trades, keys, "ts", "entry_ts", fields, prefix="t_")
+    m = asof.asof(bars, trades, keys, "rn", "entry_row", fields, positions=True, prefix="t_")
     before_exit = F.col("rn") < F.col("t_exit_row")
     closing = F.col("t_exit_at_close") & (F.col("rn") == F.col("t_exit_row"))
     held = F.coalesce(before_exit | closing, F.lit(False))

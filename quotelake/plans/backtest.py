@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import ledger as lg
 from ..operators import metrics
 from ..session import stage
@@ -26,9 +27,14 @@ class Run:
         return metrics.returns(self.marks, self.keys)
 
 
+def positioned(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """Bars with their position, written once; every later window is cut by it."""
+    return stage(blocks.with_row_number(bars, keys, ["ts"]))
+
+
 def run(bars: DataFrame, keys: list[str], params: dict | None = None, delay: int = 0, segments: DataFrame | None = None,
-        bucket: int = 16, can_ruin: bool = True) -> Run:
-    """Backtest every run of the table at once.
+        bucket: int = 16) -> Run:
+    """Backtest every run of the table at once; ``bars`` come from :func:`positioned`.
 
     ``segments`` (keys subset, segment, seg_start, seg_end) restricts and labels rows after
     the signals were placed, so earlier rows still warm the indicators; a bar may belong to
@@ -38,15 +44,13 @@ def run(bars: DataFrame, keys: list[str], params: dict | None = None, delay: int
     rows = lg.execution_rows(bars, keys, params, delay)
     if segments is not None:
         on = [c for c in segments.columns if c not in ("segment", "seg_start", "seg_end")]
-        cut = F.broadcast(segments) if not on else segments
-        rows = (rows.join(cut, on) if on else rows.crossJoin(cut)).filter(
+        rows = (rows.join(segments, on) if on else rows.crossJoin(F.broadcast(segments))).filter(
             (F.col("ts") >= F.col("seg_start")) & (F.col("ts") < F.col("seg_end"))
         ).drop("seg_start", "seg_end")
         keys = [*keys, "segment"]
     rows = stage(rows)
-    cands = lg.priced_candidates(rows, keys, params, int(params["max_holding"]), bucket)
-    book = stage(lg.trade_ledger(cands, keys))
-    marks = lg.equity_marks(rows, book, keys, params)
-    if can_ruin:
+    book = stage(lg.trade_ledger(lg.priced_candidates(rows, keys, params, int(params["max_holding"]), bucket), keys))
+    marks = stage(lg.equity_marks(rows, book, keys, params))
+    if not marks.filter("ruined").isEmpty():
         book = lg.settle_ruin(book, marks, rows, keys)
     return Run(rows, book, marks, keys)

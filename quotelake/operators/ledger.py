@@ -114,7 +114,7 @@ def exit_scan(rows: DataFrame, keys: list[str], params: dict, max_holding: int,
 
     It ends at the open of the first later bar that acts on an exit signal, whose previous
     signal price is beyond the stop or target, or at which ``max_holding`` decisions have
-    passed; else at the close of the last bar.
+    passed (a column of that name sets it per run); else at the close of the last bar.
     """
     e = candidates(rows) if entries is None else entries
     p = lambda n: param(rows, params, n)
@@ -122,17 +122,18 @@ def exit_scan(rows: DataFrame, keys: list[str], params: dict, max_holding: int,
     up, down = 1 + p("take_profit"), 1 - p("stop_loss")
     e = e.select(
         *keys, "rn", "ts", "age", F.col("buy").alias("entry_price"), F.col("carry").alias("entry_carry"),
+        (F.col("max_holding") if "max_holding" in rows.columns else F.lit(max_holding)).cast("long").alias("hold"),
         F.when(side > 0, F.col("buy") * down).otherwise(F.col("buy") * (1 - p("take_profit"))).alias("lower"),
         F.when(side > 0, F.col("buy") * up).otherwise(F.col("buy") * (1 + p("stop_loss"))).alias("upper"),
     )
     # Decisions are numbered, so the search for a stop and the holding limit are bounded.
     marks = rows.filter("decided = 1").select(*keys, F.col("age").alias("_age"), F.col("rn").alias("_row"), F.col("seen_price"))
-    probe = e.select(*keys, F.col("age").alias("from"), (F.col("age") + max_holding).alias("to"), "lower", "upper").distinct()
+    probe = e.select(*keys, F.col("age").alias("from"), (F.col("age") + F.col("hold")).alias("to"), "lower", "upper").distinct()
     touch = asof.first_touch(probe, marks.withColumn("rn", F.col("_age")), keys, low="seen_price", high="seen_price",
                              bucket=bucket, span=max_holding)
     by_age = e.join(
         touch.select(*keys, F.col("from").alias("age"), "lower", "upper", "at"), [*keys, "age", "lower", "upper"], "left"
-    ).withColumn("_age", F.coalesce("at", F.col("age") + max_holding))
+    ).withColumn("_age", F.coalesce("at", F.col("age") + F.col("hold")))
     by_age = by_age.join(marks.select(*keys, "_age", "_row"), [*keys, "_age"], "left").drop("_age", "at")
     by_signal = asof.asof(
         by_age, rows.filter("acts AND exit_now").select(*keys, "rn"), keys, "rn", "rn", ["rn"],

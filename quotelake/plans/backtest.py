@@ -36,17 +36,17 @@ def run(bars: DataFrame, keys: list[str], params: dict | None = None, delay: int
         bucket: int = 16) -> Run:
     """Backtest every run of the table at once; ``bars`` come from :func:`positioned`.
 
-    ``segments`` (keys subset, segment, seg_start, seg_end) restricts and labels rows after
-    the signals were placed, so earlier rows still warm the indicators; a bar may belong to
+    ``segments`` (keys subset, segment, seg_from, seg_to) restricts rows to positions
+    [seg_from, seg_to) and labels them, after the signals were placed, so earlier rows still warm the indicators; a bar may belong to
     several segments. Each segment starts in cash. ``max_holding`` is read from ``params``.
     """
     params = {**lg.DEFAULTS, **(params or {})}
     rows = lg.execution_rows(bars, keys, params, delay)
     if segments is not None:
-        on = [c for c in segments.columns if c not in ("segment", "seg_start", "seg_end")]
+        on = [c for c in segments.columns if c not in ("segment", "seg_from", "seg_to")]
         rows = (rows.join(segments, on) if on else rows.crossJoin(F.broadcast(segments))).filter(
-            (F.col("ts") >= F.col("seg_start")) & (F.col("ts") < F.col("seg_end"))
-        ).drop("seg_start", "seg_end")
+            (F.col("rn") >= F.col("seg_from")) & (F.col("rn") < F.col("seg_to"))
+        ).drop("seg_from", "seg_to")
         keys = [*keys, "segment"]
     rows = stage(rows)
     book = stage(lg.trade_ledger(lg.priced_candidates(rows, keys, params, int(params["max_holding"]), bucket), keys))

@@ -150,16 +150,17 @@ def partition_write_plan(s, d):
     return store.write_plan(q, existing, "2024-01-25 12:00:00").withColumn("day", F.col("day").cast("string"))
 
 
-def _encode(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "sequence"])
-    ms = (pdf.ts - pdf.hour).dt.total_seconds().mul(1000).astype("int64")
-    return pd.DataFrame({"asset": [pdf.asset.iloc[0]], "hour": [pdf.hour.iloc[0]], "scale": [100000.0], "content": [hour_files.encode_hour(ms, pdf.bid, pdf.ask, 100000.0)]})
+def _encode(batches):
+    for pdf in batches:
+        packed = [hour_files.encode_hour([r["ms"] for r in rows], [r["bid"] for r in rows], [r["ask"] for r in rows], 100000.0) for rows in pdf.records]
+        yield pd.DataFrame({"asset": pdf.asset, "hour": pdf.hour, "scale": 100000.0, "content": packed})
 
 
 def hour_file_ingest(s, d):
     """Quotes packed into hourly files, as they would land, and decoded again."""
-    q = quotes(s, d).withColumn("hour", floor_ts(F.col("ts"), 3600))
-    files = q.groupBy("asset", "hour").applyInPandas(_encode, "asset STRING, hour TIMESTAMP, scale DOUBLE, content BINARY")
+    q = quotes(s, d).withColumn("hour", floor_ts(F.col("ts"), 3600)).withColumn("ms", F.floor((F.unix_micros("ts") - F.unix_micros("hour")) / 1000))
+    hours = q.groupBy("asset", "hour").agg(F.array_sort(F.collect_list(F.struct("ms", "sequence", "bid", "ask"))).alias("records"))
+    files = hours.mapInPandas(_encode, "asset STRING, hour TIMESTAMP, scale DOUBLE, content BINARY")
     return report(hour_files.decode_hours(files).select("asset", "ts", "sequence", "bid", "ask"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "quality_queries", "time_queries", "rule_queries", "ledger_queries", "evidence_queries", "registry_queries", "quote_queries",
+    "quality_queries", "time_queries", "rule_queries", "ledger_queries", "evidence_queries", "registry_queries", "quote_queries", "stream_queries",
 )
 
 

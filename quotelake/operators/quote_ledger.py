@@ -84,7 +84,9 @@ def place_decisions(quotes: DataFrame, decided: DataFrame, seconds: int) -> Data
 
 def quote_rows(quotes: DataFrame, keys: list[str], t: Terms) -> DataFrame:
     """Quotes with position, stressed sides, fills of both directions and running carry."""
-    q = stressed_quotes(blocks.with_row_number(quotes, keys, ["ts", "sequence"]), t.cost_multiplier)
+    if blocks.POSITION not in quotes.columns:
+        quotes = stage(blocks.with_row_number(quotes, keys, ["ts", "sequence"]))
+    q = stressed_quotes(quotes, t.cost_multiplier)
     b = blocks.split(q, keys, ["ts", "sequence"], 1)
     w = b.window()
     days = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 86_400e6
@@ -322,5 +324,11 @@ def run_quotes(quotes: DataFrame, keys: list[str], t: Terms) -> tuple[DataFrame,
 
 
 def signal_quotes(quotes: DataFrame, seconds: int, side: str, rule) -> DataFrame:
-    """Quotes with the decisions of a rule on their closed bars; ``rule`` maps bars to bars with entry and exit."""
-    return place_decisions(quotes, rule(signal_bars(quotes, seconds, side)).select("asset", "ts", "entry", "exit"), seconds)
+    """Quotes with the decisions of a rule on their closed bars; ``rule`` maps bars to bars with entry and exit.
+
+    Quotes are written once with their position, bars and decisions once each: all later
+    steps read those.
+    """
+    placed = stage(blocks.with_row_number(quotes, ["asset"], ["ts", "sequence"]))
+    decided = stage(rule(stage(signal_bars(placed, seconds, side))).select("asset", "ts", "entry", "exit"))
+    return stage(place_decisions(placed, decided, seconds))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import normal
 from ..functions.sampling import draw
+from ..session import stage
 from . import blocks
 from .metrics import compound
 
@@ -113,7 +114,7 @@ def block_bootstrap(series: DataFrame, keys: list[str], samples: int = 1000, see
     ring = sized.unionByName(head).withColumn("_neg", -F.col("rn"))
     b = blocks.split_dense(ring, keys, ["_neg"], F.col("_neg"), widest)
     ahead = F.array(*[F.coalesce(F.lag("ret", j).over(b.window()), F.lit(0.0)) if j else F.col("ret") for j in range(widest)])
-    starts = b.own(b.df.withColumn("ahead", ahead)).filter(F.col("rn") < F.col("n")).select(*keys, F.col("rn").alias("start"), "ahead")
+    starts = b.own(b.df.withColumn("ahead", ahead)).filter(F.col("rn") < F.col("n")).select(*keys, "n", F.col("rn").alias("start"), "ahead")
 
     zero = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("hi"), F.lit(1.0).alias("lo"), F.lit(0.0).alias("dd"))
 
@@ -122,10 +123,14 @@ def block_bootstrap(series: DataFrame, keys: list[str], samples: int = 1000, see
         hi = F.greatest(a["hi"], p)
         return F.struct(p.alias("p"), hi.alias("hi"), F.least(a["lo"], p).alias("lo"), F.greatest(a["dd"], 1 - p / hi).alias("dd"))
 
-    sizes = F.explode(F.array(*[F.lit(s) for s in block_sizes]))
+    sizes = F.explode(F.array(*[F.lit(s).cast("long") for s in block_sizes]))
+    fold = lambda n: F.aggregate(F.slice("ahead", F.lit(1), n.cast("int")), zero, step)
+    # Once per start and block size, whole and cut to what the last block of a path may use.
+    rest = F.col("n") - (F.ceil(F.col("n") / F.col("block")) - 1) * F.col("block")
+    starts = starts.withColumn("block", sizes).select(*keys, "block", "start", fold(F.col("block")).alias("whole"), fold(rest).alias("part"))
     draws = _paths(g.filter(ok).withColumn("_b", sizes), keys, samples, F.col("_b"), seed)
-    hit = draws.join(starts, [*keys, "start"])
-    hit = hit.withColumn("s", F.aggregate(F.slice("ahead", F.lit(1), F.col("len").cast("int")), zero, step))
+    hit = draws.join(starts, [*keys, "block", "start"])
+    hit = hit.withColumn("s", F.when(F.col("len") == F.col("block"), F.col("whole")).otherwise(F.col("part")))
     per_path = [*keys, "block", "path"]
     w = Window.partitionBy(*per_path).orderBy("k")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
@@ -360,7 +365,7 @@ def feature_associations(pairs: DataFrame, keys: list[str], minimum: int = 60) -
     """Correlation of each feature with the forward return and means in its outer quartiles."""
     from .quantiles import exact_quantiles
 
-    p = pairs.filter(F.col("value").isNotNull() & F.col("fwd").isNotNull())
+    p = stage(pairs.filter(F.col("value").isNotNull() & F.col("fwd").isNotNull()))
     by = [*keys, "feature", "horizon"]
     q = exact_quantiles(p, by, "value", {"q1": 0.25, "q3": 0.75}, slots_per_unit=1000.0)
     base = p.groupBy(*by).agg(

@@ -180,7 +180,7 @@ def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 256)
         f = f.withColumns({"stop": none, "target": none, "trigger": F.col("signal_rn"), "reason": F.when(F.col("signal_rn").isNotNull(), F.lit("condition"))})
     f = _look(f, rows, keys, "trigger", {"trigger_ts": "ts", "trigger_exit": "exit"})
     wait = F.lit(t.latency_ms) + F.when((F.col("reason").isin("condition", "max_holding")) & F.col("trigger_exit"), t.signal_delay_ms).otherwise(0)
-    f = f.withColumn("_ready", F.timestamp_micros(micros(F.col("trigger_ts")) + wait.cast("long") * 1000))
+    f = stage(f.withColumn("_ready", F.timestamp_micros(micros(F.col("trigger_ts")) + wait.cast("long") * 1000)))
     # Rows without a trigger have no time to look from; they end with the segment.
     timed = _first_at(f.filter("trigger IS NOT NULL").select(*keys, "submit", "trigger", "_ready"), rows, keys, "_ready", "_x")
     timed = timed.withColumn("_x", later("_x", "trigger")).select(*keys, "submit", "_x")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import signals, ta
 from ..operators import blocks, resample
+from .backtest import positioned
 
 
 def trend_fills(quotes: DataFrame, seconds: int, fast: int, slow: int, friction: float = 6e-4) -> DataFrame:
     """Fills and mean price per asset: decided at a bar's close, bought at the next open."""
-    bars = resample.signal_bars(quotes, seconds, "mid")
+    bars = positioned(resample.signal_bars(quotes, seconds, "mid"), ["asset"])
     entry = signals.entry("trend", fast, slow)
     features = {"entry": entry, "before": ta.signal(ta.lag(entry, 1))}
     rows = ta.evaluate(bars, features, ["asset"], ["ts"])

@@ -90,8 +90,10 @@ def _paths(groups: DataFrame, keys: list[str], samples: int, block: Column, seed
     g = groups.withColumn("block", block.cast("long"))
     need = F.ceil(F.col("n") / F.col("block"))
     g = g.select(*keys, *more, "n", "block", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("path"), need.alias("_need"))
-    # One task per slice of paths from here on; a long series has many draws per path.
-    g = g.repartition(*keys, "path").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)).alias("k")).drop("_need")
+    # Few rows become very many here: a fixed number of tasks, which is not merged for being
+    # small, shares out the paths before their draws are made.
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = g.repartition(tasks, *keys, "path").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)).alias("k")).drop("_need")
     start = draw(seed, F.col("path"), F.col("k"), F.col("block")) % F.col("n")
     size = F.least(F.col("block"), F.col("n") - F.col("k") * F.col("block"))
     return g.withColumn("start", start).withColumn("len", size)

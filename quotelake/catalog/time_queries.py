@@ -8,6 +8,7 @@ from ..functions import ta
 from ..functions.guards import floor_ts
 from ..operators import asof, blocks, quality, segments
 from ..operators import resample as rs
+from ..plans.enrich import enrich
 from ..plans.inputs import bars, external, quotes, report, table
 from .common import with_views
 
@@ -65,14 +66,20 @@ def cross_market(s, d):
     return report(out.select("asset", "ts", *[c for c in out.columns if c.startswith("market_")]))
 
 
-def _cross_sql() -> str:
+def enriched(s, d):
+    sources = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    out = enrich(bars(s, d), sources, ["close", "volume"], DAY, {"discount": (external(s, d), 7)})
+    return report(out.select("asset", "ts", "weekday", "month", "day", "external_discount", *[c for c in out.columns if c.startswith("market_")]))
+
+
+def _cross_sql(more: str = "", joined: str = "") -> str:
     tags = {"1-URGENT": "1_urgent", "2-HIGH": "2_high", "3-MEDIUM": "3_medium", "4-NOT SPECIFIED": "4_not_specified", "5-LOW": "5_low"}
     joins, cols = "", ""
     for i, (a, tag) in enumerate(tags.items()):
         joins += f"\nASOF LEFT JOIN (SELECT ts + INTERVAL 1 DAY AS at, close, volume FROM bars WHERE asset = '{a}') m{i} ON t.ts >= m{i}.at"
         near = f"m{i}.at >= t.ts - INTERVAL 7 DAY"
         cols += f", CASE WHEN {near} THEN round(m{i}.close, 6) END AS market_{tag}_close, CASE WHEN {near} THEN m{i}.volume END AS market_{tag}_volume"
-    return f"SELECT t.asset, t.ts{cols} FROM bars t{joins}"
+    return f"SELECT t.asset, t.ts{more}{cols} FROM bars t{joins}{joined}"
 
 
 def external_asof(s, d):
@@ -241,6 +248,13 @@ QUERIES = {
           WHERE (asset, position) IN (SELECT (asset, i * (n - 1) // (least(800, n) - 1)) FROM (SELECT DISTINCT asset, n FROM c), range(800) r(i) WHERE i < least(800, n))"""),
     ),
     "cross_market_asof": (cross_market, with_views("bars", select=_cross_sql())),
+    "enrich": (
+        enriched,
+        with_views("bars external", select=_cross_sql(
+            ", CAST(isodow(t.ts) - 1 AS DOUBLE) AS weekday, CAST(month(t.ts) AS DOUBLE) AS month, CAST(day(t.ts) AS DOUBLE) AS day,"
+            " CASE WHEN e.available_at >= t.ts - INTERVAL 7 DAY THEN round(e.value, 6) END AS external_discount",
+            " ASOF LEFT JOIN external e ON t.ts > e.available_at")),
+    ),
     "external_asof": (
         external_asof,
         with_views("bars external", select="""SELECT b.asset, b.ts, CASE WHEN e.available_at >= b.ts - INTERVAL 7 DAY THEN round(e.value, 6) END AS external_value,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import decontaminate, packing, token_files
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op2_power_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found).drop("longest_match")
+
+
 def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     files = token_files.write_files(table(spark, sf_dir, "documents"), folder)
@@ -20,5 +25,6 @@ def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_power_pieces": (op2_power_pieces, None),
+    "op3_suffix_automaton": (op3_suffix_automaton, decontaminate.ORACLE),
     "op10_arrow_streams": (op10_arrow_streams, None),
 }

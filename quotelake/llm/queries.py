@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_files
-from .common import table
+from . import decontaminate, packing, secrets, shards, token_files, toxicity
+from .common import fold_remainder, table
+
+
+def op1_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    members = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), members)
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), (fold_remainder(doc_id, 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_power_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,14 @@ def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).drop("longest_match")
 
 
+def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op9_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     files = token_files.write_files(table(spark, sf_dir, "documents"), folder)
@@ -24,7 +41,10 @@ def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nnpu": (op1_nnpu, None),
     "op2_power_pieces": (op2_power_pieces, None),
     "op3_suffix_automaton": (op3_suffix_automaton, decontaminate.ORACLE),
+    "op7_ownership": (op7_ownership, None),
+    "op9_longest_first": (op9_longest_first, None),
     "op10_arrow_streams": (op10_arrow_streams, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, shards, token_files, toxicity
+from . import decontaminate, packing, secrets, shards, substrings, token_files, toxicity
 from .common import fold_remainder, table
 
 
@@ -30,6 +30,10 @@ def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op8_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False).drop("removed")
+
+
 def op9_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_power_pieces": (op2_power_pieces, None),
     "op3_suffix_automaton": (op3_suffix_automaton, decontaminate.ORACLE),
     "op7_ownership": (op7_ownership, None),
+    "op8_rabin_karp": (op8_rabin_karp, substrings.ORACLE),
     "op9_longest_first": (op9_longest_first, None),
     "op10_arrow_streams": (op10_arrow_streams, None),
 }

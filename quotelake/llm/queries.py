@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, shards, substrings, token_files, toxicity
+from . import decontaminate, neighbours, packing, secrets, shards, substrings, token_files, toxicity
 from .common import fold_remainder, table
 
 
@@ -26,6 +26,11 @@ def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).drop("longest_match")
 
 
+def op6_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build_index(vectors), vectors, F.col("vec_id") % 20 == 0)
+
+
 def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_nnpu": (op1_nnpu, None),
     "op2_power_pieces": (op2_power_pieces, None),
     "op3_suffix_automaton": (op3_suffix_automaton, decontaminate.ORACLE),
+    "op6_small_world": (op6_small_world, None),
     "op7_ownership": (op7_ownership, None),
     "op8_rabin_karp": (op8_rabin_karp, substrings.ORACLE),
     "op9_longest_first": (op9_longest_first, None),

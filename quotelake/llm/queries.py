@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neighbours, packing, secrets, shards, substrings, token_files, toxicity
+from . import decontaminate, near_dups, neighbours, packing, secrets, shards, substrings, token_files, toxicity
 from .common import fold_remainder, table
 
 
@@ -26,6 +26,10 @@ def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).drop("longest_match")
 
 
+def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("set_key")
+
+
 def op6_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(neighbours.build_index(vectors), vectors, F.col("vec_id") % 20 == 0)
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_nnpu": (op1_nnpu, None),
     "op2_power_pieces": (op2_power_pieces, None),
     "op3_suffix_automaton": (op3_suffix_automaton, decontaminate.ORACLE),
+    "op4_odd_sketches": (op4_odd_sketches, near_dups.ORACLE),
     "op6_small_world": (op6_small_world, None),
     "op7_ownership": (op7_ownership, None),
     "op8_rabin_karp": (op8_rabin_karp, substrings.ORACLE),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dups, neighbours, packing, secrets, shards, substrings, token_files, toxicity
+import corpus_pipeline
+
+from . import decontaminate, katz, near_dups, neighbours, packing, secrets, shards, substrings, token_files, toxicity
 from .common import fold_remainder, table
 
 
@@ -30,6 +32,10 @@ def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("set_key")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op6_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(neighbours.build_index(vectors), vectors, F.col("vec_id") % 20 == 0)
@@ -54,10 +60,12 @@ def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_nnpu": (op1_nnpu, None),
     "op2_power_pieces": (op2_power_pieces, None),
     "op3_suffix_automaton": (op3_suffix_automaton, decontaminate.ORACLE),
     "op4_odd_sketches": (op4_odd_sketches, near_dups.ORACLE),
+    "op5_katz": (op5_katz, None),
     "op6_small_world": (op6_small_world, None),
     "op7_ownership": (op7_ownership, None),
     "op8_rabin_karp": (op8_rabin_karp, substrings.ORACLE),

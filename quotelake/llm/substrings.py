@@ -141,7 +141,7 @@ def _answers(parts: int):
         order = np.lexsort((starts, ids, bucket))
         ids, texts, starts, bucket = ids[order], texts[order], starts[order], bucket[order]
         named, at = np.unique(bucket, return_index=True)
-        ends = np.r_[at[1:], len(bucket)]
+        ends = np.searchsorted(bucket, named, side="right")
         cut = [slice(a, b) for a, b in zip(at, ends, strict=True)]
         return pa.table([named, *([pa.array([planes(x[c]) for c in cut], pa.binary()) for x in (ids, texts, starts)])], schema=_ANSWER)
 

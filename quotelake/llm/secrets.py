@@ -126,10 +126,11 @@ def digest(scanned: DataFrame) -> DataFrame:
     name = lambda s: F.element_at(F.array(*[F.lit(k) for k in (*KINDS, "owned")]), s["kind"] + 1)
     show = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k  # noqa: E731  a second argument would be the position
     base = F.filter("spans", lambda s: s["kind"] < OWNED)
     return scanned.select(
         F.col("row.doc_id").alias("doc_id"),
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{name_}") for k, name_ in enumerate(KINDS)],
+        *[count(of_kind(k)).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(show(base), 256).alias("base_sha256"),
         show(F.col("spans")).alias("spans"),
         count(lambda s: (s["kind"] < OWNED) & s["live"]).alias("n_live"),

@@ -249,7 +249,7 @@ VARIANTS = {
 
 def variant_rows(s, d, variants):
     pairs = sorted({(f, w) for f, w, *_ in variants.values()})
-    rows = ta.evaluate(backtest.positioned(bars(s, d), KEYS), {f"e_{f}_{w}": signals.entry("trend", f, w) for f, w in pairs}, KEYS, ["ts"])
+    rows = ta.evaluate(backtest.positioned(bars(s, d), KEYS), {f"e_{f}_{w}": signals.entry("trend", f, w) for f, w in pairs}, KEYS, ["ts"], position="rn")
     dims = F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"e_{f}_{w}").alias("entry"), F.lit(sl).alias("stop_loss"), F.lit(tp).alias("take_profit"),
                               F.lit(al).alias("allocation"), F.lit(h).alias("max_holding")) for n, (f, w, sl, tp, al, h) in variants.items()])
     keep = [c for c in rows.columns if not c.startswith("e_")]
@@ -297,7 +297,7 @@ FEATURES = {
 
 def feature_rows(s, d):
     args = [ta.number(n) for n in ("close", "open", "high", "low")]
-    return stage(ta.evaluate(backtest.positioned(bars(s, d), KEYS), {n: f(*args) for n, f in FEATURES.items()}, KEYS, ["ts"]))
+    return stage(ta.evaluate(backtest.positioned(bars(s, d), KEYS), {n: f(*args) for n, f in FEATURES.items()}, KEYS, ["ts"], position="rn"))
 
 
 FEATURE_SQL = """n0 AS (SELECT *, row_number() OVER w AS rn, close / lag(close) OVER w - 1 AS r1, close / lag(close, 5) OVER w - 1 AS r5, close / lag(close, 20) OVER w - 1 AS r20, (high - low) / close AS ir,
@@ -318,7 +318,7 @@ def weekday_returns(s, d):
 
 def regime_breakdown(s, d):
     c = ta.number("close")
-    rows = ta.evaluate(strategy_price(s, d), {"vol": ta.lag(ta.std(ta.pct(c, 1), 20), 1), "trend": ta.lag(ta.pct(c, 20), 1), "ret": ta.pct(c, 1)}, KEYS, ["ts"])
+    rows = ta.evaluate(strategy_price(s, d), {"vol": ta.lag(ta.std(ta.pct(c, 1), 20), 1), "trend": ta.lag(ta.pct(c, 20), 1), "ret": ta.pct(c, 1)}, KEYS, ["ts"], position="rn")
     rows = stage(rows)
     n = sizes(rows)
     rows = rows.join(n, "asset")
@@ -348,7 +348,7 @@ PLACEBO_SIG = f"""sig0 AS (SELECT *, row_number() OVER w - 1 AS rn, coalesce(CAS
 def causality_audit(s, d):
     rows = backtest.positioned(bars(s, d), KEYS)
     rules = {"trend": signals.entry("trend", 5, 20), "ema": signals.entry("ema_trend", 5, 20), "rsi": signals.entry("rsi_reversion", 5, 20)}
-    return ev.causality_audit(rows, lambda df: ta.evaluate(df, rules, KEYS, ["ts"]), KEYS, ["ts"], ["open", "high", "low", "close", "volume"], list(rules))
+    return ev.causality_audit(rows, lambda df: ta.evaluate(df, rules, KEYS, ["ts"], position="rn"), KEYS, ["ts"], ["open", "high", "low", "close", "volume"], list(rules))
 
 
 def confirmation_end(s, d):
@@ -512,7 +512,9 @@ QUERIES = {
     ),
     "signal_fingerprint": (
         signal_fingerprint,
-        with_views("bars", TREND_SIGNAL, select="""SELECT asset, sha256(sha256(sha256(string_agg(CASE WHEN entry THEN '101' ELSE '011' END, '' ORDER BY rn)))) AS fingerprint FROM sig GROUP BY 1"""),
+        with_views("bars", TREND_SIGNAL, """h AS (SELECT asset, sha256(rn::VARCHAR || ':' || CASE WHEN entry THEN '101' ELSE '011' END) AS x FROM sig)""",
+                   select="""SELECT asset, sha256(concat_ws('|', count(*)::VARCHAR, sum(('0x' || x[1:15])::BIGINT)::VARCHAR, sum(('0x' || x[16:30])::BIGINT)::VARCHAR,
+          sum(('0x' || x[31:45])::BIGINT)::VARCHAR, sum(('0x' || x[46:60])::BIGINT)::VARCHAR)) AS fingerprint FROM h GROUP BY 1"""),
     ),
     "frozen_eval": (frozen_eval, None),
 }

@@ -22,7 +22,7 @@ PARAMS = {"holding_cost_bps": 1.0, "quantity_step": 0.001, "max_holding": 20, "s
 
 def trend_bars(s, d):
     entry = signals.entry("trend", 5, 20)
-    return ta.evaluate(backtest.positioned(bars(s, d), KEYS), {"entry": entry}, KEYS, ["ts"])
+    return ta.evaluate(backtest.positioned(bars(s, d), KEYS), {"entry": entry}, KEYS, ["ts"], position="rn")
 
 
 def scenarios(b, names: dict[str, dict]):
@@ -204,7 +204,7 @@ def baseline_delta(s, d):
     """A filtered trend rule against the same rule without filters."""
     plain = signals.entry("trend", 5, 20)
     strict = signals.entry("trend", 5, 20, regime_name="uptrend", confirmation="strong_close")
-    b = ta.evaluate(backtest.positioned(bars(s, d), KEYS), {"plain": plain, "strict": strict}, KEYS, ["ts"])
+    b = ta.evaluate(backtest.positioned(bars(s, d), KEYS), {"plain": plain, "strict": strict}, KEYS, ["ts"], position="rn")
     both = b.withColumn("_s", F.explode(F.array(
         F.struct(F.lit("baseline").alias("scenario"), F.col("plain").alias("entry")),
         F.struct(F.lit("filtered").alias("scenario"), F.col("strict").alias("entry"))))).select(

@@ -41,7 +41,7 @@ GRID = "raw AS (" + " UNION ALL ".join(
     for i, (n, (lo, hi)) in enumerate(rg.BOUNDS.items())) + """),
   grid AS MATERIALIZED (SELECT rule, parameter, slot, value, min(factor) AS factor FROM raw WHERE value <> old AND NOT (parameter = 'fast' AND value >= slow) AND NOT (parameter = 'slow' AND value <= fast) GROUP BY 1, 2, 3, 4)"""
 JOINT = f"""opts AS (SELECT rule, slot, parameter, list(value ORDER BY value) AS o FROM grid GROUP BY 1, 2, 3),
-  moved AS (SELECT rule, t, slot, parameter, o[{draw_sql(43, 'rule', 't', 'slot')} % len(o) + 1] AS value FROM opts, range(40) z(t) WHERE {draw_sql(42, 'rule', 't', 'slot')} % 2 = 1),
+  moved AS (SELECT rule, t, slot, parameter, o[{draw_sql(43, 'rule', 't', 'slot')} % len(o) + 1] AS value FROM opts, range(80) z(t) WHERE {draw_sql(42, 'rule', 't', 'slot')} % 2 = 1),
   per AS (SELECT rule, t, count(*) AS moved, string_agg(parameter || '=' || CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR), ';' ORDER BY slot) AS changes,
     max(value) FILTER (parameter = 'fast') AS f, max(value) FILTER (parameter = 'slow') AS w FROM moved GROUP BY 1, 2),
   good AS (SELECT rule, changes, min(t) AS "try", min(moved) AS moved FROM per JOIN rules USING (rule) WHERE moved >= 2 AND coalesce(f, fast) < coalesce(w, slow) GROUP BY 1, 2),
@@ -102,18 +102,19 @@ def failure_categories(s, d):
     o = table(s, d, "orders")
     p = F.col("o_totalprice")
     reasons = F.array_compact(F.array(
-        F.when(p < 20000, F.lit("Too few trades")), F.when((p > 60000) & (p < 90000), F.lit("Costs x3: return invalid")), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Parameters are fragile")),
-        F.when((p > 150000) & (p < 180000), F.lit("Walk-Forward unstable")), F.when(F.col("o_orderstatus") == "P", F.lit("Sharpe not positive")), F.when(p > 490000, F.lit("Unknown"))))
+        F.when(p < 20000, F.lit("too_few_trades")), F.when((p > 60000) & (p < 90000), F.lit("cost_stress")), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("parameter_stress")),
+        F.when((p > 150000) & (p < 180000), F.lit("walk_forward")), F.when(F.col("o_orderstatus") == "P", F.lit("profit_factor")), F.when(p > 470000, F.lit("benchmark")), F.when(p > 490000, F.lit("unheard of"))))
     rows = o.select("o_orderkey", reasons.alias("reasons"), (F.col("o_custkey") % 3).alias("skipped_orders"), (F.col("o_custkey") % 2).alias("trades"))
     return rg.failure_categories(rows, "o_orderkey").groupBy("category").agg(F.count(F.lit(1)).alias("results"))
 
 
-FAIL = """r AS (SELECT o_orderkey, lower(concat_ws(' ', CASE WHEN o_totalprice < 20000 THEN 'Too few trades' END, CASE WHEN o_totalprice > 60000 AND o_totalprice < 90000 THEN 'Costs x3: return invalid' END,
-    CASE WHEN o_orderpriority = '1-URGENT' THEN 'Parameters are fragile' END, CASE WHEN o_totalprice > 150000 AND o_totalprice < 180000 THEN 'Walk-Forward unstable' END,
-    CASE WHEN o_orderstatus = 'P' THEN 'Sharpe not positive' END, CASE WHEN o_totalprice > 490000 THEN 'Unknown' END)) AS t, o_custkey % 3 > 0 AND o_custkey % 2 = 0 AS x FROM orders),
-  c AS (SELECT o_orderkey, t, list_filter(['execution_limits', 'insufficient_evidence', 'costs', 'parameter_fragility', 'instability', 'weak_evidence'], lambda n: CASE n WHEN 'execution_limits' THEN x
-    WHEN 'insufficient_evidence' THEN regexp_matches(t, 'trades|sample') WHEN 'costs' THEN regexp_matches(t, 'costs') WHEN 'parameter_fragility' THEN regexp_matches(t, 'parameters')
-    WHEN 'instability' THEN regexp_matches(t, 'walk-forward|drawdown|monte carlo|degradation') ELSE regexp_matches(t, 'dsr|evidence|sharpe|return|profit factor') END) AS l FROM r)"""
+FAIL = """r AS (SELECT o_orderkey, 'execution_limits' AS category FROM orders WHERE o_custkey % 3 > 0 AND o_custkey % 2 = 0
+    UNION ALL SELECT o_orderkey, 'insufficient_evidence' FROM orders WHERE o_totalprice < 20000
+    UNION ALL SELECT o_orderkey, 'costs' FROM orders WHERE o_totalprice > 60000 AND o_totalprice < 90000
+    UNION ALL SELECT o_orderkey, 'parameter_fragility' FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT o_orderkey, 'instability' FROM orders WHERE o_totalprice > 150000 AND o_totalprice < 180000
+    UNION ALL SELECT o_orderkey, 'weak_evidence' FROM orders WHERE o_orderstatus = 'P' OR o_totalprice > 470000
+    UNION ALL SELECT o_orderkey, 'other' FROM orders WHERE o_totalprice > 490000)"""
 
 
 def recent_notes(s, d):
@@ -246,7 +247,7 @@ QUERIES = {
     ),
     "failure_categories": (
         failure_categories,
-        with_views("", FAIL, select="SELECT category, count(*) AS results FROM (SELECT unnest(CASE WHEN len(l) = 0 AND t <> '' THEN ['other'] ELSE l END) AS category FROM c) GROUP BY 1"),
+        with_views("", FAIL, select="SELECT category, count(*) AS results FROM r GROUP BY 1"),
     ),
     "asset_verdicts": (
         lambda s, d: rg.asset_verdicts(results(s, d)),

@@ -2,44 +2,44 @@
 
 from __future__ import annotations
 
+import inspect
+
 from . import ta
 from .ta import Feature
 
-FAMILIES = (
-    "trend",
-    "mean_reversion",
-    "breakout",
-    "momentum",
-    "dip",
-    "ema_trend",
-    "rsi_reversion",
-    "volatility_breakout",
-)
+
+def _rsi(c, fast, slow, threshold):
+    move = ta.change(c, 1)
+    gain = ta.sma(ta.clip_low(move, 0.0), fast)
+    loss = ta.sma(-ta.clip_high(move, 0.0), fast)
+    return (100 * gain / (gain + loss) < 50 - 10 * threshold) & (c > ta.sma(c, slow))
+
+
+# The entry condition of each family over the close; a rule names the parameters it depends on.
+RULES = {
+    "trend": lambda c, fast, slow: ta.sma(c, fast) > ta.sma(c, slow),
+    "mean_reversion": lambda c, slow, threshold: (c - ta.sma(c, slow)) / ta.std(c, slow) < -threshold,
+    "breakout": lambda c, slow: c > ta.lag(ta.highest(ta.number("high"), slow), 1),
+    "momentum": lambda c, slow, threshold: ta.pct(c, slow) > threshold / 100,
+    "dip": lambda c, fast, slow: (c > ta.sma(c, slow)) & (c < ta.sma(c, fast)),
+    "ema_trend": lambda c, fast, slow: ta.ema(c, fast) > ta.ema(c, slow),
+    "rsi_reversion": _rsi,
+    "volatility_breakout": lambda c, slow, threshold: c > ta.sma(c, slow) + threshold * ta.std(c, slow),
+}
+FAMILIES = tuple(RULES)
+
+
+def reads(name: str) -> frozenset[str]:
+    """The parameters a family depends on."""
+    return frozenset(inspect.signature(RULES[name]).parameters) - {"c"}
 
 
 def family(name: str, fast: int, slow: int, threshold: float = 1.0) -> Feature:
     """The entry condition of a family; three-valued, wrap in ``ta.signal`` at the end."""
-    c = ta.number("close")
-    if name == "trend":
-        return ta.sma(c, fast) > ta.sma(c, slow)
-    if name == "mean_reversion":
-        return (c - ta.sma(c, slow)) / ta.std(c, slow) < -threshold
-    if name == "breakout":
-        return c > ta.lag(ta.highest(ta.number("high"), slow), 1)
-    if name == "momentum":
-        return ta.pct(c, slow) > threshold / 100
-    if name == "dip":
-        return (c > ta.sma(c, slow)) & (c < ta.sma(c, fast))
-    if name == "ema_trend":
-        return ta.ema(c, fast) > ta.ema(c, slow)
-    if name == "rsi_reversion":
-        move = ta.change(c, 1)
-        gain = ta.sma(ta.clip_low(move, 0.0), fast)
-        loss = ta.sma(-ta.clip_high(move, 0.0), fast)
-        return (100 * gain / (gain + loss) < 50 - 10 * threshold) & (c > ta.sma(c, slow))
-    if name == "volatility_breakout":
-        return c > ta.sma(c, slow) + threshold * ta.std(c, slow)
-    raise ValueError(f"unknown signal family {name!r}")
+    if name not in RULES:
+        raise ValueError(f"unknown signal family {name!r}")
+    given = {"fast": fast, "slow": slow, "threshold": threshold}
+    return RULES[name](ta.number("close"), **{p: given[p] for p in reads(name)})
 
 
 def regime(name: str, fast: int, slow: int) -> Feature:

@@ -72,6 +72,11 @@ class Feature:
 
         return Feature(make, max(self.lookback, other.lookback), self.windowed or other.windowed)
 
+    def _compare(self, other, op) -> Feature:
+        """Missing where either side is NaN or infinite."""
+        sound = lambda c: finite(c.cast("double")).isNotNull()
+        return self._with(other, lambda a, b: F.when(sound(a) & sound(b), op(a, b)), guard=False)
+
     def _map(self, op) -> Feature:
         return Feature(lambda s: op(_value(s, self)), self.lookback, self.windowed)
 
@@ -106,22 +111,22 @@ class Feature:
         return self
 
     def __gt__(self, o):
-        return self._with(o, lambda a, b: a > b, guard=False)
+        return self._compare(o, lambda a, b: a > b)
 
     def __ge__(self, o):
-        return self._with(o, lambda a, b: a >= b, guard=False)
+        return self._compare(o, lambda a, b: a >= b)
 
     def __lt__(self, o):
-        return self._with(o, lambda a, b: a < b, guard=False)
+        return self._compare(o, lambda a, b: a < b)
 
     def __le__(self, o):
-        return self._with(o, lambda a, b: a <= b, guard=False)
+        return self._compare(o, lambda a, b: a <= b)
 
     def __eq__(self, o):  # noqa: D105 - a comparison node, as on Column
-        return self._with(o, lambda a, b: a == b, guard=False)
+        return self._compare(o, lambda a, b: a == b)
 
     def __ne__(self, o):
-        return self._with(o, lambda a, b: a != b, guard=False)
+        return self._compare(o, lambda a, b: a != b)
 
     __hash__ = object.__hash__
 
@@ -330,11 +335,15 @@ def evaluate(
     keys: list[str],
     order: list[str],
     block_rows: int = blocks.BLOCK_ROWS,
+    position: str | None = None,
 ) -> DataFrame:
-    """Add the features as columns, block by block; row-wise features need no blocks."""
+    """Add the features as columns, block by block; row-wise features need no blocks.
+
+    ``position`` names a gapless position column, if the rows have one (``blocks.with_row_number``).
+    """
     if not any(f.windowed for f in features.values()):
         return df.withColumns({n: f.make(None) for n, f in features.items()})
-    b = blocks.split(df, keys, order, warmup(*features.values()), block_rows=block_rows)
+    b = blocks.split(df, keys, order, warmup(*features.values()), block_rows=block_rows, position=position)
     s = Stage(b)
     made = {n: s.value(f) for n, f in features.items()}
     return b.own(s.df.withColumns(made).select(*b.df.columns, *features))

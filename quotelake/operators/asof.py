@@ -35,7 +35,8 @@ def asof(
     found = F.struct(axis(right_on).alias("_at"), *[F.col(c).alias(f"f_{c}") for c in fields])
     no_left = F.lit(None).cast(left.select(payload.alias("x")).schema["x"].dataType)
     no_right = F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType)
-    one = left.filter(F.col(left_on).isNotNull()).select(
+    # A left row without a time or key has no match, but stays.
+    one = left.select(
         *keys, (sign * axis(left_on)).alias("_t"), F.lit(0 if strict else 2).alias("_side"), F.lit(0).cast("long").alias("_q"),
         payload.alias(lname), no_right.alias("_right"))
     two = right.filter(F.col(right_on).isNotNull()).select(

@@ -27,8 +27,7 @@ BROADCAST_SLOTS = 200_000
 SLOT_SECONDS = (86_400, 3_600, 60, 1)
 
 BLOCK, OWN, BASE = "_block", "_own", "_base"
-# A column of this name holds a row's exact, gapless position in its series. With it a
-# block is plain arithmetic: nothing is counted and nothing is joined.
+# The usual name of the column :func:`with_row_number` adds.
 POSITION = "rn"
 
 
@@ -70,16 +69,21 @@ def split(
     slot: Column | None = None,
     block_rows: int = BLOCK_ROWS,
     axis: Column | None = None,
+    position: str | None = None,
 ) -> Blocked:
     """Cut ``df`` into blocks per key along ``order``.
 
+    ``position`` names a column with a row's exact, gapless position in its series, if the
+    caller has one; blocks are then plain arithmetic, nothing is counted and nothing joined.
+    A NULL key is a series of its own and a row with a NULL order value stays in it.
+
     ``order[0]`` is the timestamp the slots are taken from. ``axis`` gives the same in
     microseconds where it is not a timestamp; ``slot`` gives another integer expression
     that never decreases along the order. ``lookback`` rows before a
     block are repeated in it; it may exceed ``block_rows``, which then grows with it.
     """
-    if POSITION in df.columns and slot is None and axis is None:
-        return split_dense(df, keys, order, F.col(POSITION), lookback, block_rows)
+    if position is not None:
+        return split_dense(df, keys, order, F.col(position), lookback, block_rows)
     block_rows = max(block_rows, lookback)
     widths = SLOT_SECONDS if slot is None else (None,)
     for seconds in widths:
@@ -104,8 +108,7 @@ def split(
     if slots <= BROADCAST_SLOTS:
         placed = F.broadcast(placed)
     rows = (
-        df.withColumn("_slot", expr)
-        .join(placed, [*keys, "_slot"])
+        _null_safe_join(df.withColumn("_slot", expr), placed, [*keys, "_slot"], "inner")
         .withColumn(BLOCK, F.explode("_to"))
         .withColumn(OWN, F.col(BLOCK) == F.col("_home"))
         .drop("_slot", "_to", "_home")
@@ -153,9 +156,10 @@ def with_previous(
     columns: dict[str, Column | str],
     slot: Column | None = None,
     block_rows: int = BLOCK_ROWS,
+    position: str | None = None,
 ) -> DataFrame:
     """Add the value each expression had on the previous row of the series."""
-    b = split(df, keys, order, 1, slot, block_rows)
+    b = split(df, keys, order, 1, slot, block_rows, position=position)
     w = b.window()
     new = {n: F.lag(F.col(c) if isinstance(c, str) else c).over(w) for n, c in columns.items()}
     return b.own(b.df.withColumns(new))
@@ -177,4 +181,14 @@ def carried(b: Blocked, summaries: dict[str, Column], merge: dict[str, str]) ->
         "last": lambda n: F.last(n, ignorenulls=True).over(before),
     }
     prefix = per_block.select(*b.group, *[how[merge[n]](n).alias(n) for n in summaries])
-    return b.df.join(prefix, b.group, "left")
+    return _null_safe_join(b.df, prefix, b.group, "left")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """An equi-join in which NULL equals NULL."""
+    other = {c: f"_on_{c}" for c in on}
+    right = right.withColumnsRenamed(other)
+    test = F.lit(True)
+    for c, o in other.items():
+        test = test & left[c].eqNullSafe(right[o])
+    return left.join(right, test, how).drop(*other.values())

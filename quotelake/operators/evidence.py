@@ -19,6 +19,7 @@ from ..functions.sampling import draw
 from ..session import stage
 from . import blocks
 from .metrics import compound
+from .quality import fingerprint
 
 TINY = 1e-12
 
@@ -53,7 +54,7 @@ def hac_regression(series: DataFrame, keys: list[str], z_min: float = 1.645, min
     longest = m.agg(F.max("lags")).first()[0] or 1
     e = series.join(m.select(*keys, "alpha", "beta", "lags", "my"), keys)
     e = e.withColumn("e", y - F.col("alpha") - F.col("beta") * x).withColumn("ex", F.col("e") * x)
-    b = blocks.split(e, keys, ["rn"], longest)
+    b = blocks.split(e, keys, ["rn"], longest, position="rn")
     frame = b.window().rowsBetween(-longest, -1)
 
     def weighted(c: str) -> Column:
@@ -158,7 +159,7 @@ def block_bootstrap(series: DataFrame, keys: list[str], samples: int = 1000, see
 
 def _path_sums(series: DataFrame, keys: list[str], groups: DataFrame, samples: int, seed: int) -> DataFrame:
     """Sum and sum of squares of each resampled path, through prefix sums of the series."""
-    b = blocks.split(series.select(*keys, "rn", "ret").withColumn("sq", F.col("ret") * F.col("ret")), keys, ["rn"])
+    b = blocks.split(series.select(*keys, "rn", "ret").withColumn("sq", F.col("ret") * F.col("ret")), keys, ["rn"], position="rn")
     rows = blocks.carried(b, {"_a": F.sum("ret"), "_q": F.sum("sq")}, {"_a": "sum", "_q": "sum"})
     run = b.window().rowsBetween(Window.unboundedPreceding, 0)
     prefix = b.own(rows.withColumn("p1", F.coalesce("_a", F.lit(0.0)) + F.sum("ret").over(run))
@@ -281,7 +282,7 @@ def walk_forward(metrics: DataFrame, test_returns: DataFrame, keys: list[str], f
     tally = per_fold.groupBy(*keys).agg(F.sum(F.col("passed").cast("int")).alias("passing_folds"), F.sum("trades").alias("trades"), F.max("broken").alias("_broken"))
     # The joined test curve: running growth through per-block sums.
     lg = test_returns.withColumn("lg", F.ln(F.greatest(1 + F.col("ret"), F.lit(TINY))))
-    b = blocks.split(lg, keys, ["rn"])
+    b = blocks.split(lg, keys, ["rn"], position="rn")
     rows = blocks.carried(b, {"_g": F.sum("lg")}, {"_g": "sum"})
     grown = b.own(rows.withColumn("equity", F.exp(F.coalesce("_g", F.lit(0.0)) + F.sum("lg").over(b.window().rowsBetween(Window.unboundedPreceding, 0)))))
     from .metrics import running_peak
@@ -476,14 +477,7 @@ def variant_screen(metrics: DataFrame, min_trades: int = 30) -> DataFrame:
     return m.filter(F.col("variant") != "original").crossJoin(F.broadcast(base)).withColumn("passed", F.col("score") > F.col("original_score"))
 
 
-def signal_fingerprint(rows: DataFrame, keys: list[str], flags: list[str], chunk: int = 4096) -> DataFrame:
-    """Hash of the ordered signal series: chunks of flags, then the chunk hashes in order.
-
-    A chunk holds ``chunk`` rows; what is gathered per group is one hash per chunk.
-    """
-    code = F.concat(*[F.when(F.col(f), F.lit("1")).otherwise(F.lit("0")) for f in flags])
-    level = rows.select(*keys, F.col("rn").alias("_i"), code.alias("_t"))
-    for _ in range(3):
-        level = level.groupBy(*keys, F.floor(F.col("_i") / chunk).alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_l"))
-        level = level.select(*keys, F.col("_c").alias("_i"), F.sha2(F.array_join(F.transform("_l", lambda e: e["_t"]), ""), 256).alias("_t"))
-    return level.groupBy(*keys).agg(F.min_by("_t", "_i").alias("fingerprint"))
+def signal_fingerprint(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
+    """Hash of the signal series: every row's position and flags, hashed and summed, so nothing is gathered."""
+    code = F.concat_ws("", *[F.when(F.col(f), F.lit("1")).otherwise(F.lit("0")) for f in flags])
+    return fingerprint(rows, keys, F.concat_ws(":", F.col("rn").cast("string"), code)).select(*keys, F.col("sha256").alias("fingerprint"))

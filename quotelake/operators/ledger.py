@@ -74,7 +74,7 @@ def execution_rows(bars: DataFrame, keys: list[str], params: dict, delay: int =
         bars = bars.withColumn("exit", ~F.col("entry"))
     if "signal_price" not in bars.columns:
         bars = bars.withColumn("signal_price", F.col("close"))
-    b = blocks.split(bars, keys, ["ts"], 1 + delay, block_rows=block_rows)
+    b = blocks.split(bars, keys, ["ts"], 1 + delay, block_rows=block_rows, position="rn")
     w = b.window()
     no = F.lit(False)
     p = lambda n: param(bars, params, n)

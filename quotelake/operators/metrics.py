@@ -13,17 +13,17 @@ TINY = 1e-12
 
 
 def returns(curve: DataFrame, keys: list[str], value: str = "equity", initial: str = "capital", order: tuple[str, ...] = ("ts",),
-            block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+            block_rows: int = blocks.BLOCK_ROWS, position: str | None = None) -> DataFrame:
     """Per-row return; the first row is measured against the initial capital."""
-    r = blocks.with_previous(curve, keys, list(order), {"_before": value}, block_rows=block_rows)
+    r = blocks.with_previous(curve, keys, list(order), {"_before": value}, block_rows=block_rows, position=position)
     before = F.coalesce("_before", F.col(initial))
     return r.withColumn("ret", (F.col(value) - before) / F.greatest(before, F.lit(TINY))).drop("_before")
 
 
 def running_peak(curve: DataFrame, keys: list[str], value: str = "equity", initial: str = "capital",
-                 block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = blocks.BLOCK_ROWS, position: str | None = None) -> DataFrame:
     """Highest value so far (``peak``) and before this row (``prior_peak``), capital included."""
-    b = blocks.split(curve, keys, ["ts"], block_rows=block_rows)
+    b = blocks.split(curve, keys, ["ts"], block_rows=block_rows, position=position)
     rows = blocks.carried(b, {"_top": F.max(value)}, {"_top": "max"})
     run = b.window().rowsBetween(Window.unboundedPreceding, 0)
     past = b.window().rowsBetween(Window.unboundedPreceding, -1)
@@ -39,9 +39,9 @@ def sharpe(ret: Column, bars_per_year: float | Column) -> Column:
     return F.when(sd > TINY, F.avg(ret) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.max(year))).otherwise(F.lit(0.0))
 
 
-def run_metrics(marks: DataFrame, ledger: DataFrame, keys: list[str], bars_per_year: float = 252.0) -> DataFrame:
+def run_metrics(marks: DataFrame, ledger: DataFrame, keys: list[str], bars_per_year: float = 252.0, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """One row per run: return, risk, trade statistics."""
-    curve = running_peak(returns(marks, keys), keys)
+    curve = running_peak(returns(marks, keys, block_rows=block_rows), keys, block_rows=block_rows)
     inner = F.when(F.col("worst").isNotNull(), 1 - F.col("worst") / F.greatest(F.col("prior_peak"), F.lit(TINY)))
     risk = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bars"),

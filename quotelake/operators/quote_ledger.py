@@ -87,7 +87,7 @@ def quote_rows(quotes: DataFrame, keys: list[str], t: Terms) -> DataFrame:
     if blocks.POSITION not in quotes.columns:
         quotes = stage(blocks.with_row_number(quotes, keys, ["ts", "sequence"]))
     q = stressed_quotes(quotes, t.cost_multiplier)
-    b = blocks.split(q, keys, ["ts", "sequence"], 1)
+    b = blocks.split(q, keys, ["ts", "sequence"], 1, position=blocks.POSITION)
     w = b.window()
     days = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 86_400e6
     own = F.col(blocks.OWN)

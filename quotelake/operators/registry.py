@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sampling import draw
-from ..functions.signals import FAMILIES
+from ..functions.signals import FAMILIES, reads
 from . import blocks
 
 # Bounds of the one-at-a-time shocks.
@@ -16,8 +16,6 @@ BOUNDS = {
     "take_profit": (0.01, 0.4), "max_holding": (2, 100),
 }
 WHOLE = ("fast", "slow", "max_holding")
-NO_THRESHOLD = ("trend", "ema_trend", "dip", "breakout")
-NO_FAST = ("breakout", "momentum", "mean_reversion", "volatility_breakout")
 
 
 def _fixed(c: Column) -> Column:
@@ -26,11 +24,9 @@ def _fixed(c: Column) -> Column:
 
 
 def _inactive(name: str) -> Column:
-    if name == "threshold":
-        return F.col("family").isin(*NO_THRESHOLD)
-    if name == "fast":
-        return F.col("family").isin(*NO_FAST) & (F.col("regime") != "low_volatility")
-    return F.lit(False)
+    idle = [f for f in FAMILIES if name in ("fast", "threshold") and name not in reads(f)]
+    by_family = F.col("family").isin(*idle) if idle else F.lit(False)
+    return by_family & (F.col("regime") != "low_volatility") if name == "fast" else by_family
 
 
 def param_grid(rules: DataFrame, key: str) -> DataFrame:
@@ -53,12 +49,13 @@ def param_grid(rules: DataFrame, key: str) -> DataFrame:
     return exploded.groupBy(key, "parameter", "value").agg(F.min("factor").alias("factor"))
 
 
-def joint_grid(rules: DataFrame, key: str, samples: int = 8, tries: int = 40, seed: int = 42) -> DataFrame:
+def joint_grid(rules: DataFrame, key: str, samples: int = 8, tries: int | None = None, seed: int = 42) -> DataFrame:
     """Fixed joint perturbations: at least two parameters moved at once, no repeats.
 
     Try t moves a parameter when its draw is odd and picks among its options by another
-    draw; the first ``samples`` distinct valid tries are kept.
+    draw; the first ``samples`` distinct valid tries are kept. Ten tries are made per sample.
     """
+    tries = 10 * samples if tries is None else tries
     order = list(BOUNDS)
     slot = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("parameter"))
     g = param_grid(rules, key).withColumn("slot", slot)
@@ -129,24 +126,27 @@ def chain_breaks(log: DataFrame, order: str, fields: list[str], parent: str = "p
     return seen.select(order, F.explode(broken).alias("problem"))
 
 
-# Words in a rejection reason and the category they point to.
-CATEGORIES = {
-    "insufficient_evidence": "trades|sample",
-    "costs": "costs",
-    "parameter_fragility": "parameters",
-    "instability": "walk-forward|drawdown|monte carlo|degradation",
-    "weak_evidence": "dsr|evidence|sharpe|return|profit factor",
+# Where each rejection reason of this library points.
+CATEGORY_OF = {
+    "too_few_trades": "insufficient_evidence", "insufficient_history": "insufficient_evidence",
+    "cost_stress": "costs",
+    "parameter_stress": "parameter_fragility",
+    "walk_forward": "instability", "forward_windows": "instability", "bootstrap": "instability", "execution_delay": "instability",
+    "deflated_sharpe": "weak_evidence", "sequential_evidence": "weak_evidence", "sharpe_or_degradation": "weak_evidence",
+    "return_or_drawdown": "weak_evidence", "profit_factor": "weak_evidence", "benchmark": "weak_evidence",
 }
 
 
 def failure_categories(results: DataFrame, key: str) -> DataFrame:
-    """Categories of each result's reasons (array), as one row per category."""
-    text = F.lower(F.array_join("reasons", " "))
-    named = [F.when(text.rlike(p), F.lit(n)) for n, p in CATEGORIES.items()]
-    named.insert(0, F.when((F.col("skipped_orders") > 0) & (F.col("trades") == 0), F.lit("execution_limits")))
-    found = F.array_compact(F.array(*named))
-    other = F.when((F.size(found) == 0) & (F.size("reasons") > 0), F.array(F.lit("other"))).otherwise(found)
-    return results.select(key, F.explode(other).alias("category"))
+    """Categories of each result's reasons (array of reason names), as one row per category.
+
+    A reason this library does not give is ``other``. A result whose orders were all skipped points at
+    the execution limits as well.
+    """
+    of = F.create_map(*[F.lit(x) for pair in CATEGORY_OF.items() for x in pair])
+    named = F.array_distinct(F.transform("reasons", lambda r: F.coalesce(F.try_element_at(of, r), F.lit("other"))))
+    limits = F.when((F.col("skipped_orders") > 0) & (F.col("trades") == 0), F.array(F.lit("execution_limits"))).otherwise(F.array().cast("array<string>"))
+    return results.select(key, F.explode(F.concat(limits, named)).alias("category"))
 
 
 def asset_verdicts(results: DataFrame) -> DataFrame:

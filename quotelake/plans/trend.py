@@ -15,8 +15,8 @@ def trend_fills(quotes: DataFrame, seconds: int, fast: int, slow: int, friction:
     bars = positioned(resample.signal_bars(quotes, seconds, "mid"), ["asset"])
     entry = signals.entry("trend", fast, slow)
     features = {"entry": entry, "before": ta.signal(ta.lag(entry, 1))}
-    rows = ta.evaluate(bars, features, ["asset"], ["ts"])
+    rows = ta.evaluate(bars, features, ["asset"], ["ts"], position="rn")
     # The fill belongs to the next bar: shift the fresh signal forward, not the price back.
-    fresh = blocks.with_previous(rows.withColumn("fresh", F.col("entry") & ~F.col("before")), ["asset"], ["ts"], {"bought": "fresh"})
+    fresh = blocks.with_previous(rows.withColumn("fresh", F.col("entry") & ~F.col("before")), ["asset"], ["ts"], {"bought": "fresh"}, position="rn")
     fills = fresh.filter("bought").withColumn("price", F.col("open") * (1 + friction))
     return fills.groupBy("asset").agg(F.count(F.lit(1)).alias("fills"), F.avg("price").alias("mean_price"))

@@ -11,6 +11,11 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def required(value: Column, sound: Column, message: str) -> Column:
+    """``value``, or a failed read where it is not sound."""
+    return F.when(sound, value).otherwise(F.raise_error(F.lit(message)))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, missing when b is zero."""
     return a / F.nullif(b, F.lit(0.0))

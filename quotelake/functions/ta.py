@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import blocks
+from ..session import stage
 from .guards import finite, ratio
 
 MAX_WINDOW = 10_000
@@ -26,10 +27,10 @@ MAX_WINDOW = 10_000
 class Stage:
     """The rows a set of features is being added to; windowed results become columns."""
 
-    def __init__(self, blocked: blocks.Blocked):
+    def __init__(self, blocked: blocks.Blocked, built: dict[int, str] | None = None):
         self.blocked, self.df = blocked, blocked.df
         self.w = blocked.window()
-        self._built: dict[int, Column] = {}
+        self._built: dict[int, Column] = {k: F.col(name) for k, name in (built or {}).items()}
         self._count = 0
 
     def trailing(self, n: int):
@@ -60,8 +61,9 @@ class Stage:
 
 
 class Feature:
-    def __init__(self, make: Callable[[Stage], Column], lookback: int = 0, windowed: bool = False):
-        self.make, self.lookback, self.windowed = make, lookback, windowed
+    def __init__(self, make: Callable[[Stage], Column], lookback: int = 0, windowed: bool = False, whole: tuple[Feature, ...] = ()):
+        """``whole``: the features in this one that depend on all earlier rows, inner ones first."""
+        self.make, self.lookback, self.windowed, self.whole = make, lookback, windowed, whole
 
     def _with(self, other, op, guard=True) -> Feature:
         other = of(other)
@@ -70,7 +72,7 @@ class Feature:
             c = op(_value(s, self), _value(s, other))
             return finite(c) if guard else c
 
-        return Feature(make, max(self.lookback, other.lookback), self.windowed or other.windowed)
+        return Feature(make, max(self.lookback, other.lookback), self.windowed or other.windowed, self.whole + other.whole)
 
     def _compare(self, other, op) -> Feature:
         """Missing where either side is NaN or infinite."""
@@ -78,7 +80,7 @@ class Feature:
         return self._with(other, lambda a, b: F.when(sound(a) & sound(b), op(a, b)), guard=False)
 
     def _map(self, op) -> Feature:
-        return Feature(lambda s: op(_value(s, self)), self.lookback, self.windowed)
+        return Feature(lambda s: op(_value(s, self)), self.lookback, self.windowed, self.whole)
 
     def __add__(self, o):
         return self._with(o, lambda a, b: a + b)
@@ -166,7 +168,7 @@ def _window(x: Feature, n: int, extra: int, make: Callable[[Stage, Column], Colu
     if not isinstance(n, int) or not least <= n <= MAX_WINDOW:
         raise ValueError(f"a window holds {least} to {MAX_WINDOW} rows, got {n!r}")
     x = of(x)
-    return Feature(lambda s: make(s, s.operand(x)), x.lookback + extra, windowed=True)
+    return Feature(lambda s: make(s, s.operand(x)), x.lookback + extra, windowed=True, whole=x.whole)
 
 
 def lag(x, n: int) -> Feature:
@@ -239,55 +241,86 @@ def corr(x, y, n: int) -> Feature:
 
     if not 2 <= n <= MAX_WINDOW:
         raise ValueError("a correlation needs at least two rows")
-    return Feature(make, max(x.lookback, y.lookback) + n - 1, windowed=True)
+    return Feature(make, max(x.lookback, y.lookback) + n - 1, windowed=True, whole=x.whole + y.whole)
 
 
-# The weight of rows further back than this many spans is below double precision.
-EMA_SPANS = 40
-# A sub-block of the weighted running sum covers this much decay, so exp() stays finite.
+# Weighted running sums restart after this much decay, so exp() stays finite; what is further back weighs less than exp(-300).
 EMA_DECAY = 300.0
 
 
+def _decayed(term: Column, depth: Column, rows: list[str], order: list[Column]) -> Column:
+    """Sum over rows so far of term * exp(-(decay since that row)), for a running ``depth`` of decay."""
+    stretch = F.floor(depth / EMA_DECAY)
+    within = depth - stretch * EMA_DECAY
+    here = Window.partitionBy(*rows, stretch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy(*rows).orderBy(stretch).rangeBetween(-1, -1)
+    grown = term * F.exp(within)
+    return F.sum(grown).over(here) * F.exp(-within) + F.coalesce(F.sum(grown).over(prior), F.lit(0.0)) * F.exp(-within - EMA_DECAY)
+
+
+class Ema(Feature):
+    """An exponential mean. It depends on all earlier rows, so :func:`evaluate` makes it a plain column before anything else."""
+
+    def __init__(self, x: Feature, n: int):
+        super().__init__(self._not_yet, x.lookback + n - 1, windowed=True)
+        self.x, self.n, self.whole = x, n, (*x.whole, self)
+
+    @staticmethod
+    def _not_yet(s: Stage) -> Column:
+        raise ValueError("an exponential mean needs evaluate()")
+
+
 def ema(x, n: int) -> Feature:
     """Exponential mean of span n, seeded by the first value, missing before n values.
 
-    The recurrence m' = a*m + b*x is unrolled into running sums: a term keeps the weight
-    exp(D_i - D_t), where D is the accumulated decay. Sums restart every EMA_DECAY of
-    decay, and only the directly preceding stretch can still matter, so each row costs
-    constant work for any span. After a gap of g rows a = q^g/(q^g + alpha).
+    A value moves the mean m to a*m + b*x, with a = q^g / (q^g + alpha) after a gap of g rows. Such moves compose, so a
+    block is one move from its start to its end: the rows of a block are summed by themselves, the blocks' moves are joined in a
+    table with one row per block, and each row adds what its block began with. Every earlier row counts, wherever blocks are cut.
     """
-    x = of(x)
-    alpha = 2.0 / (n + 1)
-
-    def make(s: Stage) -> Column:
-        c = s.pin(s.operand(x))
-        seen = F.count(c).over(s.running())
-        if n == 1:
-            return F.last(c, ignorenulls=True).over(s.running())
-        p = s.pin(F.row_number().over(s.w))
-        before = s.pin(F.last(F.when(c.isNotNull(), p), ignorenulls=True).over(s.past()))
-        kept = F.exp((p - before) * math.log(1 - alpha))
-        first = before.isNull()
-        decay = F.when(c.isNull() | first, 0.0).otherwise(
-            F.ln(kept + alpha) - (p - before) * math.log(1 - alpha)
-        )
-        gain = F.when(first, 1.0).otherwise(alpha / (kept + alpha))
-        depth = s.pin(F.sum(decay).over(s.running()))
-        stretch = s.pin(F.floor(depth / EMA_DECAY))
-        within = depth - stretch * EMA_DECAY
-        term = s.pin(F.coalesce(gain * c * F.exp(within), F.lit(0.0)))
-        group = s.blocked.group
-        order = [F.col(o) for o in s.blocked.order]
-        here = Window.partitionBy(*group, stretch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        prior = Window.partitionBy(*group).orderBy(stretch).rangeBetween(-1, -1)
-        mean = F.sum(term).over(here) * F.exp(-within) + F.coalesce(F.sum(term).over(prior), F.lit(0.0)) * F.exp(
-            -within - EMA_DECAY
-        )
-        return F.when(seen >= n, finite(mean))
-
     if not 1 <= n <= MAX_WINDOW:
         raise ValueError("a span lies in [1, 10000]")
-    return Feature(make, x.lookback + EMA_SPANS * n, windowed=True)
+    return Ema(of(x), n)
+
+
+def _means(s: Stage, emas: list[Ema]) -> list[Column]:
+    """The columns of several means at once: the rows are written once and joined with two tables of one row per block."""
+    group, keys, own = s.blocked.group, list(s.blocked.keys), F.col(blocks.OWN)
+    order = [F.col(o) for o in s.blocked.order]
+    value = [s.pin(F.when(own, s.operand(e.x))) for e in emas]
+    p = s.pin(F.min(F.when(own, F.col(blocks.BASE))).over(Window.partitionBy(*group)) + F.count(F.when(own, 1)).over(s.running()) - 1)
+    s.df = stage(s.df)
+    at = [F.when(c.isNotNull(), p) for c in value]
+    summaries, merge = {}, {}
+    for i, c in enumerate(value):
+        summaries |= {f"_en{i}": F.count(c), f"_ep{i}": F.max(at[i]), f"_ev{i}": F.max_by(c, at[i])}
+        merge |= {f"_en{i}": "sum", f"_ep{i}": "last", f"_ev{i}": "last"}
+    s.df = blocks.carried(blocks.Blocked(s.df, s.blocked.keys, s.blocked.order), summaries, merge)
+    depth, mine, moved = [], [], []
+    for i, (e, c) in enumerate(zip(emas, value, strict=True)):
+        alpha = 2.0 / (e.n + 1)
+        before = s.pin(F.coalesce(F.last(at[i], ignorenulls=True).over(s.past()), F.col(f"_ep{i}")))
+        first = before.isNull()
+        fade = math.log(1 - alpha) if e.n > 1 else 0.0
+        kept = F.exp((p - before) * fade) if e.n > 1 else F.lit(0.0)
+        decay = s.pin(F.when(c.isNull() | first, 0.0).otherwise(F.ln(kept + alpha) - (p - before) * fade) if e.n > 1 else F.lit(0.0))
+        depth.append(s.pin(F.sum(decay).over(s.running())))
+        term = s.pin(F.coalesce(F.when(first, 1.0).otherwise(alpha / (kept + alpha)) * c, F.lit(0.0)))
+        mine.append(s.pin(_decayed(term, depth[i], group, order)))
+        moved += [F.sum(decay).alias(f"_d{i}"), F.max_by(mine[i], p).alias(f"_v{i}")]
+    moves, along = s.df.where(own).groupBy(*group).agg(*moved), Window.partitionBy(*keys).orderBy(blocks.BLOCK)
+    for i in range(len(emas)):
+        moves = moves.withColumn(f"_depth{i}", F.sum(f"_d{i}").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        moves = moves.withColumn(f"_m{i}", _decayed(F.col(f"_v{i}"), F.col(f"_depth{i}"), keys, [F.col(blocks.BLOCK)]))
+    s.df = blocks.null_safe_join(s.df, moves.select(*group, *[F.lag(f"_m{i}").over(along).alias(f"_start{i}") for i in range(len(emas))]), group, "left")
+    out = []
+    for i, (e, c) in enumerate(zip(emas, value, strict=True)):
+        if e.n == 1:
+            out.append(F.coalesce(F.last(c, ignorenulls=True).over(s.running()), F.col(f"_ev{i}")))
+            continue
+        seen = F.coalesce(F.col(f"_en{i}"), F.lit(0)) + F.count(c).over(s.running())
+        mean = mine[i] + F.coalesce(F.col(f"_start{i}"), F.lit(0.0)) * F.exp(-depth[i])
+        out.append(F.when(seen >= e.n, finite(mean)))
+    return out
 
 
 def absolute(x) -> Feature:
@@ -309,7 +342,7 @@ def where(cond: Feature, a, b) -> Feature:
         k = _value(s, cond)
         return F.when(k, _value(s, a)).when(~k, _value(s, b))
 
-    return Feature(make, max(cond.lookback, a.lookback, b.lookback), cond.windowed or a.windowed or b.windowed)
+    return Feature(make, max(cond.lookback, a.lookback, b.lookback), cond.windowed or a.windowed or b.windowed, cond.whole + a.whole + b.whole)
 
 
 def clip_low(x, low: float) -> Feature:
@@ -343,7 +376,19 @@ def evaluate(
     """
     if not any(f.windowed for f in features.values()):
         return df.withColumns({n: f.make(None) for n, f in features.items()})
+    columns, built = df.columns, {}
+    waiting = list({id(f): f for g in features.values() for f in g.whole}.values())
+    while waiting:
+        # What depends on all earlier rows becomes a plain column first; then others may look back at it from any block.
+        ready = [f for f in waiting if all(id(g) in built for g in f.whole[:-1])]
+        b = blocks.split(df, keys, order, warmup(*ready), block_rows=block_rows, position=position)
+        s = Stage(b, built)
+        names = {id(f): f"_whole{len(built) + i}" for i, f in enumerate(ready)}
+        made = dict(zip(names.values(), _means(s, ready), strict=True))
+        df = b.own(s.df.withColumns(made).select(*b.df.columns, *made))
+        built |= names
+        waiting = [f for f in waiting if id(f) not in built]
     b = blocks.split(df, keys, order, warmup(*features.values()), block_rows=block_rows, position=position)
-    s = Stage(b)
+    s = Stage(b, built)
     made = {n: s.value(f) for n, f in features.items()}
-    return b.own(s.df.withColumns(made).select(*b.df.columns, *features))
+    return b.own(s.df.withColumns(made).select(*b.df.columns, *features)).select(*columns, *features)

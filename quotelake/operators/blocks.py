@@ -108,7 +108,7 @@ def split(
     if slots <= BROADCAST_SLOTS:
         placed = F.broadcast(placed)
     rows = (
-        _null_safe_join(df.withColumn("_slot", expr), placed, [*keys, "_slot"], "inner")
+        null_safe_join(df.withColumn("_slot", expr), placed, [*keys, "_slot"], "inner")
         .withColumn(BLOCK, F.explode("_to"))
         .withColumn(OWN, F.col(BLOCK) == F.col("_home"))
         .drop("_slot", "_to", "_home")
@@ -181,10 +181,10 @@ def carried(b: Blocked, summaries: dict[str, Column], merge: dict[str, str]) ->
         "last": lambda n: F.last(n, ignorenulls=True).over(before),
     }
     prefix = per_block.select(*b.group, *[how[merge[n]](n).alias(n) for n in summaries])
-    return _null_safe_join(b.df, prefix, b.group, "left")
+    return null_safe_join(b.df, prefix, b.group, "left")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """An equi-join in which NULL equals NULL."""
     other = {c: f"_on_{c}" for c in on}
     right = right.withColumnsRenamed(other)

@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_owner: ContextVar[list[str] | None] = ContextVar("stage_owner", default=None)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session to UTC, the zone every timestamp rule here is written in."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -58,4 +63,24 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    owner = _owner.get()
+    if owner is not None:
+        owner.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def owning(paths: list[str]):
+    """Note in ``paths`` the folders that :func:`stage` writes in this block, so that their owner can release them."""
+    token = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged folders that nothing will read again, and empty the list."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.guards import required
+
 SERIES_DOC = ("name STRING, source_url STRING, availability_description STRING, max_age_days INT, "
               "observations ARRAY<STRUCT<available_at: STRING, value: DOUBLE>>")
 
@@ -17,7 +19,10 @@ def decode_delta_candles(payloads: DataFrame, keys: list[str]) -> DataFrame:
     change arrays opens[], highs[], lows[], closes[].
     """
     fields = ("open", "high", "low", "close")
-    zipped = F.arrays_zip("times", *[f"{f}s" for f in fields])
+    lengths = [F.size("times") == F.size(f"{f}s") for f in fields]
+    equal = lengths[0] & lengths[1] & lengths[2] & lengths[3]
+    sound = F.coalesce(equal & (F.col("multiplier") > 0) & (F.col("shift") > 0) & F.forall("times", lambda t: t >= 0), F.lit(False))
+    zipped = required(F.arrays_zip("times", *[f"{f}s" for f in fields]), sound, "a candle payload with unequal arrays, a scale or step of zero or less, or a step back in time")
     rows = payloads.select(*keys, "base_ms", "shift", "multiplier", *fields, F.posexplode(zipped).alias("pos", "d"))
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     level = lambda f: (F.bround(F.col(f) / F.col("multiplier")) + F.sum(f"d.{f}s").over(w)) * F.col("multiplier")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.guards import finite
+from ..functions.guards import finite, required
 from ..session import prepare
 
 QUOTE_CSV = "timestamp STRING, sequence LONG, bid DOUBLE, ask DOUBLE"
@@ -26,6 +26,16 @@ def exact_time(text: Column) -> Column:
     return F.when(text.rlike(OFFSET), F.to_timestamp(text))
 
 
+def _time(name: str) -> Column:
+    text = F.col(name)
+    return required(exact_time(text), F.coalesce(text.rlike(OFFSET), F.lit(False)), f"{name}: a time without its offset")
+
+
+def _number(name: str) -> Column:
+    c = F.col(name)
+    return required(c, c.isNull() | finite(c).isNotNull(), f"{name}: not a finite number").alias(name)
+
+
 def _header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     return first[0][0].split(sep) if first else []
@@ -37,8 +47,7 @@ def read_quotes_csv(spark: SparkSession, path: str, asset: str) -> DataFrame:
     if _header(prepare(spark), path) != want:
         raise SourceError(f"quote files hold exactly the columns {want}")
     raw = spark.read.schema(QUOTE_CSV).option("header", True).option("mode", "FAILFAST").csv(path)
-    return raw.select(F.lit(asset).alias("asset"), exact_time(F.col("timestamp")).alias("ts"), "sequence", finite(F.col("bid")).alias("bid"),
-                      finite(F.col("ask")).alias("ask"))
+    return raw.select(F.lit(asset).alias("asset"), _time("timestamp").alias("ts"), "sequence", _number("bid"), _number("ask"))
 
 
 def read_bars_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +64,7 @@ def read_bars_manifest(spark: SparkSession, path: str) -> DataFrame:
             raise SourceError("bar files need timestamp, open, high, low, close")
         schema = T.StructType([T.StructField(c, T.StringType() if c == "timestamp" else T.DoubleType()) for c in cols])
         raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(d["path"])
-        part = raw.select(F.lit(d["asset"]).alias("asset"), exact_time(F.col("timestamp")).alias("ts"), *[c for c in cols if c != "timestamp"])
+        part = raw.select(F.lit(d["asset"]).alias("asset"), _time("timestamp").alias("ts"), *[_number(c) for c in cols if c != "timestamp"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .readers import SourceError
 
@@ -23,9 +24,10 @@ def put_days(spark: SparkSession, incoming: DataFrame, path: str, as_of: str, ex
     """Write whole asset-days; refuse days that exist (unless replacing) or are not over.
 
     Only the planned days are touched: with ``replace`` their partitions are overwritten.
+    ``existing`` (asset, day) may name the days the store holds; by default they are looked up.
     """
     if existing is None:
-        existing = spark.createDataFrame([], "asset STRING, day DATE")
+        existing = stored_days(spark, path)
     plan = write_plan(incoming, existing, as_of, replace)
     refused = plan.filter("action <> 'write'").limit(1).collect()
     if refused:
@@ -38,6 +40,17 @@ def put_days(spark: SparkSession, incoming: DataFrame, path: str, as_of: str, ex
     return plan
 
 
+def stored_days(spark: SparkSession, path: str) -> DataFrame:
+    """The asset-days a store holds; none if there is no store yet."""
+    try:
+        held = spark.read.schema("ts TIMESTAMP, sequence LONG, bid DOUBLE, ask DOUBLE, asset STRING, day DATE").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "asset STRING, day DATE")
+    return held.select("asset", "day").distinct()
+
+
 def read_range(spark: SparkSession, path: str, start: str, end: str, assets: list[str] | None = None) -> DataFrame:
     """Quotes with start <= ts < end; the day range is added so whole partitions are skipped."""
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")

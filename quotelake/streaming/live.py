@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -61,21 +62,42 @@ def claim_once(frozen: DataFrame, claim_path: str) -> bool:
         raise
 
 
+def _folder(asset: str) -> str:
+    return hashlib.sha256(asset.encode()).hexdigest()[:32]
+
+
+def _claimed(spark: SparkSession, claim: str) -> DataFrame | None:
+    """Assets whose evaluation has begun."""
+    try:
+        return spark.read.schema("asset STRING").json(f"{claim}/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def prospective_trigger(bars: DataFrame, history: str, claim: str, checkpoint: str, evaluate: Callable[[DataFrame], None],
                         base: int, target: int, min_days: int, need: int = 120) -> None:
-    """Collect bars that arrive after a freeze; when enough have, evaluate once and never again.
+    """Collect bars that arrive after a freeze; when an asset has enough, evaluate it once and never again.
 
-    Bars are appended to ``history`` per batch; the endpoint depends on times alone.
+    Bars are appended to ``history`` per batch; the endpoint depends on times alone. Each asset has a claim of its own
+    under ``claim``, so assets that are due later are evaluated later. Assets already claimed are not read again.
     """
     def on_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         # A replayed batch overwrites its own folder, so each bar is kept once.
         batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
-        seen = spark.read.parquet(history).drop("epoch").dropDuplicates(["asset", "ts"])
+        seen = spark.read.parquet(history).drop("epoch")
+        done = _claimed(spark, claim)
+        if done is not None:
+            seen = seen.join(done, "asset", "left_anti")
+        seen = seen.dropDuplicates(["asset", "ts"])
         end = evidence.confirmation_end(seen, ["asset"], base, target, min_days, need)
-        due = end.filter("end_ts IS NOT NULL")
-        if not due.isEmpty() and claim_once(due, claim):
-            evaluate(seen.join(due, "asset").filter(F.col("ts") <= F.col("end_ts")).drop("end_ts"))
+        due = end.filter("end_ts IS NOT NULL").collect()  # a row per asset that has just come due
+        won = [r.asset for r in due if claim_once(end.filter(F.col("asset") == r.asset), f"{claim}/{_folder(r.asset)}")]
+        if won:
+            ends = end.filter(F.col("asset").isin(won))
+            evaluate(seen.join(ends, "asset").filter(F.col("ts") <= F.col("end_ts")).drop("end_ts"))
 
     q = bars.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

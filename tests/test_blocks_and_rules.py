@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import times
+from helpers import at, times
 from quotelake.functions import signals, ta
 from quotelake.operators import blocks, evidence
 from quotelake.operators.quantiles import exact_quantiles
@@ -141,3 +141,42 @@ def test_exact_quantiles_with_hot_value(spark):
     got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.99}, block_rows=20).collect()}
     np.testing.assert_allclose([got["A"].a, got["A"].b, got["A"].c], np.quantile(v, [0.05, 0.5, 0.99]))
     assert (got["B"].a, got["B"].c) == (2.0, 2.0)
+
+
+def test_rows_without_key_or_time_stay(spark):
+    from quotelake.operators import asof, quality
+
+    left = spark.createDataFrame([("X", at("2024-01-01 00:00:02"), 1), (None, at("2024-01-01"), 2), ("X", None, 3)], "asset string, ts timestamp, n int")
+    right = spark.createDataFrame([("X", at("2024-01-01 00:00:01"), 7.0), ("X", None, 8.0)], "asset string, seen timestamp, v double")
+    for forward in (False, True):
+        got = {r.n: r.v for r in asof.asof(left, right, ["asset"], "ts", "seen", ["v"], forward=forward, block_rows=2).collect()}
+        assert got == {1: None if forward else 7.0, 2: None, 3: None}
+    rows = blocks.with_row_number(left, ["asset"], ["ts"], block_rows=1).collect()
+    assert sorted((r.n, r.rn) for r in rows) == [(1, 1), (2, 0), (3, 0)]
+
+
+def test_a_filtered_position_is_not_taken_for_gapless(spark):
+    df = spark.createDataFrame([("X", t, i * 10, 1.0) for i, t in enumerate(times(40))], "asset string, ts timestamp, rn long, v double")
+    got = ta.evaluate(df, {"m": ta.sma(ta.number("v"), 5)}, ["asset"], ["ts"], block_rows=50).toPandas()
+    assert got.m.isna().sum() == 4
+
+
+def test_comparisons_with_nan_are_missing(spark):
+    df = spark.createDataFrame([("X", at("2024-01-01"), float("nan")), ("X", at("2024-01-02"), 2.0)], "asset string, ts timestamp, v double")
+    got = ta.evaluate(df, {"gt": ta.col("v") > 1, "eq": ta.col("v") == ta.col("v")}, ["asset"], ["ts"]).orderBy("ts").collect()
+    assert [(r.gt, r.eq) for r in got] == [(None, None), (True, True)]
+
+
+@pytest.mark.parametrize("block_rows", [7, 64])
+def test_ema_does_not_depend_on_where_blocks_are_cut(spark, block_rows):
+    values = [float(i % 17) if i % 100 == 3 else None for i in range(900)] + [float(i % 13) for i in range(60)]
+    pdf = pd.DataFrame({"asset": "X", "ts": times(len(values), "1s"), "v": values})
+    df = spark.createDataFrame([(a, t.to_pydatetime(), None if np.isnan(v) else v) for a, t, v in pdf.itertuples(index=False)], "asset string, ts timestamp, v double")
+    v = ta.number("v")
+    features = {"e": ta.ema(v, 3), "one": ta.ema(v, 1), "late": ta.lag(ta.ema(v, 3), 2), "twice": ta.ema(ta.ema(v, 2), 4), "long": ta.ema(v, 50)}
+    got = ta.evaluate(df, features, ["asset"], ["ts"], block_rows=block_rows).toPandas().sort_values("ts").reset_index(drop=True)
+    mean = lambda x, n: x.ewm(span=n, adjust=False, min_periods=n).mean()
+    last = pdf.v.ffill()
+    want = {"e": mean(pdf.v, 3), "late": mean(pdf.v, 3).shift(2), "twice": mean(mean(pdf.v, 2), 4), "long": mean(pdf.v, 50), "one": last}
+    for name, x in want.items():
+        np.testing.assert_allclose(got[name].astype(float), x.astype(float), rtol=1e-9, atol=1e-9, err_msg=name)

@@ -100,6 +100,8 @@ def test_store_refuses_replaces_and_prunes(spark, folder):
     q = lambda bid: spark.createDataFrame([("X", at("2024-01-02 01:00"), 0, bid, bid + 1), ("Y", at("2024-01-03 01:00"), 0, bid, bid + 1)], "asset string, ts timestamp, sequence long, bid double, ask double")
     path = folder + "/store"
     store.put_days(spark, q(1.0), path, "2024-02-01")
+    with pytest.raises(readers.SourceError):  # the store is looked up
+        store.put_days(spark, q(1.0), path, "2024-02-01")
     have = spark.createDataFrame([("X", at("2024-01-02").date())], "asset string, day date")
     with pytest.raises(readers.SourceError):
         store.put_days(spark, q(2.0), path, "2024-02-01", have)
@@ -115,8 +117,15 @@ def test_store_refuses_replaces_and_prunes(spark, folder):
 def test_csv_and_document_sources(spark, folder):
     with open(f"{folder}/q.csv", "w") as f:
         f.write("timestamp,sequence,bid,ask\n2024-01-01T00:00:00Z,0,1.0,1.1\n2024-01-01 00:00:01,1,1.0,1.1\n")
-    got = readers.read_quotes_csv(spark, f"{folder}/q.csv", "X").orderBy("sequence").collect()
-    assert got[0].ts == at("2024-01-01") and got[1].ts is None  # no offset, no time
+    with pytest.raises(Exception, match="without its offset"):
+        readers.read_quotes_csv(spark, f"{folder}/q.csv", "X").collect()
+    with open(f"{folder}/n.csv", "w") as f:
+        f.write("timestamp,sequence,bid,ask\n2024-01-01T00:00:00Z,0,NaN,1.1\n")
+    with pytest.raises(Exception, match="not a finite number"):
+        readers.read_quotes_csv(spark, f"{folder}/n.csv", "X").collect()
+    with open(f"{folder}/ok.csv", "w") as f:
+        f.write("timestamp,sequence,bid,ask\n2024-01-01T00:00:00Z,0,1.0,1.1\n")
+    assert readers.read_quotes_csv(spark, f"{folder}/ok.csv", "X").first().ts == at("2024-01-01")
     with open(f"{folder}/bad.csv", "w") as f:
         f.write("timestamp,sequence,bid,ask,extra\n")
     with pytest.raises(readers.SourceError):
@@ -171,6 +180,33 @@ def test_evaluation_fires_once(spark, folder):
     assert fired == [20]
 
 
+def test_each_asset_is_evaluated_when_it_is_due(spark, folder):
+    schema = "asset string, ts timestamp, close double"
+    fired = []
+
+    def feed(i, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        bars = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
+        live.prospective_trigger(bars, folder + "/seen", folder + "/claim", folder + "/state", lambda df: fired.append(sorted((r.asset, r["count"]) for r in df.groupBy("asset").count().collect())), 86400, 86400, 10, need=20)
+
+    feed(0, [("X", t, 1.0) for t in times(25)] + [("Y", t, 1.0) for t in times(5)])
+    assert fired == [[("X", 20)]]
+    feed(1, [("Y", t, 1.0) for t in times(25)[5:]] + [("X", t, 1.0) for t in times(60)[25:]])
+    assert fired == [[("X", 20)], [("Y", 20)]]
+
+
+def test_candle_payloads_are_checked(spark):
+    from quotelake.sources import payloads
+
+    good = {"asset": "X", "base_ms": 0, "shift": 1000, "multiplier": 0.1, "times": [0, 1], "open": 1.0, "high": 1.0, "low": 1.0, "close": 1.0, **{f"{f}s": [0, 1] for f in ("open", "high", "low", "close")}}
+    schema = "asset string, base_ms long, shift long, multiplier double, times array<long>, open double, high double, low double, close double, opens array<long>, highs array<long>, lows array<long>, closes array<long>"
+    decode = lambda **bad: payloads.decode_delta_candles(spark.createDataFrame([{**good, **bad}], schema), ["asset"]).collect()
+    assert [round(r.close, 6) for r in decode()] == [1.0, 1.1]
+    for bad in ({"closes": [0]}, {"multiplier": 0.0}, {"shift": -1}, {"times": [0, -1]}):
+        with pytest.raises(Exception, match="candle payload"):
+            decode(**bad)
+
+
 def test_driver_contract():
     import __spark_entry__ as entry
 

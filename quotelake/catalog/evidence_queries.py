@@ -351,9 +351,16 @@ def causality_audit(s, d):
     return ev.causality_audit(rows, lambda df: ta.evaluate(df, rules, KEYS, ["ts"], position="rn"), KEYS, ["ts"], ["open", "high", "low", "close", "volume"], list(rules))
 
 
+# 120 daily bars and 200 days: the first bar at or after both.
+CONFIRMED = """k AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) AS k FROM bars),
+  sp AS (SELECT asset, min(ts) AS a, max(ts) AS z FROM bars GROUP BY 1),
+  due AS (SELECT sp.asset, CASE WHEN z >= a + INTERVAL 200 DAY THEN greatest(k.ts, a + INTERVAL 200 DAY) END AS due FROM sp LEFT JOIN k ON sp.asset = k.asset AND k.k = 120),
+  confirmed AS (SELECT due.asset, min(b.ts) AS end_ts FROM due LEFT JOIN bars b ON b.asset = due.asset AND b.ts >= due.due GROUP BY 1)"""
+
+
 def confirmation_end(s, d):
-    h = hourly(s, d)
-    return report(ev.confirmation_end(h, KEYS, 3600, 14400, 10, need=30).withColumn("end_ts", F.coalesce("end_ts", F.lit("1970-01-01").cast("timestamp"))))
+    b = bars(s, d)
+    return report(ev.confirmation_end(b, KEYS, 86400, 86400, 200).withColumn("end_ts", F.coalesce("end_ts", F.lit("1970-01-01").cast("timestamp"))))
 
 
 def forward_append(s, d):
@@ -499,11 +506,7 @@ QUERIES = {
     ),
     "confirmation_end": (
         confirmation_end,
-        with_views("quotes", HOURLY, """g AS (SELECT asset, make_timestamp(CAST(floor(epoch_us(ts) / 14400e6) AS BIGINT) * 14400000000) AS b, count(*) AS n, max(ts) AS last FROM hourly GROUP BY 1, 2),
-          k AS (SELECT asset, last, row_number() OVER (PARTITION BY asset ORDER BY b) AS k FROM g WHERE n = 4 AND last = b + INTERVAL 3 HOUR),
-          sp AS (SELECT asset, min(ts) AS a, max(ts) AS z FROM hourly GROUP BY 1),
-          due AS (SELECT asset, CASE WHEN z >= a + INTERVAL 10 DAY THEN greatest(k.last, a + INTERVAL 10 DAY) END AS due FROM sp JOIN k USING (asset) WHERE k.k = 30)""",
-                   select="SELECT sp.asset, coalesce((SELECT min(ts) FROM hourly h JOIN due USING (asset) WHERE h.asset = sp.asset AND h.ts >= due), TIMESTAMP '1970-01-01') AS end_ts FROM sp"),
+        with_views("bars", CONFIRMED, select="SELECT asset, coalesce(end_ts, TIMESTAMP '1970-01-01') AS end_ts FROM confirmed"),
     ),
     "forward_append": (
         forward_append,

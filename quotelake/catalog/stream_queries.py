@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..plans.inputs import report, table
+from ..plans.inputs import bars, report, table
 from ..session import checkpoint_dir
 from ..streaming import live
 from .common import with_views
+from .evidence_queries import CONFIRMED
 from .time_queries import H4, MID, ohlc
 
 LATE_SECONDS = 3600
@@ -42,6 +43,17 @@ def incremental_ingest(s, d):
     return got.groupBy("asset", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("quotes"))
 
 
+def prospective_trigger(s, d):
+    """Each asset's bars arrive as a stream; the one evaluation of each counts what it was given."""
+    root = f"{checkpoint_dir(s).rstrip('/')}/trigger-{uuid.uuid4().hex}"
+    rows = bars(s, d).select("asset", "ts", "close")
+    rows.write.parquet(f"{root}/in")
+    count = lambda df: df.groupBy("asset").agg(F.count(F.lit(1)).alias("bars"), F.max("ts").alias("end_ts")).write.mode("append").parquet(f"{root}/out")
+    for _ in range(2):  # The second call finds nothing new and evaluates nothing again.
+        live.prospective_trigger(s.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/seen", f"{root}/claim", f"{root}/state", count, 86400, 86400, 200)
+    return report(s.read.schema("asset STRING, bars LONG, end_ts TIMESTAMP").parquet(f"{root}/out"))
+
+
 END = f"(SELECT max(ts) FROM quotes) - INTERVAL {LATE_SECONDS} SECOND"
 
 QUERIES = {
@@ -61,6 +73,10 @@ QUERIES = {
           s AS (SELECT asset, min(ts) AS first_quote, max(ts) AS last_quote, max(ts) + INTERVAL 1 HOUR AS alert_at, count(*) AS quotes FROM g GROUP BY asset, k)""",
                    select=f"SELECT * FROM s WHERE alert_at <= {END}"),
     ),
+    "prospective_trigger": (
+        prospective_trigger,
+        with_views("bars", CONFIRMED, select="SELECT c.asset, count(*) AS bars, end_ts FROM confirmed c JOIN bars b ON b.asset = c.asset AND b.ts <= end_ts GROUP BY ALL"),
+    ),
     "incremental_ingest": (
         incremental_ingest,
         with_views("quotes", select="SELECT asset, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS quotes FROM quotes GROUP BY 1, 2"),

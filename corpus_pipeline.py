@@ -6,35 +6,55 @@ masked, and what remains is packed into equal-length pieces of token ids. Nothin
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quotelake.llm import decontaminate, near_dups, packing, secrets, toxicity
 from quotelake.llm.common import table
-from quotelake.session import checkpoint_dir
+from quotelake.session import checkpoint_dir, owning, release
 
 
+#: Folders the last stage wrote for itself. The next stage deletes them: by then the last one's rows are written.
+_own: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _own)
+        with owning(_own):
+            return f(spark, docs, sf_dir)
+
+    return wrapped
+
+
+@_stage
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifiers score below 0.5."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates, and all documents without one."""
     return near_dups.keep_first(docs)
 
 
+@_stage
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; a document that is mostly benchmark goes."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with live-looking secrets masked."""
     return secrets.redact(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their ids."""
     return packing.pack(docs)
@@ -56,8 +76,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before: list[str] = []
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, before)
+        before.append(path)
+    release(spark, _own)
     return docs

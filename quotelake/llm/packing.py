@@ -22,6 +22,8 @@ from .tokens import encoder
 SEQUENCE = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
+#: So many rows of counts (some 32 bytes each) are sent to every task; more are joined by key.
+BROADCAST_COUNTS = 200_000
 
 
 def pieces_of(n: int, longest: int) -> list[tuple[int, int]]:
@@ -87,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, long
     counts per task and bucket (at most 1 + log2(longest) per task) are ordered in one place.
     """
     cut = stage(decompose(docs, tokenizer, end_id, longest, with_ids))
-    counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = stage(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     before = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     in_bucket = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(
@@ -95,6 +97,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, long
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
         F.coalesce(F.sum("n").over(in_bucket), F.lit(0)).alias("bucket_base"),
     )
+    if counts.count() <= BROADCAST_COUNTS:
+        bases = F.broadcast(bases)
     return cut.join(bases, ["part", "length"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("base") + F.col("place")).alias("sequence_id"),

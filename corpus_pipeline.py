@@ -16,6 +16,9 @@ from quotelake.llm.common import table
 from quotelake.session import checkpoint_dir, owning, release
 
 
+#: Rows that go to Python at once: whole documents are wide, and a batch stands in memory on both sides.
+BATCH_ROWS = 1_000
+
 #: Folders the last stage wrote for itself. The next stage deletes them: by then the last one's rows are written.
 _own: list[str] = []
 
@@ -24,6 +27,7 @@ def _stage(f):
     @functools.wraps(f)
     def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _own)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         with owning(_own):
             return f(spark, docs, sf_dir)
 

@@ -45,7 +45,7 @@ class Settings:
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 #: Tokens whose features a task remembers: bounds its memory.
-KEPT = 400_000
+KEPT = 150_000
 
 
 class _Features(dict):
@@ -198,7 +198,7 @@ def score(docs: DataFrame, members: list[tuple[np.ndarray, np.ndarray, float]])
         effects = _Effects(chosen)
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for text in batch["row"].field("text"):
                 own: set[int] = set()
                 for hit in map(effects.__getitem__, set((text.as_py() or "").lower().split())):
                     if hit:
@@ -206,8 +206,8 @@ def score(docs: DataFrame, members: list[tuple[np.ndarray, np.ndarray, float]])
                 out.append(float(_sigmoid(weights[sorted(own)].sum(axis=0) + bias).mean()) if members else 0.0)
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, pa.float64())], schema=pa.schema([batch.schema.field("row"), ("score", pa.float64())]))
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, rows.select("row").withColumn("score", F.lit(0.0)).schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s: Settings = Settings()) -> DataFrame:

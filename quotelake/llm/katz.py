@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quotelake.session import stage
 
 from .common import fold_remainder, lower_ascii_text, words_of
-from .rolling import WordHashes, from_planes, planes
+from .rolling import WordHashes, pack, unpack
 
 BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 1_500_000
@@ -34,19 +34,6 @@ TURING_COUNTS = 5
 END, START = np.uint64(0x3C0F5A7E11D2B96D), np.uint64(0x85A308D313198A2E)
 
 
-def pack(a: np.ndarray) -> bytes:
-    return len(a).to_bytes(8, "little") + pa.compress(planes(a), codec="zstd", asbytes=True) if len(a) else b""
-
-
-def unpack(data, dtype) -> np.ndarray:
-    """Of a pyarrow scalar."""
-    b = data.as_buffer() if data.is_valid else None
-    if b is None or not b.size:
-        return np.empty(0, dtype)
-    n = int.from_bytes(b[:8].to_pybytes(), "little")
-    return from_planes(pa.decompress(b[8:], decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd"), dtype)
-
-
 def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

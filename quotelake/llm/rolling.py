@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: An odd multiplier; hashes are polynomials in it modulo 2**64 over well-mixed 64-bit word hashes.
@@ -58,3 +59,17 @@ def planes(a: np.ndarray) -> bytes:
 def from_planes(data, dtype) -> np.ndarray:
     d = np.dtype(dtype).newbyteorder(">")
     return np.frombuffer(data, np.uint8).reshape(d.itemsize, -1).T.copy().view(d).ravel().astype(dtype)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Planes, compressed with their number; nothing for no numbers."""
+    return len(a).to_bytes(8, "little") + pa.compress(planes(a), codec="zstd", asbytes=True) if len(a) else b""
+
+
+def unpack(data, dtype) -> np.ndarray:
+    """Of a pyarrow scalar."""
+    b = data.as_buffer() if data.is_valid else None
+    if b is None or not b.size:
+        return np.empty(0, dtype)
+    n = int.from_bytes(b[:8].to_pybytes(), "little")
+    return from_planes(pa.decompress(b[8:], decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd"), dtype)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of
-from .rolling import WordHashes, from_planes, planes, window_hashes
+from .rolling import WordHashes, pack, unpack, window_hashes
 
 WINDOW = 20
 BLOCK_WORDS = 1 << 20
@@ -32,7 +32,8 @@ _ANSWER = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("texts", pa.
 
 
 def _text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    """Tells rows apart that share a doc_id."""
+    return xxhash.xxh32_intdigest(text)
 
 
 def _bucket(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -62,7 +63,7 @@ class _Block:
         if not self.docs:
             return
         self.docs.sort(key=lambda d: d[:2])
-        ids, texts = np.array([d[0] for d in self.docs], np.int64), np.array([d[1] for d in self.docs], np.int64)
+        ids, texts = np.array([d[0] for d in self.docs], np.int64), np.array([d[1] for d in self.docs], np.uint32)
         counts = np.array([len(d[2]) for d in self.docs])
         h = np.concatenate([d[2] for d in self.docs])
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
@@ -88,7 +89,7 @@ class _Block:
                 continue
             here, at = np.unique(np.concatenate([doc[s], k_doc[k]]), return_inverse=True)
             n = s.stop - s.start
-            yield (p, planes(h[s]), planes(at[:n].astype(np.uint32)), planes(np.concatenate([start[s], k_start[k]])), planes(ids[here]), planes(texts[here]), planes(at[n:].astype(np.uint32)))
+            yield (p, pack(h[s]), pack(at[:n].astype(np.uint32)), pack(np.concatenate([start[s], k_start[k]])), pack(ids[here]), pack(texts[here]), pack(at[n:].astype(np.uint32)))
 
 
 def _requests(window: int, parts: int, block_words: int):
@@ -117,9 +118,9 @@ def _answers(parts: int):
         for r in rows.to_batches():
             c = [r.column(i) for i in range(r.num_columns)]
             for i in range(r.num_rows):
-                own = from_planes(c[1][i].as_buffer(), np.uint64)
-                at, k_at = from_planes(c[2][i].as_buffer(), np.uint32), from_planes(c[6][i].as_buffer(), np.uint32)
-                place, doc, text = from_planes(c[3][i].as_buffer(), np.uint32), from_planes(c[4][i].as_buffer(), np.int64), from_planes(c[5][i].as_buffer(), np.int64)
+                own = unpack(c[1][i], np.uint64)
+                at, k_at = unpack(c[2][i], np.uint32), unpack(c[6][i], np.uint32)
+                place, doc, text = unpack(c[3][i], np.uint32), unpack(c[4][i], np.int64), unpack(c[5][i], np.uint32)
                 h.append(own)
                 ids.append(doc[at])
                 texts.append(text[at])
@@ -143,7 +144,7 @@ def _answers(parts: int):
         named, at = np.unique(bucket, return_index=True)
         ends = np.searchsorted(bucket, named, side="right")
         cut = [slice(a, b) for a, b in zip(at, ends, strict=True)]
-        return pa.table([named, *([pa.array([planes(x[c]) for c in cut], pa.binary()) for x in (ids, texts, starts)])], schema=_ANSWER)
+        return pa.table([named, *([pa.array([pack(x[c]) for c in cut], pa.binary()) for x in (ids, texts, starts)])], schema=_ANSWER)
 
     return run
 
@@ -159,7 +160,7 @@ def _apply(window: int, with_text: bool):
 
     def run(docs, answers):
         hashes = WordHashes()
-        ids, texts, starts = ([np.concatenate([from_planes(b.as_buffer(), t) for b in answers[name]]) if answers.num_rows else np.empty(0, t)][0] for name, t in (("ids", np.int64), ("texts", np.int64), ("starts", np.uint32)))
+        ids, texts, starts = ([np.concatenate([unpack(b, t) for b in answers[name]]) if answers.num_rows else np.empty(0, t)][0] for name, t in (("ids", np.int64), ("texts", np.uint32), ("starts", np.uint32)))
         order = np.lexsort((texts, ids))
         ids, texts, starts = ids[order], texts[order], starts[order]
         out = []

@@ -42,13 +42,13 @@ def hac_regression(series: DataFrame, keys: list[str], z_min: float = 1.645, min
     x, y = F.col("market"), F.col("ret")
     m = series.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
-        F.sum(x * y).alias("sxy"), F.stddev_pop(y).alias("dy"), F.stddev_pop(x).alias("dx"), F.avg(y).alias("my"),
+        F.covar_pop(x, y).alias("cxy"), F.stddev_pop(y).alias("dy"), F.stddev_pop(x).alias("dx"), F.var_pop(x).alias("vx"), F.avg(y).alias("my"),
     )
     n = F.col("n")
-    det = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    det = n * n * F.col("vx")  # n * sum(x^2) - sum(x)^2 without its cancellation
     usable = (n >= minimum) & (F.col("dy") >= TINY) & (F.col("dx") >= TINY)
     m = m.withColumn("det", F.when(usable, det))
-    m = m.withColumn("beta", (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif("det", F.lit(0.0)))
+    m = m.withColumn("beta", F.when(F.col("det") != 0, F.col("cxy") / F.col("vx")))
     m = m.withColumn("alpha", (F.col("sy") - F.col("beta") * F.col("sx")) / n)
     m = m.withColumn("lags", F.least(n - 1, F.greatest(F.lit(1), F.floor(4 * F.pow(n / 100, F.lit(2 / 9))))).cast("int"))
     longest = m.agg(F.max("lags")).first()[0] or 1

@@ -7,8 +7,9 @@ estimates how many samples differ, precisely so for similar sets. Pairs whose co
 margin, are not looked at further; all others are decided on the full sets.
 
 Equal sets are one node from the start. No bucket is ever expanded into all its pairs: its members are first compared with its smallest
-document only. What is then in the same component needs no more comparing. Only members outside that document's component are
-compared with the rest, and of those pairs only the ones that neither the sketches nor the triangle inequality of the Jaccard
+document only, and then with one more of that document's component. What is in one component needs no more comparing. Only
+members still outside the smallest document's component are compared with the rest, each pair in the first bucket it shares, and of
+those pairs only the ones that neither longer sketches, folded from 1024 samples, nor the triangle inequality of the Jaccard
 distance (through the distances to the smallest document, already known) rule out.
 """
 
@@ -35,11 +36,15 @@ ROWS = 4
 SKETCH_BITS = 512
 #: Samples that differ at the threshold toggle about 57 bits of 512, with a standard deviation of 8.6; this is 4.5 of them more.
 MOST_BITS = 95
+#: The longer sketches: samples, bits, and 4.5 standard deviations (25.7) above the 481 bits of a pair at the threshold.
+LONG_SAMPLES = 1024
+LONG_BITS = 8192
+LONG_MOST_BITS = 597
 PAIR_BATCH = 500
 BLOCK = 1 << 18
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.binary())])
-_SIGNED_SQL = "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>, shingles binary"
+_SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("shingles", pa.binary())])
+_SIGNED_SQL = "uid long, doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>, shingles binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -93,7 +98,9 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int, bits: int) -> tup
 
 def _sign(k: int, bands: int, rows: int, bits: int):
     def run(batches):
-        hashes = WordHashes()
+        from pyspark import TaskContext
+
+        hashes, uid = WordHashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             held, size = [], 0
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -101,15 +108,16 @@ def _sign(k: int, bands: int, rows: int, bits: int):
                 held.append((doc_id, s))
                 size += len(s)
                 if size >= BLOCK:
-                    yield _signed(held, bands, rows, bits)
-                    held, size = [], 0
+                    yield _signed(uid, held, bands, rows, bits)
+                    uid, held, size = uid + len(held), [], 0
             if held:
-                yield _signed(held, bands, rows, bits)
+                yield _signed(uid, held, bands, rows, bits)
+                uid += len(held)
 
     return run
 
 
-def _signed(held, bands, rows, bits) -> pa.RecordBatch:
+def _signed(uid, held, bands, rows, bits) -> pa.RecordBatch:
     full = [i for i, (_, s) in enumerate(held) if len(s)]
     named: list = [None] * len(held)
     sketches: list = [None] * len(held)
@@ -118,7 +126,7 @@ def _signed(held, bands, rows, bits) -> pa.RecordBatch:
         for j, i in enumerate(full):
             named[i], sketches[i] = b[j], o[j]
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for _, s in held]
-    columns = [[d for d, _ in held], [len(s) for _, s in held], keys, named, sketches, [_short(s) for _, s in held]]
+    columns = [range(uid, uid + len(held)), [d for d, _ in held], [len(s) for _, s in held], keys, named, sketches, [_short(s) for _, s in held]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIGNED, strict=True)], schema=_SIGNED)
 
 
@@ -147,20 +155,39 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array([s for s, _ in shared], pa.int64()), pa.array([t - s for s, t in shared], pa.int64())], names=["a", "b", "both", "either"])
 
 
+def _long_sketches(batches):
+    """Odd sketches of the longer kind, from the full sets."""
+    rng = np.random.default_rng(11)
+    mult, plus = rng.integers(0, 1 << 62, LONG_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, LONG_SAMPLES, np.uint64)
+    at = np.arange(LONG_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        out = []
+        for data in batch["shingles"]:
+            x = _mixed(_long(data.as_buffer()))
+            least = np.full(LONG_SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+            for a in range(0, len(x), 512):
+                least = np.minimum(least, (x[a : a + 512, None] * mult + plus).min(axis=0))
+            bit = (_mixed(least + at) >> np.uint64(40)) % np.uint64(LONG_BITS)
+            out.append(np.packbits(np.bincount(bit.astype(np.int64), minlength=LONG_BITS).astype(np.uint8) & 1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(out, pa.list_(pa.int64()))], names=["uid", "long_sketch"])
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The sizes of the intersection and union of each distinct pair's full sets. Written."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("set_a"))
+    b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("set_b"))
     with _batches_of(pairs.sparkSession, PAIR_BATCH):
         return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, both long, either long"))
 
 
 def _differing(x: str, y: str, bits: int):
     """Population count of the XOR of two sketches."""
-    total = F.lit(0)
-    for i in range(bits // 64):
-        total = total + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
-    return total
+    if bits <= 512:
+        total = F.lit(0)
+        for i in range(bits // 64):
+            total = total + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
+        return total
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, most_bits: int = MOST_BITS) -> DataFrame:
@@ -168,51 +195,74 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     (doc_id = component_id) and set_key (equal for equal sets).
 
     Linked are documents with 100 * |A and B| >= threshold * |A or B|. A null text, or one without words, has the empty set and is linked with
-    nothing. Rows that repeat a doc_id are answered alike; a row without a doc_id takes no part: its component is null and it is kept. Only
+    nothing. Rows that repeat a doc_id are each linked by their own text; a row without a doc_id takes no part: its component is null and it is kept. Only
     doc_id and text are read.
     """
     signed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign(shingle, bands, rows, bits), _SIGNED_SQL))
-    nodes = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    by_key = stage(nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    firsts = by_key.select("doc_id", "key")
-    # where a doc_id repeats with another text, only its row with this key stands for the node
-    reps = nodes.select("doc_id", "key", "bands", "sketch").join(firsts, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    placed = stage(reps.select("doc_id", "sketch", F.explode("bands").alias("bucket")).select("bucket", "doc_id"))
-    centres = stage(placed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1"))
-    members = stage(placed.join(centres, "bucket"))
-    sketches = nodes.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    sets = nodes.select("doc_id", "shingles").dropDuplicates(["doc_id"])
-
-    sk = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    stars = members.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(sk("a"), "a").join(sk("b"), "b").where(_differing("sketch_a", "sketch_b", bits) <= most_bits).select("a", "b")
-    stars = _confirm(stars, sets)
+    usable = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+    # equal sets are one node, named by the row of their smallest doc_id
+    by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
+    placed = stage(usable.join(by_key.select("uid"), "uid").select("uid", "doc_id", F.posexplode("bands").alias("band", "bucket")))
+    centres = stage(placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("centre"), F.count("*").alias("size")).where("size > 1"))
+    members = stage(placed.join(centres, "bucket").select("bucket", "band", "uid", "centre", "size"))
+    # only documents that share a bucket are looked at from here on
+    sets = stage(usable.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "bands", "sketch", "shingles"))
     is_link = F.col("both") * 100 >= F.col("either") * threshold
-    first = components(stars.where(is_link).select("a", "b"))
-
-    label = F.coalesce("component", "doc_id")
-    named = members.where("size > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", label).select("bucket", "doc_id", "centre", "label")
-    named = stage(named)
-    open_ = stage(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("label"))).alias("centre_label")).where("low != high").select("bucket", "centre_label"))
-    near = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("either")).alias("away"))
-    unsettled = stage(
-        named.join(open_, "bucket").join(near, ["centre", "doc_id"], "left")
-        .withColumn("away", F.when(F.col("doc_id") == F.col("centre"), 0.0).otherwise(F.col("away")))
-        .join(sketches, "doc_id").select("bucket", "doc_id", "label", "centre_label", "away", "sketch"))
-    u = unsettled.where("label != centre_label").select("bucket", *[F.col(c).alias(f"{c}_u") for c in ("doc_id", "label", "away", "sketch")])
-    v = unsettled.select("bucket", *[F.col(c).alias(f"{c}_v") for c in ("doc_id", "label", "away", "sketch")])
+    sketch_of = lambda c: sets.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+
+    stars = members.where("uid != centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
+    stars = _confirm(stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(_differing("sketch_a", "sketch_b", bits) <= most_bits).select("a", "b"), sets)
+    linked = components(stars.where(is_link).select("a", "b"))
+
+    def unsettled(linked: DataFrame) -> DataFrame:
+        """Members, with their component, of buckets of three and more that hold several."""
+        named = stage(members.where("size > 2").join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid")).drop("component", "size"))
+        several = named.groupBy("bucket").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("uid") == F.col("centre"), F.col("label"))).alias("centre_label"))
+        return stage(named.join(stage(several.where("low != high").select("bucket", "centre_label")), "bucket"))
+
+    open_ = unsettled(linked)
+    with _batches_of(docs.sparkSession, PAIR_BATCH):
+        longer = stage(sets.join(open_.select("uid").distinct(), "uid", "left_semi").select("uid", "shingles").mapInArrow(_long_sketches, "uid long, long_sketch array<long>"))
+    long_of = lambda c: longer.select(F.col("uid").alias(c), F.col("long_sketch").alias(f"long_{c}"))
+
+    # a second star, around any other document of the centre's component
+    inside = F.col("label") == F.col("centre_label")
+    second = stage(open_.where(inside & (F.col("uid") != F.col("centre"))).groupBy("bucket").agg(F.min_by("uid", F.xxhash64("uid")).alias("b")))
+    again = open_.where(~inside).select("bucket", F.col("uid").alias("a")).join(second, "bucket").select("a", "b").distinct()
+    again = _confirm(again.join(long_of("a"), "a").join(long_of("b"), "b").where(_differing("long_a", "long_b", LONG_BITS) <= LONG_MOST_BITS).select("a", "b"), sets)
+    star_links = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    linked = components(star_links.unionByName(again.where(is_link).select("a", "b")))
+
+    away = stars.select(F.col("a").alias("centre"), F.col("b").alias("uid"), (1 - F.col("both") / F.col("either")).alias("away"))
+    rest = (
+        unsettled(linked).join(away, ["centre", "uid"], "left")
+        .withColumn("away", F.when(F.col("uid") == F.col("centre"), 0.0).otherwise(F.col("away")))
+        .join(longer, "uid").join(sets.select("uid", "bands"), "uid"))
+    rest = stage(rest)
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "away", "long_sketch", "bands")]
+    u = rest.where("label != centre_label").select("bucket", "band", *side("u"))
+    v = rest.select(F.col("bucket").alias("bucket_v"), *side("v"))
     apart = 1 - threshold / 100 + 1e-9
-    pair = (F.col("label_u") != F.col("label_v")) & (_differing("sketch_u", "sketch_v", bits) <= most_bits) & F.coalesce(F.abs(F.col("away_u") - F.col("away_v")) <= apart, F.lit(True))
-    cross = u.join(v, (u.bucket == v.bucket) & pair).select(F.least("doc_id_u", "doc_id_v").alias("a"), F.greatest("doc_id_u", "doc_id_v").alias("b")).distinct()
-    cross = cross.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    pair = (
+        (F.col("label_u") != F.col("label_v")) & F.coalesce(F.abs(F.col("away_u") - F.col("away_v")) <= apart, F.lit(True))
+        & ~F.arrays_overlap(F.slice("bands_u", F.lit(1), F.col("band")), F.slice("bands_v", F.lit(1), F.col("band")))  # band counts from 0: those before
+        & (_differing("long_sketch_u", "long_sketch_v", LONG_BITS) <= LONG_MOST_BITS)
+    )
+    cross = u.join(v, (F.col("bucket") == F.col("bucket_v")) & pair).select(F.least("uid_u", "uid_v").alias("a"), F.greatest("uid_u", "uid_v").alias("b")).distinct()
     more = _confirm(cross, sets).where(is_link).select("a", "b")
-    # components of the first round are stars already, so only what is new is left to join up
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    classes = stage(by_key.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", label.alias("component_id")))
+    final = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    # a component is named by its smallest doc_id
+    label = F.coalesce("component", "uid")
+    named = by_key.join(final.withColumnRenamed("node", "uid"), "uid", "left").select("key", "doc_id", label.alias("component"))
+    named = stage(named)
+    classes = stage(named.join(stage(named.groupBy("component").agg(F.min("doc_id").alias("component_id"))), "component").select("key", "component_id"))
     own = signed.select("doc_id", "n_shingles", "key")
-    linked = own.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(classes, "key").select("doc_id", "n_shingles", "component_id", F.col("key").alias("set_key"))
-    alone = own.where(F.col("key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("key").alias("set_key"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "set_key")
+    is_node = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    together = own.where(is_node).join(classes, "key").select("doc_id", "n_shingles", "component_id", F.col("key").alias("set_key"))
+    alone = own.where(~is_node).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("key").alias("set_key"))
+    return together.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "set_key")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

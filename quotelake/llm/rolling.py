@@ -8,7 +8,7 @@ import xxhash
 
 #: An odd multiplier; hashes are polynomials in it modulo 2**64 over well-mixed 64-bit word hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-KEPT = 400_000
+KEPT = 150_000
 
 
 class WordHashes(dict):

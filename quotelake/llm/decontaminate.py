@@ -7,6 +7,7 @@ that counts when it stands there as a whole. Spans so found are cut out, and a d
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -146,17 +147,23 @@ class Automaton:
         return [tuple(s) for s in spans], items, best
 
 
-def _item_blocks(benchmark: DataFrame, window: int, words_each: int):
-    """The items' words as automata of bounded size. A longer item is cut into overlapping parts, which keeps all its windows."""
+def _item_parts(benchmark: DataFrame, window: int, words_each: int) -> tuple[DataFrame, int]:
+    """The items' words, and how many automata of bounded size they take. A longer item is cut into overlapping parts, which keeps all its windows."""
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
     starts = F.when(F.size("words") <= words_each, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1), F.lit(words_each)))
     parts = items.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s, words_each + window - 1))).alias("words"))
     n = parts.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = -(-n // words_each)
+    return parts, -(-n // words_each)
+
+
+def _automata(parts: DataFrame, blocks: int, window: int):
+    """The automata one after the other; a single empty one for no items."""
     for k in range(blocks):
         own = parts.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else parts
         yield Automaton([(r.item or "", r.words) for r in own.orderBy("item", "words").toLocalIterator()], window)
+    if not blocks:
+        yield Automaton([], window)
 
 
 _FOUND = "struct<n_words:long,hits:array<struct<start:long,end:long>>,items:array<string>,longest:long>"
@@ -196,14 +203,14 @@ def _match_pass(rows: DataFrame, automaton: Automaton) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """All columns of docs in a struct ``row``, and ``found``: n_words, hits (word positions, end exclusive, merged), items and
     the longest match in words. A null or empty text has no words; repeated rows are each answered; an empty benchmark finds nothing."""
+    return _scan(docs, *_item_parts(benchmark, window, automaton_words), window)
+
+
+def _scan(docs: DataFrame, parts: DataFrame, blocks: int, window: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.lit(None).cast(_FOUND).alias("found"))
-    passes = 0
-    for automaton in _item_blocks(benchmark, window, automaton_words):
-        rows = _match_pass(stage(rows) if passes else rows, automaton)
-        passes += 1
-    if not passes:
-        rows = _match_pass(rows, Automaton([], window))
+    for k, automaton in enumerate(_automata(parts, blocks, window)):
+        rows = _match_pass(stage(rows) if k else rows, automaton)
     return rows
 
 
@@ -226,49 +233,81 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
     ``max_coverage`` are hit is dropped. Clean documents, null texts among them, come out as they were. ``n_chars``, where there
     is one, follows the text.
     """
-    automata = list(_item_blocks(benchmark, window, automaton_words)) or [Automaton([], window)]
-    kept = docs
-    for automaton in automata:
-        # what one automaton's cut leaves is clean for it; a later cut can only join words anew, so passes go on while any cut is made
-        kept = _cut_pass(stage(kept) if automaton is not automata[0] else kept, automaton, max_coverage)
-    if len(automata) == 1:
-        return kept
-    left = stage(kept)
-    again = scan(left, benchmark, window, automaton_words).where(F.size("found.hits") > 0).limit(1).count()
-    return remove(left, benchmark, window, max_coverage, automaton_words) if again else left
+    parts, blocks = _item_parts(benchmark, window, automaton_words)
+    if blocks <= 1:
+        return _cut_pass(docs, next(_automata(parts, blocks, window)), max_coverage)
+    # spans and coverage are those of all automata on the same text: a document is cut once all of them have seen it, then seen by all again
+    clean, left, share = [], docs, max_coverage
+    while True:
+        found = stage(_scan(left, parts, blocks, window))
+        clean.append(found.where(F.size("found.hits") == 0).select("row.*"))
+        hit = found.where(F.size("found.hits") > 0)
+        if hit.isEmpty():
+            return functools.reduce(DataFrame.unionByName, clean)
+        left, share = _cut_found(hit, docs.schema, share), None
+
+
+def _cut(text: str, places: list[tuple[int, int]], spans) -> str:
+    """The text without the words of the spans, a line break in the place of each."""
+    parts, end = [], 0
+    for a, b in spans:
+        parts.append(text[end : places[a][0]])
+        end = places[b - 1][1]
+    return "\n".join([*parts, text[end:]])
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(lower_ascii_text(text))]
+
+
+def _with_texts(batch: pa.RecordBatch, changed: dict[int, str]) -> pa.RecordBatch:
+    """The batch with these rows' texts, and ``n_chars`` after them where there is one."""
+    for name, of in (("text", str), ("n_chars", len)):
+        at = batch.schema.get_field_index(name)
+        if changed and at >= 0:
+            values = [of(changed[i]) if i in changed else x for i, x in enumerate(batch.column(at).to_pylist())]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+    return batch
+
+
+def _cut_found(found: DataFrame, schema, max_coverage: float | None) -> DataFrame:
+    """Scanned rows without their hits. Without ``max_coverage`` none is dropped: coverage is of a text before anything was cut."""
+
+    def run(batches):
+        for batch in batches:
+            changed, keep = {}, []
+            for i, (text, found) in enumerate(zip(batch["text"].to_pylist(), batch["__found"].to_pylist(), strict=True)):
+                spans = [(s["start"], s["end"]) for s in found["hits"]]
+                keep.append(max_coverage is None or sum(b - a for a, b in spans) <= max_coverage * found["n_words"])
+                if keep[-1]:
+                    changed[i] = _cut(text, _places(text), spans)
+            batch = _with_texts(batch.drop_columns(["__found"]), changed)
+            yield batch if all(keep) else batch.filter(pa.array(keep))
+
+    return found.select("row.*", F.col("found").alias("__found")).mapInArrow(run, schema)
 
 
 def _cut_pass(docs: DataFrame, automaton: Automaton, max_coverage: float) -> DataFrame:
-    has_count = "n_chars" in docs.columns
+    """What one automaton that holds all items makes of the documents, cut until it finds nothing."""
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, changed, keep = batch.column(at).to_pylist(), {}, []
-            for i, text in enumerate(texts):
+            changed, keep = {}, []
+            for i, text in enumerate(batch["text"].to_pylist()):
                 own, dropped = text, False
                 while own:
-                    low = lower_ascii_text(own)
-                    spans, _, _ = automaton.match(_WORD.findall(low))
+                    spans, _, _ = automaton.match(_WORD.findall(lower_ascii_text(own)))
                     if not spans:
                         break
-                    places = [m.span() for m in _WORD.finditer(low)]
+                    places = _places(own)
                     if own is text and sum(b - a for a, b in spans) > max_coverage * len(places):
                         dropped = True
                         break
-                    parts, end = [], 0
-                    for a, b in spans:
-                        parts.append(own[end : places[a][0]])
-                        end = places[b - 1][1]
-                    own = "\n".join([*parts, own[end:]])
+                    own = _cut(own, places, spans)
                 if own is not text:
                     changed[i] = own
                 keep.append(not dropped)
-            if changed:
-                batch = batch.set_column(at, batch.schema.field(at), pa.array([changed.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type))
-                if has_count:
-                    n = batch.schema.get_field_index("n_chars")
-                    batch = batch.set_column(n, batch.schema.field(n), pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(batch.column(n).to_pylist())], batch.schema.field(n).type))
+            batch = _with_texts(batch, changed)
             yield batch if all(keep) else batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -82,6 +82,21 @@ def test_remove(spark, docs_of, automaton_words):
     assert plain(got[5].text, [(1, item)], 10)[1] == 0 and "clean start" in got[5].text
 
 
+@pytest.mark.parametrize("automaton_words", [100_000, 26, 12])
+def test_remove_over_automata(spark, docs_of, automaton_words):
+    """Items that overlap in the text or share its coverage, whichever automaton holds them, and a passage that closes up around a cut."""
+    items, docs, want = [], [], {}
+    for k in range(8):
+        w = [f"w{k}x{i}" for i in range(40)]
+        items += [(10 * k, " ".join(w[:12])), (10 * k + 1, " ".join(w[7:20])), (10 * k + 2, " ".join(w[20:32]))]
+        rest = " ".join(f"own{k}y{i}" for i in range(25))
+        docs += [(10 * k, f"before {' '.join(w[:20])} {rest}"), (10 * k + 1, f"{' '.join(w[:12])} some words {' '.join(w[20:32])} {' '.join(rest.split()[:20])}"),
+                 (10 * k + 2, f"start {' '.join(w[:5] + w[20:32] + w[5:12])} {rest}")]
+        want |= {10 * k: f"before \n {rest}", 10 * k + 2: f"start \n {rest}"}
+    got = dc.remove(docs_of(docs), bench_of(spark, items), automaton_words=automaton_words).collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_empty_tables(spark, docs_of):
     assert dc.digest(dc.scan(docs_of([]), bench_of(spark, [(1, "a")]))).count() == 0
     assert dc.remove(docs_of([(1, "a b")]), bench_of(spark, [])).count() == 1

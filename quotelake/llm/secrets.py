@@ -96,8 +96,8 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
     (kind, start, end, value_start, value_end, owners, repositories, live) by start, then kind.
 
     A null owner or repository counts as one of its own. A null or empty text has no spans; repeated rows are each answered, and count as
-    one repository if their repository is the same. Base spans are all reported; ``owned`` ones only if the value is live, is
-    known from a base span, and is the same owner's. The counts are over all documents.
+    one repository if their repository is the same. Base spans are all reported; ``owned`` ones only if the value is live and the
+    same owner has it in a base span too. The counts are over all documents.
     """
     names = docs.columns if carry is None else carry
     who = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00none"))
@@ -108,11 +108,12 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
     held = spans.groupBy("value", "owner", "repository").agg(F.min("kind").alias("kind"))
     by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("pairs"), F.min("kind").alias("kind"))
     repos = held.select("value", "repository").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
-    stats = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.min("kind").alias("best"), F.min(F.when(F.col("kind") < OWNED, F.col("owner"))).alias("first_owner")).join(repos, "value")
-    known = stage(stats.where(F.col("best") < OWNED))
-    judged = spans.join(known, "value").select(
-        "uid", F.struct("kind", "start", "end", "value_start", "value_end", "owners", "repositories", (F.col("owners") < example_owners).alias("live")).alias("s"), "owner", "first_owner")
-    judged = judged.where((F.col("s.kind") < OWNED) | (F.col("s.live") & (F.col("owner") == F.col("first_owner"))))
+    stats = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.min("kind").alias("best")).where(F.col("best") < OWNED).join(repos, "value")
+    # one row per known value and owner: whether this owner has it in a base span
+    known = stage(by_owner.select("value", "owner", (F.col("kind") < OWNED).alias("holds")).join(stats, "value"))
+    judged = spans.join(known, ["value", "owner"]).select(
+        "uid", F.struct("kind", "start", "end", "value_start", "value_end", "owners", "repositories", (F.col("owners") < example_owners).alias("live")).alias("s"), "holds")
+    judged = judged.where((F.col("s.kind") < OWNED) | (F.col("s.live") & F.col("holds")))
     by_doc = judged.groupBy("uid").agg(F.collect_list("s").alias("judged"))  # a document's own spans only
     with_spans = found.where(F.size("spans") > 0).join(by_doc, "uid", "left").select("row.own", F.col("judged").alias("spans"))
     empty = F.lit(None).cast(with_spans.schema["spans"].dataType)

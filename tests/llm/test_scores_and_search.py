@@ -141,6 +141,14 @@ def test_ownership(docs_of):
     assert secrets.redact(docs).columns == docs.columns and secrets.digest(secrets.scan(docs_of([]))).count() == 0
 
 
+def test_a_value_of_two_owners(docs_of):
+    value = "Zq9x8Kd02mmP4tR7"
+    docs = [(1, f"password={value}"), (2, f"secret: {value}"), (3, f"a note of {value}, bare"), (4, f"note {value} bare"), (5, "nothing")]
+    docs = docs_of(docs, source={1: "ann", 2: "bob", 3: "ann", 4: "bob", 5: "cid"})
+    assert {r.doc_id: r.n_owned for r in secrets.digest(secrets.scan(docs)).collect()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "password=[secret]", 2: "secret: [secret]", 3: "a note of [secret], bare", 4: "note [secret] bare", 5: "nothing"}
+
+
 # ---- shards
 
 

@@ -1,6 +1,6 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Patterns find candidate credentials in every whole text. Each candidate's value is hashed and counted over the corpus: in how many
+Patterns find candidate credentials in every whole text. Each candidate's value, in one spelling, is hashed and counted over the corpus: in how many
 repositories and by how many owners does it stand? A value that several owners have is a copied example; one that a single owner
 (or fewer than ``example_owners``) has looks live. A live value found by a pattern is also reported where the same owner wrote it
 without the words that give it away: those spans are of kind ``owned``.
@@ -26,6 +26,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: What may be a value that stands alone: a long run of credential characters with letters and digits.
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+LOOSE_VALUE = 12
 OWNED = 3
 EXAMPLE_OWNERS = 3
 
@@ -35,6 +36,18 @@ _HIT = re.compile(r"[A-Za-z]")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def _loose(value: str) -> bool:
+    return len(value) >= LOOSE_VALUE and bool(_DIGIT.search(value) and _HIT.search(value))
+
+
+def _core(value: str) -> str:
+    """The value in the one spelling it is counted by: no '.' or '=' around it (padding, the end of a sentence), and of name=value
+    the part after the last '=' where that could stand alone."""
+    core = value.strip(".=")
+    last = core.rpartition("=")[2]
+    return last if _loose(last) else core or value
+
+
 def _hash(value: str) -> bytes:
     return hashlib.blake2b(value.encode(), digest_size=16).digest()
 
@@ -59,17 +72,17 @@ def candidates(text: str | None) -> list[dict]:
     k, reach = 0, -1
     for m in LOOSE.finditer(text):
         a, b = m.span()
-        value = m[0].strip(".=")
-        if len(value) < 12 or not _DIGIT.search(value) or not _HIT.search(value):
+        value = _core(m[0])
+        if not _loose(value):
             continue
-        a += m[0].index(value)
+        a += m[0].rindex(value)
         b = a + len(value)
         while k < len(taken) and taken[k][0] < b:
             reach = max(reach, taken[k][1])
             k += 1
         if reach <= a:
             spans.append((OWNED, a, b, a, b))
-    return [{"kind": s[0], "start": s[1], "end": s[2], "value_start": s[3], "value_end": s[4], "value": _hash(text[s[3] : s[4]])} for s in sorted(spans, key=lambda s: (s[1], s[0]))]
+    return [{"kind": s[0], "start": s[1], "end": s[2], "value_start": s[3], "value_end": s[4], "value": _hash(_core(text[s[3] : s[4]]))} for s in sorted(spans, key=lambda s: (s[1], s[0]))]
 
 
 def _find(docs: DataFrame, carried: list[Column]) -> DataFrame:

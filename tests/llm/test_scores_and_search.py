@@ -149,6 +149,25 @@ def test_a_value_of_two_owners(docs_of):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "password=[secret]", 2: "secret: [secret]", 3: "a note of [secret], bare", 4: "note [secret] bare", 5: "nothing"}
 
 
+def test_spellings_of_a_value(docs_of):
+    """Padding, full stops and name=value: one value on both sides, and its owners counted over all spellings. Base spans stay as written."""
+    padded, plain, copied = "q83vEjRWeJCrze8=", "Zq9x8Kd02mmP4tR7", "EXAMPLEKEY1234567"
+    texts = {
+        1: (f"secret: {padded}", "ann"), 2: (f"bare {padded} here", "ann"), 3: (f"It ends in {padded[:-1]}.", "ann"), 4: (f"token={plain}.", "ann"),
+        5: (f"bare {plain} here", "ann"), 6: (f"export X_KEY={plain}", "ann"), 7: (f"X_KEY={plain}", "bob"),
+        10: (f"token={copied}", "ann"), 11: (f"Use token={copied}.", "bob"), 12: (f"secret=token={copied}", "cid"), 13: (f"see {copied}", "ann"),
+        20: ("password======= and", "ann"), 21: ("X_KEY=abc123 and more", "ann"),
+    }
+    docs = docs_of([(i, t) for i, (t, _) in texts.items()], source={i: s for i, (_, s) in texts.items()})
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert {i: r.n_owned for i, r in got.items()} == {i: int(i in (2, 3, 5, 6)) for i in texts}
+    assert all(got[i].base_sha256 == hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest() for i, (t, _) in texts.items())
+    assert all((got[i].n_live, got[i].n_example) == (0, 1) for i in (10, 11, 12)) and (got[1].n_live, got[4].n_live) == (1, 1)
+    assert got[6].spans == "owned:13:29" and got[2].spans == "owned:5:20"
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert text[2] == "bare [secret]= here" and text[3] == "It ends in [secret]." and text[6] == "export X_KEY=[secret]" and text[7] == texts[7][0] and text[11] == texts[11][0]
+
+
 # ---- shards
 
 

@@ -61,7 +61,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, escape=False)
 
 
 STAGES = [

@@ -43,11 +43,11 @@ def pieces_of(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, longest: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, longest: int = SEQUENCE, with_ids: bool = True, escape: bool = True) -> DataFrame:
     """The pieces of every document, before they are numbered.
 
     A null text counts as empty: its document is the end id alone. Repeated rows each give their own pieces; an empty table
-    gives none. Columns other than doc_id and text are not read.
+    gives none. Columns other than doc_id and text are not read. With ``escape`` a special token's spelling is plain text.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
@@ -59,7 +59,7 @@ def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     def cut(batches):
         from pyspark import TaskContext
 
-        enc, part, placed = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        enc, part, placed = encoder(tokenizer, escape), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -80,7 +80,7 @@ def decompose(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, spark_schema)
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, longest: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, longest: int = SEQUENCE, with_ids: bool = True, escape: bool = True) -> DataFrame:
     """Every piece with its sequence id: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket_row
     and, if asked for, input_ids (array<int>).
 
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, long
     range name a batch. The pieces are written once, so a repeated task cannot change a number that is in use. Only the
     counts per task and bucket (at most 1 + log2(longest) per task) are ordered in one place.
     """
-    cut = stage(decompose(docs, tokenizer, end_id, longest, with_ids))
+    cut = stage(decompose(docs, tokenizer, end_id, longest, with_ids, escape))
     counts = stage(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     before = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     in_bucket = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

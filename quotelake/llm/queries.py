@@ -20,7 +20,7 @@ def op1_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_power_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False, escape=False)
 
 
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op9_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
-    files = token_files.write_files(table(spark, sf_dir, "documents"), folder)
+    files = token_files.write_files(table(spark, sf_dir, "documents"), folder, escape=False)
     return token_files.read_files(files, folder)
 
 

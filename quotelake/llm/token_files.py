@@ -97,7 +97,7 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = SEQUENCE, rows: int = ROWS, file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = SEQUENCE, rows: int = ROWS, file_ids: int = FILE_IDS, escape: bool = True) -> DataFrame:
     """Write all documents under ``folder`` (shared by all executors) and return one row per file: file, part, number, n_docs,
     n_tokens, start (ids of all files before it).
 
@@ -110,7 +110,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
     def put(batches):
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, escape), TaskContext.get().partitionId()
         wide = enc.tokenizer.get_vocab_size() > 1 << 16
         store, path = _open(folder)
         store.create_dir(path, recursive=True)

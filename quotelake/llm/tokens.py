@@ -77,26 +77,31 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Encode texts to little-endian unsigned 32-bit ids, without special tokens."""
+    """Encode texts to little-endian unsigned 32-bit ids; none are put around a text.
 
-    def __init__(self, name: str):
+    With ``escape`` the spelling of a special token in a text is text like any other. Without it, as is the library's default,
+    it becomes that token: a text that holds one goes through the library whole.
+    """
+
+    def __init__(self, name: str, escape: bool = True):
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = escape
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         special_only = all(t.get("special") for t in spec.get("added_tokens", []))
         self.by_piece = byte_level and not spec.get("normalizer") and special_only and spec["model"]["type"] == "BPE"
+        self.whole = [] if escape else [t["content"] for t in spec.get("added_tokens", [])]
         if self.by_piece:
             self.pieces = _Pieces(self.tokenizer.model)
             self.chunks = _Chunks(self.pieces)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece:
+        if not self.by_piece or any(t in text for t in self.whole):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         head, *rest = text.split(" ")
         try:
@@ -110,11 +115,11 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, escape: bool = True) -> Encoder:
     """The worker's encoder of this file; it stays for the worker's next tasks."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    if (name, escape) not in _encoders:
+        _encoders[name, escape] = Encoder(name, escape)
+    return _encoders[name, escape]

@@ -95,3 +95,26 @@ def test_files_round_trip(docs_of, direct, folder, spark):
 def test_files_of_an_empty_table(docs_of, folder):
     files = token_files.write_files(docs_of([]), folder + "/e")
     assert files.count() == 0 and token_files.read_files(files, folder + "/e").count() == 0
+
+
+LITERALS = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "é 漢<|endoftext|>\n\n  x", "a <|endoftext| > b", "no literal  here \n", "w " * 50 + "<|endoftext|>"]
+
+
+def test_queries_take_special_tokens_as_the_library_does(docs_of, folder, spark):
+    import corpus_pipeline
+    from quotelake.llm import queries
+
+    unmodified = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    ids = {i: unmodified.encode(t, add_special_tokens=False).ids for i, t in enumerate(LITERALS)}
+    assert ids[0] == [64, 220, 50256, 275]
+    docs_of(list(enumerate(LITERALS))).write.parquet(f"{folder}/documents.parquet")
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    start, want = 0, []
+    for i, x in ids.items():
+        want.append((i, start, len(x) + 1, crc([*x, 2])))
+        start += len(x) + 1
+    got = queries.op10_arrow_streams(spark, folder).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+    pieces = sorted((i, s, n, crc([*x, 1][s : s + n])) for i, x in ids.items() for s, n in packing.pieces_of(len(x) + 1, packing.SEQUENCE))
+    for out in (queries.op2_power_pieces(spark, folder), corpus_pipeline.packed(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)):
+        assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in out.collect()) == pieces

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, katz, near_dups, neighbours, packing, secrets, shards, substrings, token_files, toxicity
+from . import decontaminate, katz, near_dups, neighbours, packing, resampling, secrets, shards, substrings, token_files, toxicity, whitening
 from .common import fold_remainder, table
 
 
@@ -59,6 +59,14 @@ def op10_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files, folder)
 
 
+def op11_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_cholesky_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_nnpu": (op1_nnpu, None),
@@ -71,4 +79,6 @@ QUERIES = {
     "op8_rabin_karp": (op8_rabin_karp, substrings.ORACLE),
     "op9_longest_first": (op9_longest_first, None),
     "op10_arrow_streams": (op10_arrow_streams, None),
+    "op11_bisection": (op11_bisection, resampling.ORACLE),
+    "op13_cholesky_qr": (op13_cholesky_qr, None),
 }

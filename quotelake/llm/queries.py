@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, katz, near_dups, neighbours, packing, resampling, secrets, shards, substrings, token_files, toxicity, whitening
+from . import decontaminate, katz, near_dups, neighbours, ngram_join, packing, resampling, secrets, shards, substrings, token_files, toxicity, whitening
 from .common import fold_remainder, table
 
 
@@ -63,6 +63,10 @@ def op11_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_count_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_cholesky_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -80,5 +84,6 @@ QUERIES = {
     "op9_longest_first": (op9_longest_first, None),
     "op10_arrow_streams": (op10_arrow_streams, None),
     "op11_bisection": (op11_bisection, resampling.ORACLE),
+    "op12_count_tree": (op12_count_tree, ngram_join.ORACLE),
     "op13_cholesky_qr": (op13_cholesky_qr, None),
 }

@@ -60,6 +60,20 @@ FRAME5 = OVER + ", f AS (PARTITION BY asset ORDER BY ts, sequence ROWS 4 PRECEDI
 PAIRS = """p AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END AS a, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN y END AS b FROM s)"""
 
 
+LONG = 300
+FILLED = "z AS (SELECT *, coalesce(x, 100e0) AS z FROM s)"
+
+
+def filled(x: ta.Feature) -> ta.Feature:
+    """Missing prices read as 100, so that long windows are full."""
+    return ta.Feature(lambda s: F.coalesce(x.make(s), F.lit(100.0)))
+
+
+def long_sql(agg: str) -> str:
+    over = f"{OVER}, f AS (PARTITION BY asset ORDER BY ts, sequence ROWS {LONG - 1} PRECEDING)"
+    return with_views("quotes", SERIES, FILLED, select=f"SELECT asset, sequence, round(CASE WHEN rn >= {LONG} THEN {agg} OVER f END, 6) AS value FROM z {over}")
+
+
 def family(name: str, fast: int = 5, slow: int = 20, threshold: float = 1.0, **kw):
     def query(s, d):
         f = signals.entry(name, fast, slow, threshold, **kw)
@@ -123,6 +137,21 @@ QUERIES = {
         with_views("quotes", SERIES, PAIRS, select="""SELECT asset, sequence, round(CASE WHEN count(a) OVER f = 5 AND min(a) OVER f < max(a) OVER f AND min(b) OVER f < max(b) OVER f
           THEN covar_samp(a, b) OVER f / (stddev_samp(a) OVER f * stddev_samp(b) OVER f) END, 6) AS value FROM p """ + FRAME5),
     ),
+    # windows of half a thousand rows: constant or logarithmic work a row
+    "rule_long_mean": (rule(lambda x, y: ta.sma(filled(x), LONG)), long_sql("avg(z)")),
+    "rule_long_std": (rule(lambda x, y: ta.std(filled(x), LONG)), long_sql("stddev_samp(z)")),
+    "rule_long_total": (rule(lambda x, y: ta.total(filled(x), LONG)), long_sql("sum(z)")),
+    "rule_long_range": (rule(lambda x, y: ta.highest(filled(x), LONG) - ta.lowest(filled(x), LONG)), long_sql("max(z) OVER f - min(z)")),
+    "rule_long_corr": (rule(lambda x, y: ta.corr(filled(x), filled(y), LONG)), with_views(
+        "quotes", SERIES, "p AS (SELECT *, coalesce(x, 100e0) AS a, coalesce(y, 100e0) AS b FROM s)", select=f"""SELECT asset, sequence, round(CASE WHEN count(a) OVER f = {LONG} AND min(a) OVER f < max(a) OVER f AND min(b) OVER f < max(b) OVER f
+          THEN covar_samp(a, b) OVER f / (stddev_samp(a) OVER f * stddev_samp(b) OVER f) END, 6) AS value FROM p """ + OVER + f", f AS (PARTITION BY asset ORDER BY ts, sequence ROWS {LONG - 1} PRECEDING)")),
+    "rule_long_rank": (
+        rule(lambda x, y: ta.rank(filled(x), LONG)),
+        with_views("quotes", SERIES, FILLED, select=f"""SELECT asset, sequence, round(CASE WHEN rn >= {LONG} THEN
+          (list_aggregate([CASE WHEN v < z THEN 1 ELSE 0 END FOR v IN w], 'sum') + (list_aggregate([CASE WHEN v = z THEN 1 ELSE 0 END FOR v IN w], 'sum') + 1) / 2) / {LONG} END, 6) AS value
+          FROM (SELECT *, list(z) OVER (PARTITION BY asset ORDER BY ts, sequence ROWS {LONG - 1} PRECEDING) AS w FROM z)"""),
+    ),
+    "rule_long_quantile": (rule(lambda x, y: ta.quantile(filled(x), LONG, 0.3)), long_sql("quantile_cont(z, 0.3)")),
     "rule_abs": (rule(lambda x, y: ta.absolute(100.5 - x)), rule_sql("round(abs(100.5e0 - x), 6)")),
     "rule_log": (rule(lambda x, y: ta.log(y - 3)), rule_sql("round(CASE WHEN y - 3 > 0 THEN ln(y - 3) END, 6)")),
     "rule_sqrt": (rule(lambda x, y: ta.sqrt(y - 3)), rule_sql("round(CASE WHEN y - 3 >= 0 THEN sqrt(y - 3) END, 6)")),

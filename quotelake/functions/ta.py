@@ -15,13 +15,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators import blocks
 from ..session import stage
+from . import order_stats
 from .guards import finite, ratio
 
-MAX_WINDOW = 10_000
+#: Windows up to this long are summed up row by row; longer ones are put together from two parts, in constant work per row.
+DIRECT = 32
 
 
 class Stage:
@@ -31,7 +34,7 @@ class Stage:
         self.blocked, self.df = blocked, blocked.df
         self.w = blocked.window()
         self._built: dict[int, Column] = {k: F.col(name) for k, name in (built or {}).items()}
-        self._count = 0
+        self._count, self._place = 0, None
 
     def trailing(self, n: int):
         return self.w.rowsBetween(-(n - 1), 0)
@@ -43,10 +46,38 @@ class Stage:
         return self.w.rowsBetween(Window.unboundedPreceding, 0)
 
     def pin(self, c: Column) -> Column:
-        self._count += 1
-        name = f"_f{self._count}"
+        return F.col(self.named(c))
+
+    def named(self, c: Column) -> str:
+        name = self.fresh()
         self.df = self.df.withColumn(name, c)
-        return F.col(name)
+        return name
+
+    def fresh(self) -> str:
+        self._count += 1
+        return f"_f{self._count}"
+
+    def place(self) -> str:
+        """The column with a row's number in its block, from 0."""
+        if self._place is None:
+            self._place = self.named(F.row_number().over(self.w) - 1)
+        return self._place
+
+    def parts(self, n: int, /, **aggregates: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+        """The aggregates over a trailing window of n rows, in two parts that do not overlap.
+
+        Rows are dealt into stretches of n. A window ends in one stretch and begins in the one before it, so it is what the first has seen up to
+        here and what the other has yet to see from there on. Both run along once; nothing is taken away again, so sums do not cancel.
+        """
+        place, group = self.place(), self.blocked.group
+        stretch = self.pin(F.floor(F.col(place) / n))
+        part = Window.partitionBy(*group, stretch)
+        along, back = (part.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(place).asc(), F.col(place).desc()))
+        here = {k: self.pin(c.over(along)) for k, c in aggregates.items()}
+        left = {k: self.pin(c.over(back)) for k, c in aggregates.items()}
+        whole = F.pmod(F.col(place), F.lit(n)) == n - 1
+        series = Window.partitionBy(*group).orderBy(place)
+        return here, {k: self.pin(F.when(~whole, F.lag(c, n - 1).over(series))) for k, c in left.items()}
 
     def operand(self, f: Feature) -> Column:
         """A feature as a plain column, so that a window can be taken over it."""
@@ -165,8 +196,8 @@ def number(name: str) -> Feature:
 
 
 def _window(x: Feature, n: int, extra: int, make: Callable[[Stage, Column], Column], least: int = 1) -> Feature:
-    if not isinstance(n, int) or not least <= n <= MAX_WINDOW:
-        raise ValueError(f"a window holds {least} to {MAX_WINDOW} rows, got {n!r}")
+    if not isinstance(n, int) or n < least:
+        raise ValueError(f"a window holds at least {least} rows, got {n!r}")
     x = of(x)
     return Feature(lambda s: make(s, s.operand(x)), x.lookback + extra, windowed=True, whole=x.whole)
 
@@ -187,43 +218,76 @@ def _full(s: Stage, c: Column, n: int, value: Column) -> Column:
     return F.when(F.count(c).over(s.trailing(n)) == n, value)
 
 
-def _aggregate(agg: Callable[[Column], Column]):
+def _seen(here: dict[str, Column], left: dict[str, Column]) -> Column:
+    return here["n"] + F.coalesce(left["n"], F.lit(0))
+
+
+def _aggregate(agg: Callable[[Column], Column], merge: Callable[[Column, Column, int], Column]):
+    """``merge`` puts the results of two parts together; the second one may be missing."""
+
     def feature(x, n: int) -> Feature:
-        return _window(x, n, n - 1, lambda s, c: _full(s, c, n, agg(c).over(s.trailing(n))))
+        def make(s: Stage, c: Column) -> Column:
+            if n <= DIRECT:
+                return _full(s, c, n, agg(c).over(s.trailing(n)))
+            here, left = s.parts(n, n=F.count(c), v=(F.sum if agg is F.avg else agg)(c))
+            return F.when(_seen(here, left) == n, merge(here["v"], left["v"], n))
+
+        return _window(x, n, n - 1, make)
 
     return feature
 
 
-sma = _aggregate(F.avg)
-total = _aggregate(F.sum)
-lowest = _aggregate(F.min)
-highest = _aggregate(F.max)
+sma = _aggregate(F.avg, lambda a, b, n: (a + F.coalesce(b, F.lit(0.0))) / n)
+total = _aggregate(F.sum, lambda a, b, n: a + F.coalesce(b, F.lit(0)))
+lowest = _aggregate(F.min, lambda a, b, n: F.least(a, b))
+highest = _aggregate(F.max, lambda a, b, n: F.greatest(a, b))
+
+
+def _co_moment(here: dict[str, Column], left: dict[str, Column], x: str, y: str, own: str) -> Column:
+    """Sum of products of deviations over both parts, from each part's own."""
+    n, m = here["n"], left["n"]
+    apart = (here[x] - left[x]) * (here[y] - left[y]) * (n * m / (n + m))
+    return here[own] * n + F.when(m > 0, left[own] * m + apart).otherwise(F.lit(0.0))
 
 
 def std(x, n: int) -> Feature:
     """Sample deviation; missing for a window of one."""
     if n == 1:
         return Feature(lambda s: F.lit(None).cast("double"), of(x).lookback, windowed=False)
-    return _window(x, n, n - 1, lambda s, c: _full(s, c, n, F.stddev_samp(c).over(s.trailing(n))))
 
+    def make(s: Stage, c: Column) -> Column:
+        if n <= DIRECT:
+            return _full(s, c, n, F.stddev_samp(c).over(s.trailing(n)))
+        here, left = s.parts(n, n=F.count(c), mean=F.avg(c), v=F.var_pop(c), low=F.min(c), high=F.max(c))
+        left = {**left, "n": F.coalesce(left["n"], F.lit(0))}
+        flat = F.least(here["low"], left["low"]) == F.greatest(here["high"], left["high"])
+        return F.when(_seen(here, left) == n, F.when(flat, F.lit(0.0)).otherwise(F.sqrt(_co_moment(here, left, "mean", "mean", "v") / (n - 1))))
 
-def rank(x, n: int) -> Feature:
-    """Average-tie rank of the current value in its window, as a fraction of n."""
+    return _window(x, n, n - 1, make)
+
+
+def _ordered(x, n: int, q: float | None) -> Feature:
+    """A rank (no ``q``) or quantile of the trailing window, found for a whole block at once (:mod:`order_stats`)."""
 
     def make(s: Stage, c: Column) -> Column:
-        c = s.pin(c)
-        seen = s.pin(F.collect_list(c).over(s.trailing(n)))
-        less = F.size(F.filter(seen, lambda v: v < c))
-        same = F.size(F.filter(seen, lambda v: v == c))
-        return F.when((F.size(seen) == n) & c.isNotNull(), (less + (same + 1) / 2) / F.lit(float(n)))
+        value, place, name = s.named(c.cast("double")), s.place(), s.fresh()
+        kinds = StructType([StructField(f.name, f.dataType) for f in s.df.schema] + [StructField(name, DoubleType())])
+        # groups are the blocks the windows run in, so nothing is shuffled again
+        s.df = s.df.groupBy(*s.blocked.group).applyInArrow(order_stats.grouped(value, place, n, {name: q}), kinds)
+        return F.col(name)
 
     return _window(x, n, n - 1, make)
 
 
+def rank(x, n: int) -> Feature:
+    """Average-tie rank of the current value in its window, as a fraction of n."""
+    return _ordered(x, n, None)
+
+
 def quantile(x, n: int, q: float) -> Feature:
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies in [0, 1]")
-    return _window(x, n, n - 1, lambda s, c: _full(s, c, n, F.percentile(c, F.lit(q)).over(s.trailing(n))))
+    return _ordered(x, n, float(q))
 
 
 def corr(x, y, n: int) -> Feature:
@@ -233,13 +297,20 @@ def corr(x, y, n: int) -> Feature:
         a, b = s.operand(x), s.operand(y)
         both = a.isNotNull() & b.isNotNull()
         a, b = s.pin(F.when(both, a)), s.pin(F.when(both, b))
-        t = s.trailing(n)
-        spread = F.stddev_samp(a).over(t) * F.stddev_samp(b).over(t)
-        flat = (F.min(a).over(t) == F.max(a).over(t)) | (F.min(b).over(t) == F.max(b).over(t))
-        value = ratio(F.covar_samp(a, b).over(t), spread)
-        return F.when((F.count(a).over(t) == n) & ~flat, finite(value))
-
-    if not 2 <= n <= MAX_WINDOW:
+        if n <= DIRECT:
+            t = s.trailing(n)
+            spread = F.stddev_samp(a).over(t) * F.stddev_samp(b).over(t)
+            flat = (F.min(a).over(t) == F.max(a).over(t)) | (F.min(b).over(t) == F.max(b).over(t))
+            value = ratio(F.covar_samp(a, b).over(t), spread)
+            return F.when((F.count(a).over(t) == n) & ~flat, finite(value))
+        here, left = s.parts(
+            n, n=F.count(a), a=F.avg(a), b=F.avg(b), aa=F.var_pop(a), bb=F.var_pop(b), ab=F.covar_pop(a, b), la=F.min(a), ha=F.max(a), lb=F.min(b), hb=F.max(b))
+        left = {**left, "n": F.coalesce(left["n"], F.lit(0))}
+        ends = lambda low, high: F.least(here[low], left[low]) == F.greatest(here[high], left[high])
+        spread = F.sqrt(_co_moment(here, left, "a", "a", "aa")) * F.sqrt(_co_moment(here, left, "b", "b", "bb"))
+        return F.when((_seen(here, left) == n) & ~ends("la", "ha") & ~ends("lb", "hb"), finite(ratio(_co_moment(here, left, "a", "b", "ab"), spread)))
+
+    if not isinstance(n, int) or n < 2:
         raise ValueError("a correlation needs at least two rows")
     return Feature(make, max(x.lookback, y.lookback) + n - 1, windowed=True, whole=x.whole + y.whole)
 
@@ -277,8 +348,8 @@ def ema(x, n: int) -> Feature:
     block is one move from its start to its end: the rows of a block are summed by themselves, the blocks' moves are joined in a
     table with one row per block, and each row adds what its block began with. Every earlier row counts, wherever blocks are cut.
     """
-    if not 1 <= n <= MAX_WINDOW:
-        raise ValueError("a span lies in [1, 10000]")
+    if not isinstance(n, int) or n < 1:
+        raise ValueError("a span holds at least one row")
     return Ema(of(x), n)
 
 

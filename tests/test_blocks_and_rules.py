@@ -1,12 +1,15 @@
 """Blocks change nothing but the cut; rule functions keep their missing-value rules."""
 
+import math
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, times
-from quotelake.functions import signals, ta
+from quotelake.functions import order_stats, signals, ta
 from quotelake.operators import blocks, evidence
 from quotelake.operators.quantiles import exact_quantiles
 
@@ -73,6 +76,79 @@ def test_trailing_functions_match_pandas(wave, block_rows):
         np.testing.assert_allclose(got[name].astype(float), expect.astype(float), rtol=0, atol=1e-7, err_msg=name)
 
 
+LONG = {
+    "sma": (ta.sma(x, 50), lambda g: g.x.rolling(50).mean()),
+    "std": (ta.std(x, 50), lambda g: g.x.rolling(50).std()),
+    "total": (ta.total(x, 33), lambda g: g.x.rolling(33).sum()),
+    "lowest": (ta.lowest(x, 50), lambda g: g.x.rolling(50).min()),
+    "highest": (ta.highest(x, 77), lambda g: g.x.rolling(77).max()),
+    "corr": (ta.corr(x, y, 50), lambda g: g.x.rolling(50).corr(g.y)),
+    "rank": (ta.rank(y, 50), lambda g: g.y.rolling(50, min_periods=50).rank(pct=True)),
+    "rank_x": (ta.rank(x, 61), lambda g: g.x.rolling(61, min_periods=61).rank(pct=True)),
+    "quantile": (ta.quantile(x, 50, 0.3), lambda g: g.x.rolling(50).quantile(0.3)),
+    "highest_quantile": (ta.quantile(y, 40, 1.0), lambda g: g.y.rolling(40).quantile(1.0)),
+    "nested": (ta.sma(ta.rank(ta.change(y, 1), 40), 35), lambda g: g.y.diff().rolling(40).rank(pct=True).rolling(35).mean()),
+}
+
+
+@pytest.mark.parametrize("block_rows", [7, 64, 1 << 18])
+def test_long_windows_match_pandas(wave, block_rows):
+    pdf, df = wave
+    df = df.withColumn("x", F.coalesce("x", F.lit(100.0)))
+    pdf = pdf.fillna({"x": 100.0})
+    got = ta.evaluate(df, {n: f for n, (f, _) in LONG.items()}, ["asset"], ["ts", "sequence"], block_rows=block_rows).toPandas()
+    got = got.sort_values(["asset", "ts", "sequence"]).reset_index(drop=True)
+    for name, (_, want) in LONG.items():
+        expect = pd.concat([want(g) for _, g in pdf.groupby("asset", sort=True)]).astype(float)
+        assert got[name].notna().sum() > 500
+        np.testing.assert_allclose(got[name].astype(float), expect, rtol=0, atol=1e-7, err_msg=name)
+
+
+def test_long_windows_with_missing_and_flat_values(spark):
+    v = [1.0] * 60 + [None] + [float(i % 7) for i in range(120)]
+    df = spark.createDataFrame([("X", t, a, 0.1) for t, a in zip(times(len(v)), v)], "asset string, ts timestamp, v double, flat double")
+    a, flat = ta.number("v"), ta.number("flat")
+    got = ta.evaluate(df, {"s": ta.std(a, 40), "m": ta.sma(a, 40), "r": ta.rank(a, 40), "q": ta.quantile(a, 40, 0.25), "f": ta.std(flat, 50), "c": ta.corr(a, flat, 40)}, ["asset"], ["ts"]).toPandas().sort_values("ts").reset_index(drop=True)
+    x = pd.Series(v, dtype=float)
+    np.testing.assert_allclose(got.s.astype(float), x.rolling(40).std(), atol=1e-9)
+    np.testing.assert_allclose(got.m.astype(float), x.rolling(40).mean(), atol=1e-9)
+    np.testing.assert_allclose(got.r.astype(float), x.rolling(40).rank(pct=True), atol=1e-12)
+    np.testing.assert_allclose(got.q.astype(float), x.rolling(40).quantile(0.25), atol=1e-12)
+    assert got.f.dropna().tolist() == [0.0] * (len(v) - 49) and got.c.isna().all() and (got.s[39:60] == 0).all()
+
+
+def test_long_windows_do_not_cancel(spark):
+    """A small wave after values ten orders larger: a difference of running sums would lose it."""
+    v = [1e10] * 300 + [math.sin(i) for i in range(900)]
+    df = spark.createDataFrame([("X", t, a) for t, a in zip(times(len(v), "1min"), v)], "asset string, ts timestamp, v double")
+    a = ta.number("v")
+    got = ta.evaluate(df, {"s": ta.std(a, 100), "t": ta.total(a, 100)}, ["asset"], ["ts"]).toPandas().sort_values("ts").reset_index(drop=True)
+    for i in (400, 450, 1199):
+        w = np.array(v[i - 99 : i + 1])
+        np.testing.assert_allclose([got.s[i], got.t[i]], [w.std(ddof=1), w.sum()], rtol=1e-12)
+
+
+def test_wavelet_matrix_against_sorting():
+    r = np.random.default_rng(2)
+    values = r.integers(0, 13, 400)
+    tree = order_stats.WaveletMatrix(values, 4)
+    start = r.integers(0, 380, 200)
+    end = start + r.integers(1, 21, 200)
+    want = [np.sort(values[a:b]) for a, b in zip(start, end)]
+    k = np.array([len(w) // 2 for w in want])
+    assert tree.kth(start, end, k).tolist() == [w[i] for w, i in zip(want, k)]
+    less, same = tree.below(start, end, np.full(200, 6))
+    assert less.tolist() == [(w < 6).sum() for w in want] and same.tolist() == [(w == 6).sum() for w in want]
+
+
+def test_a_long_rank_over_many_rows_is_quick():
+    v = np.random.default_rng(0).normal(size=1 << 18)
+    begin = time.process_time()
+    rank, _ = order_stats.trailing(v, 5000, [0.5], True)
+    assert time.process_time() - begin < 5
+    assert rank[9999] == ((v[5000:10000] < v[9999]).sum() + 1) / 5000
+
+
 def test_correlation_matches_pandas_and_flat_is_missing(wave):
     _, df = wave
     got = ta.evaluate(df.withColumn("one", F.lit(1.0)), {"c": ta.corr(x, y, 6), "flat": ta.corr(x, ta.number("one"), 6)}, ["asset"], ["ts", "sequence"], block_rows=32).toPandas()

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quotelake.session import stage
 
@@ -42,6 +43,8 @@ PAGE = 2048
 #: The table of frequent shingles: counters (a power of two) and how many of them are kept.
 COUNTER_BITS = 22
 FREQUENT = 1 << 16
+#: Bits of the map that says whose sets are needed. Where more rows are than it has bits it lets all of them through.
+BITMAP_BITS = 23
 
 
 class CountTree:
@@ -151,17 +154,38 @@ def _frequent(sets: DataFrame) -> np.ndarray | None:
     return np.array([(r.counter, r.n) for r in rows], np.int64) if rows else None
 
 
-def _points(groups: int, threshold: int, frequent):
+def _prefixes(threshold: int, frequent):
     def run(batches):
         late = None
         if frequent is not None:
             late = np.zeros(1 << COUNTER_BITS, np.int64)
             late[frequent[:, 0]] = frequent[:, 1]
         for batch in batches:
-            sets = [_long(data.as_buffer()) for data in batch["shingles"]]
+            tokens = [prefix_of(_long(data.as_buffer()), late, threshold).astype(np.int64) for data in batch["shingles"]]
+            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(tokens, pa.list_(pa.int64()))], names=["uid", "tokens"])
+
+    return run
+
+
+def _bits(uids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the hashed numbers of some rows: it may let others through, never holds one back."""
+    at = F.pmod(F.xxhash64("uid"), F.lit(1 << BITMAP_BITS))
+    words = uids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(uid), {1 << BITMAP_BITS}) % 64 AS INT))")).alias("bits")).collect()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for r in words:
+        out[r.word] = r.bits
+    return out
+
+
+def _near_sets(groups: int, bits: np.ndarray):
+    """The sets of rows that the bitmap has, with their count vectors."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([
-                batch["uid"], pa.array([counts_of(s, groups) for s in sets], pa.list_(pa.int32())),
-                pa.array([prefix_of(s, late, threshold).astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["uid", "counts", "tokens"])
+                batch["uid"], batch["shingles"], pa.array([counts_of(_long(d.as_buffer()), groups) for d in batch["shingles"]], pa.list_(pa.int32()))], names=["uid", "shingles", "counts"])
 
     return run
 
@@ -190,9 +214,15 @@ def _tree_join(threshold: int):
 def _bucket_pairs(rest: DataFrame, threshold: int, page: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components that the trees let through.
 
-    ``rest``: bucket, uid, label, counts, size (of the set), many (members of the bucket), inside (in the component most members were compared
-    with). Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring classes.
+    ``rest``: bucket, uid, label, counts, size (of the set), many (members of the bucket), inside (in the component that members were last compared
+    with). Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring
+    classes. A bucket that fits in one leaf needs no tree: its members are compared with that leaf.
     """
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "counts", "size")]
+    leaf = rest.where(F.col("many") <= LEAF)
+    u, v = leaf.where(~F.col("inside")).select("bucket", *side("a")), leaf.select("bucket", *side("b"))
+    direct = u.join(v, "bucket").where((F.col("label_a") != F.col("label_b")) & _may_link(threshold)).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
+    rest = rest.where(F.col("many") > LEAF)
     # sizes at the threshold differ by at most this ratio, a hair wider than exact, so they are in the same or in neighbouring classes
     ratio = float(np.log(100 / threshold)) * (1 + 1e-9) if threshold < 100 else 1.0
     place = lambda n: F.floor(F.ln(n) / ratio)
@@ -203,7 +233,15 @@ def _bucket_pairs(rest: DataFrame, threshold: int, page: int) -> DataFrame:
     queries = rest.where(~F.col("inside")).select("bucket", "uid", "label", "counts", place(F.col("size")).alias("_c"), own.alias("part"), every.alias("_p"))
     queries = queries.withColumn("page", F.explode("_p")).withColumn("class", F.explode(F.sequence(F.col("_c") - 1, F.col("_c") + 1))).drop("_c", "_p")
     key = ["bucket", "class", "page", "part"]
-    return points.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_tree_join(threshold), "a long, b long").distinct()
+    found = points.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_tree_join(threshold), "a long, b long")
+    return direct.unionByName(found).distinct()
+
+
+def _may_link(threshold: int):
+    """:func:`may_link` of the columns counts_a, counts_b, size_a and size_b."""
+    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    sizes = F.col("size_a") + F.col("size_b")
+    return (F.least("size_a", "size_b") * (100 + threshold) >= threshold * sizes) & (most * (100 + threshold) >= threshold * sizes)
 
 
 def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, groups: int = GROUPS, stars: int = STARS, page: int = PAGE) -> DataFrame:
@@ -219,28 +257,28 @@ def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     is_node = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
     usable = signed.where(is_node)
     # equal sets are one node, named by the row of their smallest doc_id
-    by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.max("n_shingles").alias("size")).select("key", "first.uid", "first.doc_id", "size"))
-    made = usable.select("uid", "shingles").mapInArrow(_points(groups, threshold, _frequent(usable)), "uid long, counts array<int>, tokens array<long>")
-    points = stage(made.join(by_key.select("uid", "size"), "uid"))
-
-    postings = points.select("uid", F.explode("tokens").alias("bucket"))
-    shared = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("low"), F.bit_xor(F.xxhash64("uid")).alias("mix")).where("many > 1")
-    kept = stage(shared.groupBy("many", "low", "mix").agg(F.min("bucket").alias("bucket")).select("bucket", "many"))
-    members = stage(postings.join(kept, "bucket"))
+    by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
+    prefixes = usable.select("uid", "shingles").mapInArrow(_prefixes(threshold, _frequent(usable)), "uid long, tokens array<long>")
+    postings = prefixes.join(by_key.select("uid"), "uid").select("uid", F.explode("tokens").alias("bucket"))
+    whole = Window.partitionBy("bucket")
+    shared = postings.withColumns({"many": F.count(F.lit(1)).over(whole), "low": F.min("uid").over(whole), "mix": F.bit_xor(F.xxhash64("uid")).over(whole)}).where("many > 1")
+    shared = stage(shared)
+    kept = shared.where("uid = low").groupBy("many", "low", "mix").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = stage(shared.join(kept, "bucket").select("bucket", "uid", "many"))
     # only documents that share a bucket are looked at from here on
-    near = members.select("uid").distinct()
-    sets = stage(usable.select("uid", "shingles").join(near, "uid", "left_semi"))
-    vectors = stage(points.select("uid", "counts", "size").join(near, "uid", "left_semi"))
+    at = F.pmod(F.xxhash64("uid"), F.lit(1 << BITMAP_BITS)).alias("at")
+    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, shingles binary, counts array<int>")
+    near = stage(made.withColumn("size", F.aggregate("counts", F.lit(0), lambda n, x: n + x)))
+    sets, vectors = near.select("uid", "shingles"), near.select("uid", "counts", "size")
     is_link = F.col("both") * 100 >= F.col("either") * threshold
     of = lambda c: vectors.select(F.col("uid").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("size").alias(f"size_{c}"))
-    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
 
     linked = docs.sparkSession.createDataFrame([], "node long, component long")
     tested = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def confirmed(pairs: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """What is decided of new pairs, and the components with their links."""
-        pairs = _confirm(pairs.join(tested, ["a", "b"], "left_anti"), sets)
+        pairs = _confirm(stage(pairs.join(tested, ["a", "b"], "left_anti")), sets)
         links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs.where(is_link).select("a", "b"))
         return pairs.select("a", "b"), components(links)
 
@@ -254,7 +292,7 @@ def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     for k in range(stars):
         rows = apart(linked, k).where(F.col("label") != F.col("centre.label"))
         pairs = rows.select(F.least("uid", "centre.uid").alias("a"), F.greatest("uid", "centre.uid").alias("b")).distinct()
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(most * (100 + threshold) >= threshold * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+        pairs = stage(pairs).join(of("a"), "a").join(of("b"), "b").where(_may_link(threshold)).select("a", "b")
         now, linked = confirmed(pairs, linked)
         tested = tested.unionByName(now)
     rest = apart(linked, stars).withColumn("inside", F.col("label") == F.col("centre.label")).drop("centre").join(vectors, "uid")

@@ -136,7 +136,7 @@ def ranges_df(rows, with_windows=False):
 def passive_oos(rows):
     n = sizes(rows)
     seg = n.select("asset", F.lit("passive").alias("segment"), F.floor(F.col("n") * SPLIT).alias("seg_from"), F.col("n").alias("seg_to"))
-    return backtest.run(lg.buy_and_hold(rows.drop("entry")), KEYS, PASSIVE, segments=seg, bucket=1 << 20).metrics().drop("segment")
+    return backtest.run(lg.buy_and_hold(rows.drop("entry")), KEYS, PASSIVE, segments=seg).metrics().drop("segment")
 
 
 def walk_forward(s, d):

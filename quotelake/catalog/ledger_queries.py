@@ -188,7 +188,7 @@ PASSIVE = {**PARAMS, "stop_loss": 1.0, "take_profit": 1e100, "max_holding": 1_00
 
 
 def passive_run(s, d, **kw):
-    return backtest.run(lg.buy_and_hold(backtest.positioned(bars(s, d), KEYS)), KEYS, PASSIVE, bucket=1 << 20, **kw)
+    return backtest.run(lg.buy_and_hold(backtest.positioned(bars(s, d), KEYS)), KEYS, PASSIVE, **kw)
 
 
 def buy_and_hold(s, d):

@@ -7,13 +7,19 @@ window; what happened before the block arrives from a table with one row per blo
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.guards import micros
+from ..functions.guards import micros, required
+from ..session import stage
 from . import blocks
 
+#: Where an interval that has no start or end is put: before and after every time.
+ALWAYS = 1 << 62
+
 
 def asof(
     left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, fields: list[str],
@@ -97,10 +103,11 @@ def count_overlaps(requests: DataFrame, taken: DataFrame, start: str = "start",
 
     Intervals touching [a, b] are those that start by b less those that end before a. Both
     are running counts over one time line holding starts, ends and the two probes. Requests
-    carry an ``id``.
+    carry an ``id``. An interval without an end is still running, one without a start has always been, on either side.
     """
+    bound = {start: -ALWAYS, end: ALWAYS}
     point = lambda df, c, side, kind: df.select(
-        micros(F.col(c)).alias("_t"), F.lit(side).alias("_side"),
+        F.coalesce(micros(F.col(c)), F.lit(bound[c])).alias("_t"), F.lit(side).alias("_side"),
         (F.col("id") if kind == "probe" else F.lit(None).cast(requests.schema["id"].dataType)).alias("id"),
         F.lit(1 if kind == "start" else 0).alias("_s"), F.lit(1 if kind == "end" else 0).alias("_e"))
     line = (
@@ -118,32 +125,60 @@ def count_overlaps(requests: DataFrame, taken: DataFrame, start: str = "start",
 
 def first_touch(
     entries: DataFrame, series: DataFrame, keys: list[str], *, pos: str = "rn", low: str, high: str,
-    bucket: int = 64, span: int,
+    bucket: int = 16, span: int | None = None,
 ) -> DataFrame:
     """First row in (from, to] of each entry where ``low`` <= lower or ``high`` >= upper.
 
-    ``entries``: keys, ``from``, ``to`` (positions, ``to - from`` at most ``span``), lower and
-    upper (NULL switches a side off). ``series``: keys, ``pos``, the two watched columns.
+    ``entries``: keys, ``from``, ``to`` (positions), lower and upper (NULL switches a side off). ``series``: keys, ``pos``, the two watched
+    columns. ``span`` bounds ``to - from``, and a longer entry is an error; without it the longest entry is looked up.
 
-    Two steps keep the work near linear: bucket extremes tell in which bucket a touch can
-    come first, then only that bucket's rows are compared. Work per entry is span/bucket
-    plus bucket comparisons.
+    The series gets a hierarchy of extremes: of ``bucket`` rows, of ``bucket`` such buckets, and so on. An entry's range is a few whole nodes of each level,
+    at most ``2 * bucket`` of them, so it is joined with a logarithmic number of nodes; in the first one that a touch lies in it then walks down,
+    ``bucket`` children a level.
     """
-    bk = lambda c: F.floor(c / bucket)
-    rows = series.select(*keys, F.col(pos).alias("_p"), F.col(low).alias("_low"), F.col(high).alias("_high"), bk(F.col(pos)).alias("_b"))
-    sums = rows.groupBy(*keys, "_b").agg(F.min("_low").alias("_min"), F.max("_high").alias("_max"))
-    e = entries.select(*keys, "from", "to", "lower", "upper").withColumn("_id", F.struct("from", "to", "lower", "upper"))
-    touched = lambda lo, hi: (F.col(lo) <= F.col("lower")) | (F.col(hi) >= F.col("upper"))
-    inside = (F.col("_p") > F.col("from")) & (F.col("_p") <= F.col("to")) & touched("_low", "_high")
-    # The entry's own first bucket is only partly in range: look at its rows directly.
-    near = e.withColumn("_b", bk(F.col("from") + 1)).join(rows, [*keys, "_b"]).filter(inside)
-    near = near.groupBy(*keys, "_id").agg(F.min("_p").alias("at"))
-    later = F.sequence(bk(F.col("from") + 1) + 1, bk(F.col("to")))
-    has_later = bk(F.col("to")) > bk(F.col("from") + 1)
-    far = (
-        e.filter(has_later).withColumn("_b", F.explode(later)).join(sums, [*keys, "_b"]).filter(touched("_min", "_max"))
-        .groupBy(*keys, "_id").agg(F.min("_b").alias("_b"))
-    )
-    far = far.select(*keys, "_id", "_b", "_id.*").join(rows, [*keys, "_b"]).filter(inside).groupBy(*keys, "_id").agg(F.min("_p").alias("at"))
-    best = near.unionByName(far).groupBy(*keys, "_id").agg(F.min("at").alias("at"))
-    return best.select(*keys, "_id.*", "at")
+    if span is None:
+        span = entries.agg(F.max(F.col("to") - F.col("from"))).first()[0] or 1
+    else:
+        entries = entries.withColumn("to", required(F.col("to"), F.col("to").isNull() | (F.col("to") - F.col("from") <= span), f"an entry looks further ahead than {span} rows"))
+    top = 0
+    while bucket ** (top + 1) < span:
+        top += 1
+    nodes = series.select(*keys, F.lit(0).alias("_level"), F.col(pos).cast("long").alias("_node"), F.col(low).alias("_min"), F.col(high).alias("_max"))
+    if top:
+        first = nodes.groupBy(*keys, F.floor(F.col("_node") / bucket).alias("_node")).agg(F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+        upper = [stage(first.withColumn("_level", F.lit(1)))]
+        for level in range(2, top + 1):
+            upper.append(upper[-1].groupBy(*keys, F.floor(F.col("_node") / bucket).alias("_node")).agg(F.min("_min").alias("_min"), F.max("_max").alias("_max")).withColumn("_level", F.lit(level)))
+        nodes = functools.reduce(DataFrame.unionByName, [nodes, *upper])
+    touched = (F.col("_min") <= F.col("lower")) | (F.col("_max") >= F.col("upper"))
+    e = entries.select(*keys, "lower", "upper", F.struct("from", "to", "lower", "upper").alias("_id"))
+    cover = F.explode(covering(F.col("_id.from") + 1, F.col("_id.to") + 1, bucket, top)).alias("_n")
+    seen = e.select(*keys, "_id", "lower", "upper", cover).select(*keys, "_id", "lower", "upper", "_n.*").join(nodes, [*keys, "_level", "_node"]).filter(touched)
+    at = F.col("_node") * F.element_at(F.array(*[F.lit(bucket**i).cast("long") for i in range(top + 1)]), F.col("_level") + 1)
+    best = seen.groupBy(*keys, "_id").agg(F.min(F.struct(at.alias("at"), "_level", "_node")).alias("_b")).select(*keys, "_id", "_b._level", "_b._node")
+    for level in range(top, 0, -1):
+        if level == top:
+            best = stage(best)
+        children = F.explode(F.sequence(F.col("_node") * bucket, F.col("_node") * bucket + (bucket - 1)))
+        down = best.filter(F.col("_level") == level).select(*keys, "_id", F.col("_id.lower").alias("lower"), F.col("_id.upper").alias("upper"), children.alias("_node"))
+        down = down.join(nodes.filter(F.col("_level") == level - 1), [*keys, "_node"]).filter(touched)
+        down = down.groupBy(*keys, "_id").agg(F.min("_node").alias("_node")).select(*keys, "_id", F.lit(level - 1).alias("_level"), "_node")
+        best = best.filter(F.col("_level") < level).unionByName(down)
+    return best.select(*keys, "_id.*", F.col("_node").alias("at"))
+
+
+def covering(start: Column, end: Column, bucket: int, top: int) -> Column:
+    """The positions [start, end) as whole nodes (_level, _node) of a hierarchy with levels 0 to ``top``."""
+
+    def run(level: int, a: Column, z: Column) -> Column:
+        own = F.when(a < z, F.sequence(a, z - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(own, lambda n: F.struct(F.lit(level).alias("_level"), n.cast("long").alias("_node")))
+
+    parts, a, z = [], start.cast("long"), end.cast("long")
+    for level in range(top):
+        up, down = F.ceil(a / bucket), F.floor(z / bucket)
+        inside = up > down  # within one node of the level above: nothing is left for it
+        parts += [run(level, a, F.when(inside, z).otherwise(up * bucket)), run(level, F.when(inside, z).otherwise(down * bucket), z)]
+        a, z = F.when(inside, F.lit(0)).otherwise(up).cast("long"), F.when(inside, F.lit(0)).otherwise(down).cast("long")
+    parts.append(run(top, a, z))
+    return F.concat(*parts)

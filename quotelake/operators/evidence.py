@@ -287,7 +287,7 @@ def walk_forward(metrics: DataFrame, test_returns: DataFrame, keys: list[str], f
     grown = b.own(rows.withColumn("equity", F.exp(F.coalesce("_g", F.lit(0.0)) + F.sum("lg").over(b.window().rowsBetween(Window.unboundedPreceding, 0)))))
     from .metrics import running_peak
 
-    peaked = running_peak(grown.drop("_g").withColumn("one", F.lit(1.0)).withColumn("ts", F.col("rn")), keys, initial="one")
+    peaked = running_peak(grown.drop("_g").withColumn("one", F.lit(1.0)).withColumn("ts", F.col("rn")), keys, initial="one", position="rn")
     curve = peaked.groupBy(*keys).agg((F.max_by("equity", "rn") - 1).alias("net_return"), F.greatest(F.lit(0.0), F.max(1 - F.col("equity") / F.col("peak"))).alias("max_drawdown"))
     j = tally.join(curve, keys)
     passed = (F.col("passing_folds") >= need) & (F.col("net_return") > 0) & (F.col("max_drawdown") <= drawdown_max) & (F.col("trades") >= min_trades) & ~F.col("_broken")
@@ -370,7 +370,7 @@ def feature_associations(pairs: DataFrame, keys: list[str], minimum: int = 60) -
 
     p = stage(pairs.filter(F.col("value").isNotNull() & F.col("fwd").isNotNull()))
     by = [*keys, "feature", "horizon"]
-    q = exact_quantiles(p, by, "value", {"q1": 0.25, "q3": 0.75}, slots_per_unit=1000.0)
+    q = exact_quantiles(p, by, "value", {"q1": 0.25, "q3": 0.75})
     base = p.groupBy(*by).agg(
         F.count(F.lit(1)).alias("observations"), F.covar_samp("value", "fwd").alias("_c"), F.stddev_samp("value").alias("_sv"),
         F.stddev_samp("fwd").alias("_sf"))
@@ -389,7 +389,7 @@ def regime_breakdown(rows: DataFrame, keys: list[str], volatility: str, trend: s
     """
     from .quantiles import exact_quantiles
 
-    cut = exact_quantiles(rows.filter(training), keys, volatility, {"threshold": 0.5}, slots_per_unit=10_000.0)
+    cut = exact_quantiles(rows.filter(training), keys, volatility, {"threshold": 0.5})
     j = rows.filter(~training).join(cut, keys)
     labels = F.array_compact(F.array(
         F.when(F.col(volatility) > F.col("threshold"), F.lit("high_volatility")), F.when(F.col(volatility) <= F.col("threshold"), F.lit("low_volatility")),

@@ -108,6 +108,10 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("entry_now") & ~F.col("exit_now"))
 
 
+#: Holding limits beyond this are no useful bound of a search; the longest stretch of rows is looked up instead.
+LOOKED_UP = 1 << 16
+
+
 def exit_scan(rows: DataFrame, keys: list[str], params: dict, max_holding: int, bucket: int = 16,
               entries: DataFrame | None = None) -> DataFrame:
     """Each candidate entry with the row its position ends on, found independently.
@@ -128,9 +132,10 @@ def exit_scan(rows: DataFrame, keys: list[str], params: dict, max_holding: int,
     )
     # Decisions are numbered, so the search for a stop and the holding limit are bounded.
     marks = rows.filter("decided = 1").select(*keys, F.col("age").alias("_age"), F.col("rn").alias("_row"), F.col("seen_price"))
-    probe = e.select(*keys, F.col("age").alias("from"), (F.col("age") + F.col("hold")).alias("to"), "lower", "upper").distinct()
+    ages = rows.groupBy(*keys).agg(F.max("age").alias("_last"))
+    probe = e.join(ages, keys).select(*keys, F.col("age").alias("from"), F.least(F.col("age") + F.col("hold"), F.greatest("_last", "age")).alias("to"), "lower", "upper").distinct()
     touch = asof.first_touch(probe, marks.withColumn("rn", F.col("_age")), keys, low="seen_price", high="seen_price",
-                             bucket=bucket, span=max_holding)
+                             bucket=bucket, span=max_holding if max_holding <= LOOKED_UP else None)
     by_age = e.join(
         touch.select(*keys, F.col("from").alias("age"), "lower", "upper", "at"), [*keys, "age", "lower", "upper"], "left"
     ).withColumn("_age", F.coalesce("at", F.col("age") + F.col("hold")))

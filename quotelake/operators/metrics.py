@@ -39,9 +39,9 @@ def sharpe(ret: Column, bars_per_year: float | Column) -> Column:
     return F.when(sd > TINY, F.avg(ret) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.max(year))).otherwise(F.lit(0.0))
 
 
-def run_metrics(marks: DataFrame, ledger: DataFrame, keys: list[str], bars_per_year: float = 252.0, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """One row per run: return, risk, trade statistics."""
-    curve = running_peak(returns(marks, keys, block_rows=block_rows), keys, block_rows=block_rows)
+def run_metrics(marks: DataFrame, ledger: DataFrame, keys: list[str], bars_per_year: float = 252.0, block_rows: int = blocks.BLOCK_ROWS, position: str | None = None) -> DataFrame:
+    """One row per run: return, risk, trade statistics. ``position`` names the marks' gapless positions, if they have them."""
+    curve = running_peak(returns(marks, keys, block_rows=block_rows, position=position), keys, block_rows=block_rows, position=position)
     inner = F.when(F.col("worst").isNotNull(), 1 - F.col("worst") / F.greatest(F.col("prior_peak"), F.lit(TINY)))
     risk = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bars"),

@@ -117,7 +117,7 @@ def _look(cands: DataFrame, rows: DataFrame, keys: list[str], at: str, fields: d
     return cands.join(r, [*keys, at], "left")
 
 
-def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 256) -> DataFrame:
+def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 16) -> DataFrame:
     """The full course of each submit candidate, as if it were free to act.
 
     outcome: filled, cancelled or pending; then trigger, reason and exit of a filled one.
@@ -142,7 +142,7 @@ def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 256)
         span = c.filter("ready IS NOT NULL").select(
             *keys, (F.col("ready") - 1).alias("from"), F.coalesce(F.col("cancel") - 1, F.col("end")).alias("to"),
             (F.col("limit") if t.direction > 0 else F.lit(None).cast("double")).alias("lower"), (F.col("limit") if t.direction < 0 else F.lit(None).cast("double")).alias("upper"))
-        hit = asof.first_touch(span.filter("to > from").distinct(), rows, keys, low="open_price", high="open_price", bucket=bucket, span=0)
+        hit = asof.first_touch(span.filter("to > from").distinct(), rows, keys, low="open_price", high="open_price", bucket=bucket)
         hit = hit.select(*keys, (F.col("from") + 1).alias("ready"), F.coalesce("lower", "upper").alias("limit"), F.col("at").alias("fill")).groupBy(*keys, "ready", "limit").agg(F.min("fill").alias("fill"))
         c = c.join(hit, [*keys, "ready", "limit"], "left")
     gone = F.col("cancel").isNotNull() & (F.col("fill").isNull() | (F.col("cancel") <= F.col("fill")))
@@ -164,7 +164,7 @@ def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 256)
         span = f.select(*keys, (F.col("fill") - 1).alias("from"), F.col("bound").alias("to"), F.col("stop" if up else "target").alias("lower"), F.col("target" if up else "stop").alias("upper"))
         gain = "close_price" if t.target_limit else "liquid"
         low, high = ("liquid", gain) if up else (gain, "liquid")
-        touch = asof.first_touch(span.distinct(), rows, keys, low=low, high=high, bucket=bucket, span=0)
+        touch = asof.first_touch(span.distinct(), rows, keys, low=low, high=high, bucket=bucket)
         touch = touch.select(*keys, (F.col("from") + 1).alias("fill"), F.col("to").alias("bound"), F.col("lower").alias("_lo"), F.col("upper").alias("_up"), F.col("at").alias("guard"))
         f = f.withColumn("_lo", F.col("stop" if up else "target")).withColumn("_up", F.col("target" if up else "stop"))
         f = f.join(touch, [*keys, "fill", "bound", "_lo", "_up"], "left").drop("_lo", "_up")

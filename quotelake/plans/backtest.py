@@ -21,10 +21,10 @@ class Run:
     keys: list[str]
 
     def metrics(self, bars_per_year: float = 252.0) -> DataFrame:
-        return metrics.run_metrics(self.marks, self.ledger, self.keys, bars_per_year)
+        return metrics.run_metrics(self.marks, self.ledger, self.keys, bars_per_year, position="rn")
 
     def returns(self) -> DataFrame:
-        return metrics.returns(self.marks, self.keys)
+        return metrics.returns(self.marks, self.keys, position="rn")
 
 
 def positioned(bars: DataFrame, keys: list[str]) -> DataFrame:

@@ -214,11 +214,33 @@ def test_a_leaking_rule_is_caught(wave):
 def test_exact_quantiles_with_hot_value(spark):
     v = [1.0] * 500 + list(np.linspace(-3, 9, 101))
     df = spark.createDataFrame([("A", float(i)) for i in v] + [("B", 2.0)], "k string, v double")
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.99}, block_rows=20).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.99}, bins=4).collect()}
     np.testing.assert_allclose([got["A"].a, got["A"].b, got["A"].c], np.quantile(v, [0.05, 0.5, 0.99]))
     assert (got["B"].a, got["B"].c) == (2.0, 2.0)
 
 
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_exact_quantiles_of_crowded_and_extreme_values(spark, bins):
+    """Most values lie in a stretch that is no wider than one part in 10**12 of the whole; others are near the largest doubles."""
+    r = np.random.default_rng(1)
+    v = np.r_[5 + r.random(400) * 1e-6, -1e6, 1e6, r.normal(size=50)]
+    wide = [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-300, 2e-300, 7.0]
+    rows = [("A", float(x)) for x in v] + [("B", x) for x in wide] + [("C", None), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {x.k: x for x in exact_quantiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 1.0}, bins=bins).collect()}
+    np.testing.assert_array_equal([got["A"].a, got["A"].b, got["A"].c], [np.sort(v)[int(0.05 * 451)] + (np.sort(v)[int(0.05 * 451) + 1] - np.sort(v)[int(0.05 * 451)]) * (0.05 * 451 - int(0.05 * 451)), *np.quantile(v, [0.5, 1.0])])
+    assert got["B"].b == 1e-300 and got["B"].c == 1.7e308 and got[None].b == 3.5 and "C" not in got
+    assert exact_quantiles(df.where("k = 'A'"), [], "v", {"b": 0.5}).first().b == np.quantile(v, 0.5)
+    assert exact_quantiles(df.where("k = 'none'"), ["k"], "v", {"b": 0.5}).count() == 0
+
+
+def test_no_task_of_a_quantile_holds_the_values(spark):
+    """A million values in one unit: what is shuffled is counts of bins."""
+    df = spark.range(1_000_000).select(F.lit("A").alias("k"), (5 + F.rand(1)).alias("v"))
+    got = exact_quantiles(df, ["k"], "v", {"b": 0.5}).first().b
+    assert abs(got - 5.5) < 0.01
+
+
 def test_rows_without_key_or_time_stay(spark):
     from quotelake.operators import asof, quality
 

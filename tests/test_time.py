@@ -62,6 +62,35 @@ def test_first_touch_equals_brute_force(spark, bucket):
     assert got == want
 
 
+def test_a_far_horizon_costs_few_rows(spark):
+    """A range of a million rows is a logarithmic number of nodes, and the touch at its end is found."""
+    one = spark.createDataFrame([(5, 1_000_003)], "a long, z long")
+    parts = one.select(F.explode(asof.covering(F.col("a"), F.col("z"), 16, 4)).alias("n")).select("n.*").collect()
+    spans = sorted((r._node * 16**r._level, (r._node + 1) * 16**r._level) for r in parts)
+    assert len(parts) <= 5 * 30 and spans[0][0] == 5 and spans[-1][1] == 1_000_003 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    series = spark.range(1_000_000).select(F.lit("X").alias("k"), F.col("id").alias("rn"), F.when(F.col("id") == 999_990, 5.0).otherwise(1.0).alias("v"))
+    entries = spark.createDataFrame([("X", i, i + 1_000_000, None, 4.0) for i in (0, 17, 999_989, 999_990)], "k string, `from` long, `to` long, lower double, upper double")
+    got = {r["from"]: r["at"] for r in asof.first_touch(entries, series, ["k"], low="v", high="v", span=1_000_000).collect()}
+    assert got == {0: 999_990, 17: 999_990, 999_989: 999_990}
+    with pytest.raises(Exception, match="further ahead"):
+        asof.first_touch(entries, series, ["k"], low="v", high="v", span=50).collect()
+
+
+def test_covering_nodes_are_exact(spark):
+    rows = [(a, b) for a in range(0, 40, 3) for b in range(a, 70, 5)]
+    df = spark.createDataFrame(rows, "a long, z long")
+    for r in df.select("a", "z", asof.covering(F.col("a"), F.col("z"), 3, 3).alias("n")).collect():
+        covered = sorted(p for n in r.n for p in range(n._node * 3**n._level, (n._node + 1) * 3**n._level))
+        assert covered == list(range(r.a, r.z)) and len(r.n) <= 3 * 4 + 6
+
+
+def test_open_intervals_touch_what_comes_later(spark):
+    t = lambda h: None if h is None else at(f"2024-01-01 {h:02d}:00:00")
+    taken = spark.createDataFrame([(t(4), t(None)), (t(None), t(2))], "start timestamp, end timestamp")
+    requests = spark.createDataFrame([(1, t(5), t(7)), (2, t(5), None), (3, None, t(1)), (4, None, None), (5, t(3), t(3))], "id long, start timestamp, end timestamp")
+    assert {r.id: r.overlaps for r in asof.count_overlaps(requests, taken).collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 0}
+
+
 def test_rollup_drops_a_bucket_with_a_missing_part(spark):
     b = bars_of(spark, [float(i) for i in range(1, 16)], "1min").filter("close <> 3")
     out = resample.rollup_complete(b.select("asset", "ts", "open", "high", "low", "close"), 60, 300).orderBy("ts").collect()

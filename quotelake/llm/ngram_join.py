@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotelake.session import stage
+from quotelake.session import owning, release, stage
 
 from .common import lower_ascii_text, words_of
 from .components import components
-from .near_dups import _confirm, _long, _short, shingles_of
+from .near_dups import PAIR_BATCH, _batches_of, _compare, _long, _short, shingles_of
 from .rolling import WordHashes
 
 SHINGLE = 5
 THRESHOLD = 80
-GROUPS = 128
+GROUPS = 64
 STARS = 3
 LEAF = 32
 FANOUT = 8
@@ -177,15 +177,32 @@ def _bits(uids: DataFrame) -> np.ndarray:
     return out
 
 
+def _has(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    at = batch["at"].to_numpy()
+    return batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
+
+
+def _only(bits: np.ndarray):
+    """The rows that the bitmap has."""
+    return lambda batches: (_has(bits, batch) for batch in batches)
+
+
+def _decided(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The sizes of the intersection and union of each pair's (a, b) full sets. Written. Only sets that occur in a pair are moved."""
+    pairs = stage(pairs)
+    of = lambda c: near.select("uid", "at", "shingles").mapInArrow(_only(_bits(pairs.select(F.col(c).alias("uid")))), "uid long, at long, shingles binary").select(F.col("uid").alias(c), F.col("shingles").alias(f"set_{c}"))
+    with _batches_of(pairs.sparkSession, PAIR_BATCH):
+        return stage(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, both long, either long"))
+
+
 def _near_sets(groups: int, bits: np.ndarray):
     """The sets of rows that the bitmap has, with their count vectors."""
 
     def run(batches):
         for batch in batches:
-            at = batch["at"].to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
+            batch = _has(bits, batch)
             yield pa.RecordBatch.from_arrays([
-                batch["uid"], batch["shingles"], pa.array([counts_of(_long(d.as_buffer()), groups) for d in batch["shingles"]], pa.list_(pa.int32()))], names=["uid", "shingles", "counts"])
+                batch["uid"], batch["at"], batch["shingles"], pa.array([counts_of(_long(d.as_buffer()), groups) for d in batch["shingles"]], pa.list_(pa.int32()))], names=["uid", "at", "shingles", "counts"])
 
     return run
 
@@ -253,11 +270,14 @@ def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     """
     if not 1 <= threshold <= 100:
         raise ValueError("a threshold lies in 1 to 100")
-    signed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets(shingle), "uid long, doc_id long, n_shingles long, key binary, shingles binary"))
+    spark, own = docs.sparkSession, []
+    with owning(own):
+        signed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets(shingle), "uid long, doc_id long, n_shingles long, key binary, shingles binary"))
     is_node = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    rows = stage(signed.drop("shingles"))
     usable = signed.where(is_node)
     # equal sets are one node, named by the row of their smallest doc_id
-    by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
+    by_key = stage(rows.where(is_node).groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
     prefixes = usable.select("uid", "shingles").mapInArrow(_prefixes(threshold, _frequent(usable)), "uid long, tokens array<long>")
     postings = prefixes.join(by_key.select("uid"), "uid").select("uid", F.explode("tokens").alias("bucket"))
     whole = Window.partitionBy("bucket")
@@ -265,44 +285,46 @@ def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     shared = stage(shared)
     kept = shared.where("uid = low").groupBy("many", "low", "mix").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = stage(shared.join(kept, "bucket").select("bucket", "uid", "many"))
-    # only documents that share a bucket are looked at from here on
+    # only documents that share a bucket are looked at from here on, and the table of all sets goes
     at = F.pmod(F.xxhash64("uid"), F.lit(1 << BITMAP_BITS)).alias("at")
-    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, shingles binary, counts array<int>")
+    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, at long, shingles binary, counts array<int>")
     near = stage(made.withColumn("size", F.aggregate("counts", F.lit(0), lambda n, x: n + x)))
-    sets, vectors = near.select("uid", "shingles"), near.select("uid", "counts", "size")
+    release(spark, own)
+    vectors = near.select("uid", "counts", "size")
     is_link = F.col("both") * 100 >= F.col("either") * threshold
     of = lambda c: vectors.select(F.col("uid").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("size").alias(f"size_{c}"))
 
-    linked = docs.sparkSession.createDataFrame([], "node long, component long")
-    tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    linked = spark.createDataFrame([], "node long, component long")
+    tested = spark.createDataFrame([], "a long, b long")
+
+    def with_links(linked: DataFrame, decided: DataFrame) -> DataFrame:
+        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(decided.where(is_link).select("a", "b"))
+        return components(links)
 
-    def confirmed(pairs: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What is decided of new pairs, and the components with their links."""
-        pairs = _confirm(stage(pairs.join(tested, ["a", "b"], "left_anti")), sets)
-        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs.where(is_link).select("a", "b"))
-        return pairs.select("a", "b"), components(links)
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs.join(tested, (pairs["a"] == tested["a"]) & (pairs["b"] == tested["b"]), "left_anti").join(
+            tested.select(F.col("b").alias("_a"), F.col("a").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
 
     def apart(linked: DataFrame, k: int) -> DataFrame:
-        """Members, with their component, of the buckets that hold several, and one of them to compare with. Pairs are compared in the first turn only."""
-        rows = members if k == 0 else members.where("many > 2")
-        rows = stage(rows.join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid")).drop("component"))
+        """Members, with their component, of the buckets that hold several, and one of them to compare with."""
+        rows = stage(members.join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid")).drop("component"))
         ends = rows.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min_by(F.struct("uid", "label"), F.xxhash64("uid", F.lit(k))).alias("centre"))
         return stage(rows.join(stage(ends.where("_low != _high").select("bucket", "centre")), "bucket"))
 
     for k in range(stars):
-        rows = apart(linked, k).where(F.col("label") != F.col("centre.label"))
-        pairs = rows.select(F.least("uid", "centre.uid").alias("a"), F.greatest("uid", "centre.uid").alias("b")).distinct()
-        pairs = stage(pairs).join(of("a"), "a").join(of("b"), "b").where(_may_link(threshold)).select("a", "b")
-        now, linked = confirmed(pairs, linked)
-        tested = tested.unionByName(now)
+        # each member is compared with one centre a turn: in the first with that of its largest bucket
+        turn = F.when(F.lit(k == 0), -F.col("many")).otherwise(F.xxhash64("bucket", F.lit(k)))
+        pairs = apart(linked, k).where(F.col("label") != F.col("centre.label")).groupBy(F.col("centre.uid").alias("a"), F.col("uid").alias("b")).agg(F.min(turn).alias("turn"))
+        pairs = stage(untested(pairs)).join(of("a"), "a").join(of("b"), "b").where(_may_link(threshold))
+        decided = _decided(pairs.groupBy("b").agg(F.min_by("a", F.struct("turn", "a")).alias("a")).select("a", "b"), near)
+        linked, tested = with_links(linked, decided), tested.unionByName(decided.select("a", "b"))
     rest = apart(linked, stars).withColumn("inside", F.col("label") == F.col("centre.label")).drop("centre").join(vectors, "uid")
-    _, final = confirmed(_bucket_pairs(stage(rest), threshold, page), linked)
+    final = with_links(linked, _decided(untested(_bucket_pairs(stage(rest), threshold, page)), near))
 
     # a component is named by its smallest doc_id
     named = stage(by_key.join(final.withColumnRenamed("node", "uid"), "uid", "left").select("key", "doc_id", F.coalesce("component", "uid").alias("component")))
     classes = stage(named.join(stage(named.groupBy("component").agg(F.min("doc_id").alias("component_id"))), "component").select("key", "component_id"))
-    own = signed.select("doc_id", "n_shingles", "key")
-    return own.where(is_node).join(classes, "key").select("doc_id", "n_shingles", "component_id").unionByName(own.where(~is_node).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return rows.where(is_node).join(classes, "key").select("doc_id", "n_shingles", "component_id").unionByName(rows.where(~is_node).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 ORACLE = r"""

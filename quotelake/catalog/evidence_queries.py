@@ -9,12 +9,14 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from ..functions import normal, signals, ta
+from ..functions.guards import add_seconds, floor_ts
 from ..functions.sampling import draw_sql
 from ..operators import evidence as ev
+from ..operators import folds as tf
 from ..operators import ledger as lg
 from ..operators.metrics import compound
 from ..plans import backtest
-from ..plans.inputs import bars, quotes, report
+from ..plans.inputs import bars, quotes, report, table
 from ..session import stage
 from .common import with_views
 from .ledger_queries import (KEYS, MARKS, METRIC_SELECT, METRICS, PARAMS, PASSIVE, TREND_SIGNAL, exits_sql, rows_sql, run_sql, scenarios,
@@ -395,6 +397,69 @@ def frozen_eval(s, d):
     return report(j.withColumn("passed", F.col("costs_viable") & F.col("benchmark_passed") & F.col("bootstrap_passed") & F.col("delay_viable")))
 
 
+DAY = 86_400
+
+
+def given_returns(s, d):
+    """Daily returns of each asset."""
+    from ..operators.blocks import with_previous
+
+    r = with_previous(bars(s, d), KEYS, ["ts"], {"_c": "close"})
+    return r.select("asset", "ts", (F.col("close") / F.col("_c") - 1).alias("ret"))
+
+
+def given_trades(s, d):
+    """Shipments read as positions: open from shipping for a day a piece, gaining what the discount is above 4.8 %."""
+    t = table(s, d, "lineitem").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("asset")), "l_orderkey")
+    return t.select("asset", F.col("l_shipdate").cast("timestamp").alias("entry_ts"), add_seconds(F.col("l_shipdate").cast("timestamp"), F.col("l_quantity").cast("long") * DAY).alias("exit_ts"), (F.col("l_extendedprice") * (F.col("l_discount") - 0.048)).alias("pnl"))
+
+
+def given_folds(s, d, holding_days: int = 20, count: int = FOLDS):
+    b = bars(s, d).groupBy("asset").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    b = b.withColumn("split", floor_ts(F.timestamp_micros((F.unix_micros("start") + F.floor((F.unix_micros("end") - F.unix_micros("start")) * SPLIT)).cast("long")), DAY))
+    return tf.time_folds(b, KEYS, count, DAY, holding_seconds=holding_days * DAY)
+
+
+def time_folds(s, d):
+    """Metrics of every training and test stretch, from given returns and trades."""
+    return report(tf.fold_metrics(given_returns(s, d), given_trades(s, d), given_folds(s, d), KEYS, DAY).drop("curve"))
+
+
+def time_walk_forward(s, d):
+    return report(tf.walk_forward_in_time(given_returns(s, d), given_trades(s, d), given_folds(s, d), KEYS, DAY, FOLDS))
+
+
+def short_history(s, d):
+    """The same with so many folds that the tests are too short for evidence."""
+    return report(tf.walk_forward_in_time(given_returns(s, d), given_trades(s, d), given_folds(s, d, count=60), KEYS, DAY, 60))
+
+
+def time_folds_sql(select: str, count: int = FOLDS) -> str:
+    return with_views("bars", f"""edge AS (SELECT asset, min(ts) AS a, date_trunc('day', make_timestamp(epoch_us(min(ts)) + CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) * 0.6e0) AS BIGINT))) AS s, max(ts) AS z FROM bars GROUP BY 1),
+      cut AS (SELECT asset, a, f AS fold, date_diff('day', s, z) AS n, s + CAST(date_diff('day', s, z) * (f - 1) // {count} AS INTEGER) * INTERVAL 1 DAY AS t0, s + CAST(date_diff('day', s, z) * f // {count} AS INTEGER) * INTERVAL 1 DAY AS t1 FROM edge, range(1, {count + 1}) r(f)),
+      seg AS (SELECT asset, fold, 'train' AS part, a AS lo, t0 - INTERVAL 20 DAY AS hi, date_diff('day', a, t0) - 20 >= 60 AND date_diff('day', t0, t1) >= 30 AS enough FROM cut
+        UNION ALL SELECT asset, fold, 'test', t0, t1, date_diff('day', a, t0) - 20 >= 60 AND date_diff('day', t0, t1) >= 30 FROM cut),
+      ret AS (SELECT * FROM (SELECT asset, ts, close / lag(close) OVER (PARTITION BY asset ORDER BY ts) - 1 AS ret FROM bars) WHERE ret IS NOT NULL),
+      curve AS (SELECT seg.*, ts, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY seg.asset, fold, part ORDER BY ts)) AS c FROM seg JOIN ret ON ret.asset = seg.asset AND ts > lo AND ts <= hi WHERE enough),
+      peak AS (SELECT *, greatest(1, max(c) OVER (PARTITION BY asset, fold, part ORDER BY ts)) AS top FROM curve),
+      stat AS (SELECT asset, fold, part, count(*) AS periods, arg_max(c, ts) - 1 AS net_return, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(252e0) ELSE 0 END AS sharpe,
+        greatest(0, max(1 - c / top)) AS max_drawdown, min(c) <= 0 AS bankrupt FROM peak GROUP BY 1, 2, 3),
+      deal AS (SELECT o_orderpriority AS asset, CAST(l_shipdate AS TIMESTAMP) AS b, l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY AS e, l_extendedprice * (l_discount - 0.048e0) AS pnl FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+      dealt AS (SELECT seg.asset, fold, part, count(*) FILTER (e <= hi) AS trades, coalesce(avg(pnl) FILTER (e <= hi), 0) AS expectancy, count(*) FILTER (e > hi) AS purged FROM seg JOIN deal ON deal.asset = seg.asset AND b >= lo AND b < hi WHERE enough GROUP BY 1, 2, 3),
+      fm AS (SELECT asset, fold, part, periods, net_return, sharpe, max_drawdown, bankrupt, coalesce(trades, 0) AS trades, coalesce(expectancy, 0) AS expectancy, coalesce(purged, 0) AS purged FROM stat LEFT JOIN dealt USING (asset, fold, part)),
+      ok AS (SELECT asset, fold, bool_and(NOT bankrupt AND net_return > 0 AND sharpe > 0 AND max_drawdown <= 0.25e0 AND trades >= CASE part WHEN 'train' THEN 30 ELSE {max(1, math.ceil(30 / count))} END) AND count(*) = 2 AS ok,
+        sum(trades) FILTER (part = 'test') AS trades, sum(purged) AS purged, bool_or(part = 'test' AND (bankrupt OR max_drawdown > 0.25e0)) AS broken FROM fm GROUP BY 1, 2),
+      joined AS (SELECT asset, ts, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY asset ORDER BY ts)) AS c FROM curve WHERE part = 'test'),
+      jpeak AS (SELECT *, greatest(1, max(c) OVER (PARTITION BY asset ORDER BY ts)) AS top FROM joined),
+      j AS (SELECT asset, arg_max(c, ts) - 1 AS net_return, greatest(0, max(1 - c / top)) AS max_drawdown FROM jpeak GROUP BY 1),
+      tally AS (SELECT asset, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS passing_folds, sum(trades) AS trades, sum(purged) AS purged, bool_or(broken) AS broken FROM ok GROUP BY 1),
+      every AS (SELECT asset, bool_and(enough) AS enough FROM seg GROUP BY 1)""", select=select)
+
+
+TIME_VERDICT = """SELECT asset, CASE WHEN NOT enough THEN 'INSUFFICIENT_DATA' WHEN passing_folds >= {need} AND net_return > 0 AND max_drawdown <= 0.25e0 AND trades >= 30 AND NOT broken THEN 'PASSED' ELSE 'FAILED' END AS status,
+  CASE WHEN enough THEN CAST(passing_folds AS BIGINT) END AS passing_folds, CASE WHEN enough THEN CAST(trades AS BIGINT) END AS trades, CASE WHEN enough THEN CAST(purged AS BIGINT) END AS purged,
+  CASE WHEN enough THEN round(net_return, 6) END AS net_return, CASE WHEN enough THEN round(max_drawdown, 6) END AS max_drawdown FROM every LEFT JOIN tally USING (asset) LEFT JOIN j USING (asset)"""
+
 ROUND = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
 QUERIES = {
@@ -404,8 +469,8 @@ QUERIES = {
           round(alpha - 1.645e0 * se, 6) AS alpha_lower, round(1 - s11 / sst, 6) AS r_squared, lags AS hac_lags, alpha - 1.645e0 * se > 0 AS passed FROM u"""),
     ),
     "block_bootstrap": (
-        lambda s, d: report(ev.block_bootstrap(strategy_series(s, d), KEYS, samples=200)),
-        with_views("bars", TREND_SIGNAL, STRAT, "sizes3 AS (SELECT asset, n, b FROM size, (VALUES (5), (10), (20)) z(b))", sampled("strat", "sizes3", 200, "b"), PATHS,
+        lambda s, d: report(ev.block_bootstrap(strategy_series(s, d), KEYS)),
+        with_views("bars", TREND_SIGNAL, STRAT, "sizes3 AS (SELECT asset, n, b FROM size, (VALUES (5), (10), (20)) z(b))", sampled("strat", "sizes3", 1000, "b"), PATHS,
                    select="""SELECT *, profit_probability >= 0.9e0 AND drawdown_p95 <= 0.25e0 AND ruin_probability <= 1e-2 AS passed FROM (SELECT asset, block, count(*) AS paths,
           round(avg(CASE WHEN profit > 0 THEN 1e0 ELSE 0e0 END), 6) AS profit_probability, round(quantile_cont(profit, 0.05), 6) AS return_p05, round(quantile_cont(profit, 0.5), 6) AS return_p50,
           round(quantile_cont(dd, 0.95), 6) AS drawdown_p95, round(avg(CASE WHEN low <= 5e-2 THEN 1e0 ELSE 0e0 END), 6) AS ruin_probability FROM paths GROUP BY 1, 2)"""),
@@ -431,6 +496,9 @@ QUERIES = {
         segmented_sql("""SELECT asset, passing_folds, trades, round(net_return, 6) AS net_return, round(max_drawdown, 6) AS max_drawdown,
           passing_folds >= 2 AND net_return > 0 AND max_drawdown <= 0.9e0 AND trades >= 30 AND NOT broken AS passed FROM ft JOIN jd USING (asset)""", {**WINDOWS, **TRAINS}, WALK_TAIL),
     ),
+    "time_folds": (time_folds, time_folds_sql(f"SELECT asset, CAST(fold AS INTEGER) AS fold, part, periods, {ROUND('net_return', 'sharpe', 'max_drawdown', 'expectancy')}, bankrupt, trades, purged FROM fm")),
+    "time_walk_forward": (time_walk_forward, time_folds_sql(TIME_VERDICT.format(need=2))),
+    "short_history": (short_history, time_folds_sql(TIME_VERDICT.format(need=40), 60)),
     "forward_windows": (
         forward_windows,
         segmented_sql("SELECT asset, count(*) FILTER (net_return > 0) AS positive_windows, round(min(net_return), 6) AS worst, round(max(net_return), 6) AS best FROM metrics GROUP BY 1", WINDOWS),

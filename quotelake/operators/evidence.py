@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import normal
 from ..functions.sampling import draw
 from ..session import stage
-from . import blocks
+from . import blocks, curves
 from .metrics import compound
 from .quality import fingerprint
 
@@ -104,9 +104,8 @@ def block_bootstrap(series: DataFrame, keys: list[str], samples: int = 1000, see
                     profit_min: float = 0.9, drawdown_max: float = 0.25, minimum: int = 60) -> DataFrame:
     """Circular block bootstrap of compounded returns, one row per group and block size.
 
-    A block of returns acts on a curve through four numbers: its growth, highest and
-    lowest point, and inner drawdown. These are computed once per start; a path is then a
-    running combination of its blocks, so no path or series is held as an array.
+    A block of returns acts on a curve through four numbers (:mod:`curves`). These are computed once per start; a path is then a tree of
+    merges of its blocks, so no path or series is held as an array and a long path is spread over many tasks.
     """
     g = _sized(series, keys)
     ok = (F.col("n") >= minimum) & (F.col("sd0") >= TINY) & (F.col("least") > -1)
@@ -119,15 +118,8 @@ def block_bootstrap(series: DataFrame, keys: list[str], samples: int = 1000, see
     ahead = F.array(*[F.coalesce(F.lag("ret", j).over(b.window()), F.lit(0.0)) if j else F.col("ret") for j in range(widest)])
     starts = b.own(b.df.withColumn("ahead", ahead)).filter(F.col("rn") < F.col("n")).select(*keys, "n", F.col("rn").alias("start"), "ahead")
 
-    zero = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("hi"), F.lit(1.0).alias("lo"), F.lit(0.0).alias("dd"))
-
-    def step(a: Column, r: Column) -> Column:
-        p = a["p"] * (1 + r)
-        hi = F.greatest(a["hi"], p)
-        return F.struct(p.alias("p"), hi.alias("hi"), F.least(a["lo"], p).alias("lo"), F.greatest(a["dd"], 1 - p / hi).alias("dd"))
-
     sizes = F.explode(F.array(*[F.lit(s).cast("long") for s in block_sizes]))
-    fold = lambda n: F.aggregate(F.slice("ahead", F.lit(1), n.cast("int")), zero, step)
+    fold = lambda n: F.aggregate(F.slice("ahead", F.lit(1), n.cast("int")), curves.empty(), curves.step)
     # Once per start and block size, whole and cut to what the last block of a path may use.
     rest = F.col("n") - (F.ceil(F.col("n") / F.col("block")) - 1) * F.col("block")
     starts = starts.withColumn("block", sizes).select(*keys, "block", "start", fold(F.col("block")).alias("whole"), fold(rest).alias("part"))
@@ -135,16 +127,8 @@ def block_bootstrap(series: DataFrame, keys: list[str], samples: int = 1000, see
     hit = draws.join(starts, [*keys, "block", "start"])
     hit = hit.withColumn("s", F.when(F.col("len") == F.col("block"), F.col("whole")).otherwise(F.col("part")))
     per_path = [*keys, "block", "path"]
-    w = Window.partitionBy(*per_path).orderBy("k")
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    hit = hit.select(*per_path, "k", "s.*").withColumn("grown", F.coalesce(F.sum(F.ln("p")).over(before), F.lit(0.0)))
-    hit = hit.withColumn("base", F.exp("grown"))
-    hit = hit.withColumn("top", F.greatest(F.lit(1.0), F.max(F.col("base") * F.col("hi")).over(before)))
-    path = hit.groupBy(*per_path).agg(
-        (F.exp(F.sum(F.ln("p"))) - 1).alias("profit"),
-        F.max(F.greatest(F.col("dd"), 1 - F.col("base") * F.col("lo") / F.col("top"))).alias("drawdown"),
-        F.min(F.col("base") * F.col("lo")).alias("lowest"),
-    )
+    merged = curves.merged(hit.select(*per_path, "k", "s"), per_path, "k", "s", longest=(g.agg(F.max("n")).first()[0] or 0) // min(block_sizes))
+    path = merged.select(*per_path, (F.col("s.p") - 1).alias("profit"), F.col("s.dd").alias("drawdown"), F.col("s.lo").alias("lowest"))
     out = path.groupBy(*keys, "block").agg(
         F.count(F.lit(1)).alias("paths"),
         F.avg((F.col("profit") > 0).cast("double")).alias("profit_probability"),

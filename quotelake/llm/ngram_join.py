@@ -38,6 +38,8 @@ GROUPS = 64
 STARS = 3
 LEAF = 32
 FANOUT = 8
+#: Rows that go to Python at once: they hold whole texts or sets.
+BATCH_ROWS = 1_000
 #: Points of one tree, and queries sent to it at once.
 PAGE = 2048
 #: The table of frequent shingles: counters (a power of two) and how many of them are kept.
@@ -135,17 +137,22 @@ def _sets(k: int):
 
 def _count_hashes(batches):
     """Counters that stand out in a task's sets."""
-    seen = np.zeros(1 << COUNTER_BITS, np.uint32)
-    total = 0
+    seen = np.zeros(1 << COUNTER_BITS, np.int64)
+    total, held, size = 0, [], 0
     for batch in batches:
         for data in batch["shingles"]:
-            at = (_long(data.as_buffer()) >> np.uint64(48 - COUNTER_BITS)).astype(np.int64)
-            total += len(at)
-            np.add.at(seen, at, 1)
+            held.append((_long(data.as_buffer()) >> np.uint64(48 - COUNTER_BITS)).astype(np.int32))
+            size += len(held[-1])
+            if size > 1 << 20:
+                seen += np.bincount(np.concatenate(held), minlength=len(seen))
+                total, held, size = total + size, [], 0
+    if held:
+        seen += np.bincount(np.concatenate(held), minlength=len(seen))
+        total += size
     found = np.flatnonzero(seen > 4 + 4 * total / len(seen))
     if len(found) > FREQUENT:
         found = found[np.argpartition(seen[found], -FREQUENT)[-FREQUENT:]]
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found].astype(np.int64))], names=["counter", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found])], names=["counter", "n"])
 
 
 def _frequent(sets: DataFrame) -> np.ndarray | None:
@@ -270,6 +277,11 @@ def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     """
     if not 1 <= threshold <= 100:
         raise ValueError("a threshold lies in 1 to 100")
+    with _batches_of(docs.sparkSession, BATCH_ROWS):
+        return _join_sets(docs, shingle, threshold, groups, stars, page)
+
+
+def _join_sets(docs: DataFrame, shingle: int, threshold: int, groups: int, stars: int, page: int) -> DataFrame:
     spark, own = docs.sparkSession, []
     with owning(own):
         signed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets(shingle), "uid long, doc_id long, n_shingles long, key binary, shingles binary"))

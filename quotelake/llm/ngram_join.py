@@ -34,7 +34,8 @@ from .rolling import WordHashes
 
 SHINGLE = 5
 THRESHOLD = 80
-GROUPS = 64
+#: A set of n shingles has the power of two next below n / 4 of groups, within these: few enough shingles a group for the counts to tell sets apart.
+GROUPS, MOST_GROUPS = 64, 4096
 STARS = 3
 LEAF = 32
 FANOUT = 8
@@ -103,10 +104,17 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.minimum(a, b).sum(axis=1) * (100 + threshold) >= threshold * (size_a + size_b)
 
 
-def counts_of(s: np.ndarray, groups: int) -> np.ndarray:
+def counts_of(s: np.ndarray, least: int = GROUPS) -> np.ndarray:
+    """The number of shingles in each group."""
+    groups = min(max(least, 1 << max(0, (len(s) // 4).bit_length() - 1)), max(least, MOST_GROUPS))
     return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups: group g of them is made of g, g + groups, ..."""
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
 def prefix_of(s: np.ndarray, late: np.ndarray | None, threshold: int) -> np.ndarray:
     """The first shingles of an ascending set, one of which every set at the threshold shares; ``late`` holds the counters' weights."""
     n = len(s)
@@ -208,8 +216,11 @@ def _near_sets(groups: int, bits: np.ndarray):
     def run(batches):
         for batch in batches:
             batch = _has(bits, batch)
-            yield pa.RecordBatch.from_arrays([
-                batch["uid"], batch["at"], batch["shingles"], pa.array([counts_of(_long(d.as_buffer()), groups) for d in batch["shingles"]], pa.list_(pa.int32()))], names=["uid", "at", "shingles", "counts"])
+            counts = [counts_of(_long(d.as_buffer()), groups) for d in batch["shingles"]]
+            half = [folded(c, len(c) // 2) for c in counts]
+            size = pa.array([int(c.sum()) for c in counts], pa.int32())
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["uid"], batch["at"], batch["shingles"], size, pa.array(counts, ints), pa.array(half, ints)], names=["uid", "at", "shingles", "size", "counts", "half"])
 
     return run
 
@@ -220,7 +231,9 @@ def _tree_join(threshold: int):
     def run(key, points, queries):
         if not points.num_rows or not queries.num_rows:
             return schema.empty_table()
-        x, q = (np.stack([np.asarray(c) for c in t["counts"].to_numpy()]) for t in (points, queries))
+        counts = [[np.asarray(c) for c in t["counts"].to_numpy()] for t in (points, queries)]
+        groups = min(len(c) for side in counts for c in side)  # sets of near sizes: most often the same number for all
+        x, q = (np.stack([folded(c, groups) for c in side]) for side in counts)
         uid_x, uid_q, label_x, label_q = (t[c].to_numpy() for c in ("uid", "label") for t in (points, queries))
         tree, out = CountTree(x), []
         for at in range(0, len(q), 256):
@@ -242,7 +255,7 @@ def _bucket_pairs(rest: DataFrame, threshold: int, page: int) -> DataFrame:
     with). Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring
     classes. A bucket that fits in one leaf needs no tree: its members are compared with that leaf.
     """
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "counts", "size")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "counts", "half", "size")]
     leaf = rest.where(F.col("many") <= LEAF)
     u, v = leaf.where(~F.col("inside")).select("bucket", *side("a")), leaf.select("bucket", *side("b"))
     direct = u.join(v, "bucket").where((F.col("label_a") != F.col("label_b")) & _may_link(threshold)).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
@@ -262,8 +275,10 @@ def _bucket_pairs(rest: DataFrame, threshold: int, page: int) -> DataFrame:
 
 
 def _may_link(threshold: int):
-    """:func:`may_link` of the columns counts_a, counts_b, size_a and size_b."""
-    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    """:func:`may_link` of the columns counts_a, half_a, size_a and those of b; where the groups differ by more than twice, of the sizes alone."""
+    wide = lambda x, y: F.size(f"counts_{x}") > F.size(f"counts_{y}")
+    a, b = (F.when(wide(x, y), F.col(f"half_{x}")).otherwise(F.col(f"counts_{x}")) for x, y in ("ab", "ba"))
+    most = F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)).otherwise(F.least("size_a", "size_b"))
     sizes = F.col("size_a") + F.col("size_b")
     return (F.least("size_a", "size_b") * (100 + threshold) >= threshold * sizes) & (most * (100 + threshold) >= threshold * sizes)
 
@@ -299,12 +314,12 @@ def _join_sets(docs: DataFrame, shingle: int, threshold: int, groups: int, stars
     members = stage(shared.join(kept, "bucket").select("bucket", "uid", "many"))
     # only documents that share a bucket are looked at from here on, and the table of all sets goes
     at = F.pmod(F.xxhash64("uid"), F.lit(1 << BITMAP_BITS)).alias("at")
-    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, at long, shingles binary, counts array<int>")
-    near = stage(made.withColumn("size", F.aggregate("counts", F.lit(0), lambda n, x: n + x)))
+    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, at long, shingles binary, size int, counts array<int>, half array<int>")
+    near = stage(made)
     release(spark, own)
-    vectors = near.select("uid", "counts", "size")
+    vectors = near.select("uid", "counts", "half", "size")
     is_link = F.col("both") * 100 >= F.col("either") * threshold
-    of = lambda c: vectors.select(F.col("uid").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("size").alias(f"size_{c}"))
+    of = lambda c: vectors.select(F.col("uid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("counts", "half", "size")])
 
     linked = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")

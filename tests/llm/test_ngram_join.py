@@ -78,6 +78,15 @@ def test_frequent_shingles_come_last(docs_of, monkeypatch):
         assert len(p) == len(x) - -(-len(x) * 80 // 100) + 1 and not (p & np.uint64((1 << 40) - 1) == 0).any()
 
 
+def test_counts_fold_to_fewer_groups():
+    r = np.random.default_rng(1)
+    for n, groups in ((3, 64), (255, 64), (600, 128), (5000, 1024), (10**5, 4096)):
+        s = r.integers(0, 1 << 48, n, np.uint64)
+        c = ngram_join.counts_of(s)
+        assert len(c) == groups and c.sum() == n
+        assert (ngram_join.folded(c, 32) == np.bincount((s % np.uint64(32)).astype(int), minlength=32)).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 700])
 def test_count_tree(n):
     """The tree finds exactly the points whose summed minima reach the threshold, and looks at few boxes for that."""

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quotelake.session import stage
 
@@ -96,22 +97,27 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int, bits: int) -> tup
     return named.view(np.int64), np.packbits(counts & 1, axis=1).view(np.int64)
 
 
-def _sign(k: int, bands: int, rows: int, bits: int):
+def _sign(k: int, bands: int, rows: int, bits: int, carry: bool):
     def run(batches):
         from pyspark import TaskContext
 
         hashes, uid = WordHashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            held, size = [], 0
+            held, size, done = [], 0, 0
+
+            def close(held, done):
+                out = _signed(uid, held, bands, rows, bits)
+                return out.append_column("row", batch["row"].slice(done, len(held))) if carry else out
+
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 s = shingles_of(words_of(lower_ascii_text(text.as_py() or "")), hashes, k)
                 held.append((doc_id, s))
                 size += len(s)
                 if size >= BLOCK:
-                    yield _signed(uid, held, bands, rows, bits)
-                    uid, held, size = uid + len(held), [], 0
+                    yield close(held, done)
+                    uid, done, held, size = uid + len(held), done + len(held), [], 0
             if held:
-                yield _signed(uid, held, bands, rows, bits)
+                yield close(held, done)
                 uid += len(held)
 
     return run
@@ -190,15 +196,20 @@ def _differing(x: str, y: str, bits: int):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, most_bits: int = MOST_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, most_bits: int = MOST_BITS, carry: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, its own included), kept
     (doc_id = component_id) and set_key (equal for equal sets).
 
     Linked are documents with 100 * |A and B| >= threshold * |A or B|. A null text, or one without words, has the empty set and is linked with
     nothing. Rows that repeat a doc_id are each linked by their own text; a row without a doc_id takes no part: its component is null and it is kept. Only
     doc_id and text are read.
+
+    With ``carry`` each row also has the whole input ``row``, and ``first``: true for exactly one row of a component, the first found of its smallest
+    doc_id, and for all rows that are linked with nothing.
     """
-    signed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign(shingle, bands, rows, bits), _SIGNED_SQL))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    kinds = StructType([*StructType.fromDDL(_SIGNED_SQL), *([read.schema["row"]] if carry else [])])
+    signed = stage(read.mapInArrow(_sign(shingle, bands, rows, bits, carry), kinds))
     usable = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets are one node, named by the row of their smallest doc_id
     by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
@@ -255,21 +266,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
     # a component is named by its smallest doc_id
     label = F.coalesce("component", "uid")
-    named = by_key.join(final.withColumnRenamed("node", "uid"), "uid", "left").select("key", "doc_id", label.alias("component"))
+    named = by_key.join(final.withColumnRenamed("node", "uid"), "uid", "left").select("key", "doc_id", "uid", label.alias("component"))
     named = stage(named)
-    classes = stage(named.join(stage(named.groupBy("component").agg(F.min("doc_id").alias("component_id"))), "component").select("key", "component_id"))
-    own = signed.select("doc_id", "n_shingles", "key")
+    smallest = named.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("_f")).select("component", F.col("_f.doc_id").alias("component_id"), F.col("_f.uid").alias("_first"))
+    classes = stage(named.join(stage(smallest), "component").select("key", "component_id", "_first"))
+    own = signed.select("doc_id", "n_shingles", "key", "uid", *(["row"] if carry else []))
     is_node = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
-    together = own.where(is_node).join(classes, "key").select("doc_id", "n_shingles", "component_id", F.col("key").alias("set_key"))
-    alone = own.where(~is_node).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("key").alias("set_key"))
-    return together.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "set_key")
+    out = ["doc_id", "n_shingles", "component_id", "set_key", *(["row", "first"] if carry else [])]
+    together = own.where(is_node).join(classes, "key").withColumn("set_key", F.col("key")).withColumn("first", F.col("uid") == F.col("_first")).select(*out)
+    alone = own.where(~is_node).withColumn("component_id", F.col("doc_id")).withColumn("set_key", F.col("key")).withColumn("first", F.lit(True)).select(*out)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return together.unionByName(alone).withColumn("kept", kept).select("doc_id", "n_shingles", "component_id", "kept", *out[3:])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each group of near-duplicates, with the same columns."""
-    found = near_duplicates(docs)
-    gone = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id, and all rows without one; the same columns.
+
+    Rows are told apart even where they share a doc_id: of equal or similar texts under one id one stays, different texts under one id all stay, each
+    judged by its own text. Null texts, texts without words, and rows without a doc_id stay.
+    """
+    return near_duplicates(docs, carry=True).where("first").select("row.*")
 
 
 ORACLE = r"""

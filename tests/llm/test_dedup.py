@@ -72,6 +72,17 @@ def test_keep_first(docs_of):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs_of([]).columns
 
 
+def test_keep_first_goes_by_rows(docs_of):
+    x, y = "a b c d e f g h", "q r s t u v w x"
+    long = " ".join(f"l{i}" for i in range(30_000))
+    rows = [(1, x), (2, x), (2, y), (3, y), (4, None), (4, ""), (None, x), (5, y), (5, y), (6, long), (6, long + " more"), (6, "Z" * 200_000)]
+    kept = near_dups.keep_first(docs_of(rows).repartition(3))
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=str)
+    assert [(i, t) for i, t in got if t == x] == [(0, x), (1, x)] and [(i, t) for i, t in got if t == y] == [(2, y)]
+    assert len(got) == 7 and sum(t is not None and t.startswith("l0 ") for _, t in got) == 1 and (6, "Z" * 200_000) in got
+    assert kept.columns == docs_of([]).columns and near_dups.keep_first(docs_of([])).count() == 0
+
+
 def test_repeated_rows_and_empty_table(docs_of):
     got = near_dups.near_duplicates(docs_of([(4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (4, "another text of five words")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(4, 4), (4, 4), (4, 4), (9, 4)]

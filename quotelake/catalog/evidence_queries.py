@@ -151,13 +151,13 @@ def walk_forward(s, d):
     run = backtest.run(rows, KEYS, PARAMS, segments=seg)
     m = run.metrics().withColumn("part", F.regexp_extract("segment", "[a-z]+", 0)).withColumn("fold", F.regexp_extract("segment", "[0-9]+", 0).cast("int"))
     tests = run.returns().filter(F.col("segment").startswith("test")).select("asset", "rn", "ret")
-    return report(ev.walk_forward(m, tests, KEYS, FOLDS, drawdown_max=0.9))
+    return report(ev.walk_forward(m, tests, KEYS, FOLDS))
 
 
 VIABLE = "(NOT bankrupt AND net_return > 0 AND sharpe > 0 AND greatest(max_drawdown, intrabar_drawdown) <= {dd}e0 AND trades >= {n})"
-WALK_TAIL = f"""fold AS (SELECT t.asset, substr(t.scenario, 2) AS fold, {VIABLE.format(dd=0.9, n=10).replace('NOT bankrupt', 'NOT t.bankrupt').replace('net_return', 't.net_return').replace('sharpe', 't.sharpe').replace('max_drawdown', 't.max_drawdown').replace('intrabar_drawdown', 't.intrabar_drawdown').replace('trades', 't.trades')}
-      AND {VIABLE.format(dd=0.9, n=30).replace('NOT bankrupt', 'NOT g.bankrupt').replace('net_return', 'g.net_return').replace('sharpe', 'g.sharpe').replace('max_drawdown', 'g.max_drawdown').replace('intrabar_drawdown', 'g.intrabar_drawdown').replace('trades', 'g.trades')} AS ok, t.trades,
-      t.bankrupt OR greatest(t.max_drawdown, t.intrabar_drawdown) > 0.9e0 AS broken FROM metrics t JOIN metrics g ON g.asset = t.asset AND g.scenario = 't' || substr(t.scenario, 2) WHERE t.scenario LIKE 'w%'),
+WALK_TAIL = f"""fold AS (SELECT t.asset, substr(t.scenario, 2) AS fold, {VIABLE.format(dd=0.25, n=10).replace('NOT bankrupt', 'NOT t.bankrupt').replace('net_return', 't.net_return').replace('sharpe', 't.sharpe').replace('max_drawdown', 't.max_drawdown').replace('intrabar_drawdown', 't.intrabar_drawdown').replace('trades', 't.trades')}
+      AND {VIABLE.format(dd=0.25, n=30).replace('NOT bankrupt', 'NOT g.bankrupt').replace('net_return', 'g.net_return').replace('sharpe', 'g.sharpe').replace('max_drawdown', 'g.max_drawdown').replace('intrabar_drawdown', 'g.intrabar_drawdown').replace('trades', 'g.trades')} AS ok, t.trades,
+      t.bankrupt OR greatest(t.max_drawdown, t.intrabar_drawdown) > 0.25e0 AS broken FROM metrics t JOIN metrics g ON g.asset = t.asset AND g.scenario = 't' || substr(t.scenario, 2) WHERE t.scenario LIKE 'w%'),
   jc AS (SELECT asset, rn, exp(sum(ln(1 + ret)) OVER (PARTITION BY asset ORDER BY rn)) AS e FROM perf WHERE scenario LIKE 'w%'),
   jp AS (SELECT *, greatest(1, max(e) OVER (PARTITION BY asset ORDER BY rn)) AS top FROM jc),
   jd AS (SELECT asset, arg_max(e, rn) - 1 AS net_return, greatest(0, max(1 - e / top)) AS max_drawdown FROM jp GROUP BY 1),
@@ -244,7 +244,7 @@ GATE_SELECT = f"""SELECT *, reasons = '' AS passed FROM (SELECT asset, round(dsr
 VARIANTS = {
     "fast-": (4, 20, 0.1, 0.2, 0.9, 20), "fast+": (6, 20, 0.1, 0.2, 0.9, 20), "slow-": (5, 16, 0.1, 0.2, 0.9, 20), "slow+": (5, 24, 0.1, 0.2, 0.9, 20),
     "stop-": (5, 20, 0.08, 0.2, 0.9, 20), "stop+": (5, 20, 0.12, 0.2, 0.9, 20), "take-": (5, 20, 0.1, 0.16, 0.9, 20), "take+": (5, 20, 0.1, 0.24, 0.9, 20),
-    "alloc-": (5, 20, 0.1, 0.2, 0.72, 20), "hold-": (5, 20, 0.1, 0.2, 0.9, 16), "hold+": (5, 20, 0.1, 0.2, 0.9, 24),
+    "alloc-": (5, 20, 0.1, 0.2, 0.72, 20), "alloc+": (5, 20, 0.1, 0.2, 0.95, 20), "hold-": (5, 20, 0.1, 0.2, 0.9, 16), "hold+": (5, 20, 0.1, 0.2, 0.9, 24),
     "joint1": (4, 24, 0.12, 0.2, 0.9, 20), "joint2": (6, 16, 0.1, 0.24, 0.72, 20), "joint3": (5, 20, 0.08, 0.16, 0.9, 16), "joint4": (4, 20, 0.12, 0.24, 0.9, 24),
 }
 
@@ -261,7 +261,7 @@ def variant_rows(s, d, variants):
 def param_stress(s, d):
     run = backtest.run(variant_rows(s, d, VARIANTS), ["asset", "scenario"], {**PARAMS, "max_holding": 24})
     m = run.metrics().withColumn("joint", F.col("scenario").startswith("joint")).withColumn("parameter", F.regexp_replace("scenario", "[-+]", ""))
-    return report(ev.stress_verdict(m, ["asset"], 0.8, drawdown_max=0.9))
+    return report(ev.stress_verdict(m, ["asset"], 0.8))
 
 
 def variant_sql(variants: dict, select: str, *more: str) -> str:
@@ -285,7 +285,7 @@ def variant_screen(s, d):
 def viable(s, d):
     b = scenarios(trend_bars(s, d), {"long": {"direction": 1}, "short": {"direction": -1}})
     m = backtest.run(b, ["asset", "scenario"], PARAMS).metrics()
-    return m.select("asset", "scenario", ev.viable(30, 0.9).alias("viable"))
+    return m.select("asset", "scenario", ev.viable(30).alias("viable"))
 
 
 # ---- diagnostics ---------------------------------------------------------------------------
@@ -334,7 +334,7 @@ def strategy_price(s, d):
 def placebo_shift(s, d):
     rows = stage(trend_bars(s, d).withColumn("exit", ~F.col("entry")))
     rows = rows.join(sizes(rows).select("asset", F.floor(F.col("n") * SPLIT).alias("start")), "asset")
-    p = stage(ev.shifted_signals(rows, KEYS, "start", 4))
+    p = stage(ev.shifted_signals(rows, KEYS, "start", 20))
     seg = p.select("asset", "start").distinct().join(sizes(rows), "asset").select("asset", F.lit("oos").alias("segment"), F.col("start").alias("seg_from"), F.col("n").alias("seg_to"))
     m = backtest.run(p.drop("start"), ["asset", "placebo"], PARAMS, segments=seg).metrics()
     return report(m.select("asset", "placebo", "net_return", "sharpe", "trades", "exposure", "turnover"))
@@ -343,8 +343,8 @@ def placebo_shift(s, d):
 PLACEBO_SIG = f"""sig0 AS (SELECT *, row_number() OVER w - 1 AS rn, coalesce(CASE WHEN count(*) OVER g = 20 THEN avg(close) OVER f > avg(close) OVER g END, FALSE) AS entry
   FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts), f AS (PARTITION BY asset ORDER BY ts ROWS 4 PRECEDING), g AS (PARTITION BY asset ORDER BY ts ROWS 19 PRECEDING)),
   cnt AS (SELECT asset, CAST(floor(count(*) * 0.6e0) AS BIGINT) AS st, count(*) - CAST(floor(count(*) * 0.6e0) AS BIGINT) AS tn FROM sig0 GROUP BY 1),
-  moved AS (SELECT s.asset, p AS scenario, st + (rn - st + 1 + {draw_sql(42, 'p')} % (tn - 1)) % tn AS rn, entry AS e FROM sig0 s JOIN cnt USING (asset), range(4) z(p) WHERE rn >= st),
-  sig AS (SELECT s.* EXCLUDE (entry), p AS scenario, coalesce(m.e, FALSE) AS entry, coalesce(NOT m.e, FALSE) AS leaves FROM sig0 s CROSS JOIN range(4) z(p) LEFT JOIN moved m ON m.asset = s.asset AND m.scenario = p AND m.rn = s.rn)"""
+  moved AS (SELECT s.asset, p AS scenario, st + (rn - st + 1 + {draw_sql(42, 'p')} % (tn - 1)) % tn AS rn, entry AS e FROM sig0 s JOIN cnt USING (asset), range(20) z(p) WHERE rn >= st),
+  sig AS (SELECT s.* EXCLUDE (entry), p AS scenario, coalesce(m.e, FALSE) AS entry, coalesce(NOT m.e, FALSE) AS leaves FROM sig0 s CROSS JOIN range(20) z(p) LEFT JOIN moved m ON m.asset = s.asset AND m.scenario = p AND m.rn = s.rn)"""
 
 
 def causality_audit(s, d):
@@ -389,7 +389,7 @@ def frozen_eval(s, d):
     bench = ev.benchmark_compare(base, passive_oos(rows), KEYS).select("asset", F.col("passed").alias("benchmark_passed"))
     first = costs.rows.groupBy("asset").agg(F.min("rn").alias("_f"))
     oos = stage(costs.returns().filter("scenario = 'x1'").join(first, "asset").select("asset", (F.col("rn") - F.col("_f")).alias("rn"), "ret"))
-    boot = ev.block_bootstrap(oos, KEYS, samples=200).groupBy("asset").agg(F.min("passed").alias("bootstrap_passed"))
+    boot = ev.block_bootstrap(oos, KEYS).groupBy("asset").agg(F.min("passed").alias("bootstrap_passed"))
     stress = m.groupBy("asset").agg(F.min(ev.viable(20)).alias("costs_viable"))
     delayed = late.select("asset", ev.viable(20).alias("delay_viable"))
     j = base.select("asset", "net_return", "sharpe", "trades").join(stress, "asset").join(bench, "asset").join(boot, "asset", "left").join(delayed, "asset")
@@ -494,7 +494,7 @@ QUERIES = {
     "walk_forward": (
         walk_forward,
         segmented_sql("""SELECT asset, passing_folds, trades, round(net_return, 6) AS net_return, round(max_drawdown, 6) AS max_drawdown,
-          passing_folds >= 2 AND net_return > 0 AND max_drawdown <= 0.9e0 AND trades >= 30 AND NOT broken AS passed FROM ft JOIN jd USING (asset)""", {**WINDOWS, **TRAINS}, WALK_TAIL),
+          passing_folds >= 2 AND net_return > 0 AND max_drawdown <= 0.25e0 AND trades >= 30 AND NOT broken AS passed FROM ft JOIN jd USING (asset)""", {**WINDOWS, **TRAINS}, WALK_TAIL),
     ),
     "time_folds": (time_folds, time_folds_sql(f"SELECT asset, CAST(fold AS INTEGER) AS fold, part, periods, {ROUND('net_return', 'sharpe', 'max_drawdown', 'expectancy')}, bankrupt, trades, purged FROM fm")),
     "time_walk_forward": (time_walk_forward, time_folds_sql(TIME_VERDICT.format(need=2))),
@@ -529,7 +529,7 @@ QUERIES = {
         variant_sql(VARIANTS, f"""SELECT asset, count(*) FILTER (NOT j) AS singles, round(avg(CASE WHEN v THEN 1e0 ELSE 0e0 END) FILTER (NOT j), 6) AS single_fraction, count(*) FILTER (j) AS joints,
           round(avg(CASE WHEN v THEN 1e0 ELSE 0e0 END) FILTER (j), 6) AS joint_fraction, count(DISTINCT regexp_replace(scenario, '[-+]', '')) FILTER (NOT j) AS parameters,
           avg(CASE WHEN v THEN 1e0 ELSE 0e0 END) FILTER (NOT j) >= 0.8e0 AND avg(CASE WHEN v THEN 1e0 ELSE 0e0 END) FILTER (j) >= 0.8e0 AS passed
-          FROM (SELECT asset, scenario, scenario LIKE 'joint%' AS j, {VIABLE.format(dd=0.9, n=30)} AS v FROM metrics) GROUP BY 1"""),
+          FROM (SELECT asset, scenario, scenario LIKE 'joint%' AS j, {VIABLE.format(dd=0.25, n=30)} AS v FROM metrics) GROUP BY 1"""),
     ),
     "variant_screen": (
         variant_screen,
@@ -538,7 +538,7 @@ QUERIES = {
     ),
     "viable": (
         viable,
-        run_sql(f"SELECT asset, scenario, {VIABLE.format(dd=0.9, n=30)} AS viable FROM metrics", "(VALUES ('long', 1e0, 1e0), ('short', 1e0, -1e0)) z(scenario, m, dir)", metrics=True),
+        run_sql(f"SELECT asset, scenario, {VIABLE.format(dd=0.25, n=30)} AS viable FROM metrics", "(VALUES ('long', 1e0, 1e0), ('short', 1e0, -1e0)) z(scenario, m, dir)", metrics=True),
     ),
     "forward_means": (
         lambda s, d: report(ev.forward_means(trend_bars(s, d), KEYS)),

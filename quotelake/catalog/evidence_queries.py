@@ -14,6 +14,7 @@ from ..functions.sampling import draw_sql
 from ..operators import evidence as ev
 from ..operators import folds as tf
 from ..operators import ledger as lg
+from ..operators import metrics
 from ..operators.metrics import compound
 from ..plans import backtest
 from ..plans.inputs import bars, quotes, report, table
@@ -460,6 +461,31 @@ TIME_VERDICT = """SELECT asset, CASE WHEN NOT enough THEN 'INSUFFICIENT_DATA' WH
   CASE WHEN enough THEN CAST(passing_folds AS BIGINT) END AS passing_folds, CASE WHEN enough THEN CAST(trades AS BIGINT) END AS trades, CASE WHEN enough THEN CAST(purged AS BIGINT) END AS purged,
   CASE WHEN enough THEN round(net_return, 6) END AS net_return, CASE WHEN enough THEN round(max_drawdown, 6) END AS max_drawdown FROM every LEFT JOIN tally USING (asset) LEFT JOIN j USING (asset)"""
 
+def table_metrics(s, d):
+    """Metrics of runs given as tables: equity from each asset's bids, trades from every fortieth of its events."""
+    q = quotes(s, d).withColumn("n", F.col("sequence"))
+    b = q.groupBy("asset").agg(F.min("ts").alias("start"), add_seconds(F.max("ts"), 1800).alias("end"), F.lit(1000.0).alias("capital"))
+    equity = q.select("asset", "ts", "sequence", (1000 + 50 * (F.col("bid") - 101)).alias("equity"))
+    quantity, gain = 1.0 + F.col("n") % 3, 0.1 * (F.col("n") % 11 - 5)
+    t = q.filter(F.col("n") % 40 == 0).select("asset", F.col("ts").alias("entry_ts"), add_seconds(F.col("ts"), (F.col("n") % 7) * 3600).alias("exit_ts"), quantity.alias("quantity"),
+                                              F.col("bid").alias("entry_price"), (F.col("bid") + gain).alias("exit_price"), (quantity * gain).alias("pnl"))
+    return report(metrics.table_metrics(equity, t, b, KEYS, 3600, order=("ts", "sequence")))
+
+
+TABLE_METRICS = with_views("quotes", """q AS (SELECT *, sequence AS n FROM quotes), b AS (SELECT asset, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z FROM q GROUP BY 1),
+  eq AS (SELECT asset, ts, sequence, 1000 + 50 * (bid - 101) AS e FROM q),
+  grid AS (SELECT asset, unnest(generate_series(date_trunc('hour', a) + INTERVAL 1 HOUR, date_trunc('hour', z - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS g FROM b),
+  at_grid AS (SELECT grid.asset, g, coalesce(arg_max(e, (ts, sequence)), 1000) AS v FROM grid LEFT JOIN eq ON eq.asset = grid.asset AND ts < g GROUP BY 1, 2),
+  r AS (SELECT asset, (v - coalesce(lag(v) OVER w, 1000)) / greatest(coalesce(lag(v) OVER w, 1000), 1e-12) AS ret FROM at_grid WINDOW w AS (PARTITION BY asset ORDER BY g)),
+  sh AS (SELECT asset, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(252e0) ELSE 0 END AS sharpe FROM r GROUP BY 1),
+  pk AS (SELECT *, greatest(1000, max(e) OVER (PARTITION BY asset ORDER BY ts, sequence)) AS top FROM eq),
+  rk AS (SELECT asset, arg_max(e, (ts, sequence)) AS fin, greatest(0, max(1 - e / top)) AS dd, min(e) <= 0 AS bankrupt FROM pk GROUP BY 1),
+  t AS (SELECT asset, 1 + n % 3 AS k, bid, bid + 1e-1 * (n % 11 - 5) AS x, (1 + n % 3) * 1e-1 * (n % 11 - 5) AS pnl, (n % 7) * 3600 AS held FROM q WHERE n % 40 = 0),
+  d AS (SELECT asset, count(*) AS trades, sum(greatest(pnl, 0)) AS gains, sum(-least(pnl, 0)) AS losses, avg(pnl) AS expectancy, avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END) AS hit, sum(k * (bid + x)) AS traded, sum(held) AS held FROM t GROUP BY 1)""",
+    select="""SELECT b.asset, round(fin, 6) AS final_equity, round(fin / 1000 - 1, 6) AS net_return, round(sharpe, 6) AS sharpe, round(dd, 6) AS max_drawdown, bankrupt, coalesce(trades, 0) AS trades,
+      round(CASE WHEN losses > 0 THEN gains / losses END, 6) AS profit_factor, coalesce(gains > 0 AND losses = 0, FALSE) AS no_losing_trades, round(coalesce(expectancy, 0), 6) AS expectancy, round(coalesce(hit, 0), 6) AS hit_rate,
+      round(coalesce(held, 0) / ((epoch_us(z) - epoch_us(a)) / 1e6), 6) AS exposure, round(coalesce(traded, 0) / 1000, 6) AS turnover FROM b JOIN sh USING (asset) JOIN rk USING (asset) LEFT JOIN d USING (asset)""")
+
 ROUND = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
 QUERIES = {
@@ -497,6 +523,7 @@ QUERIES = {
           passing_folds >= 2 AND net_return > 0 AND max_drawdown <= 0.25e0 AND trades >= 30 AND NOT broken AS passed FROM ft JOIN jd USING (asset)""", {**WINDOWS, **TRAINS}, WALK_TAIL),
     ),
     "time_folds": (time_folds, time_folds_sql(f"SELECT asset, CAST(fold AS INTEGER) AS fold, part, periods, {ROUND('net_return', 'sharpe', 'max_drawdown', 'expectancy')}, bankrupt, trades, purged FROM fm")),
+    "table_metrics": (table_metrics, TABLE_METRICS),
     "time_walk_forward": (time_walk_forward, time_folds_sql(TIME_VERDICT.format(need=2))),
     "short_history": (short_history, time_folds_sql(TIME_VERDICT.format(need=40), 60)),
     "forward_windows": (

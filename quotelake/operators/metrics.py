@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.guards import ratio
+from ..functions.guards import micros, ratio
 from . import blocks
 
 TINY = 1e-12
@@ -90,3 +90,56 @@ def baseline_delta(metrics: DataFrame, keys: list[str], scenario: str, baseline:
         *keys, scenario, (F.col("net_return") - F.col("_r")).alias("net_return_difference"),
         (F.col("sharpe") - F.col("_s")).alias("sharpe_difference"),
     )
+
+
+def grid_returns(equity: DataFrame, bounds: DataFrame, keys: list[str], grid: int, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """keys, ``boundary``, ``equity`` and ``ret`` at the grid boundaries before which an equity table has a mark; at all others the return is zero.
+
+    ``equity``: keys, the columns ``order`` (the first is the time) and ``equity``. ``bounds``: keys, start, end, capital. A boundary sees the last mark strictly before it,
+    so a mark on a boundary belongs to the next interval; the first return is against the capital. Boundaries are numbered from 1, the
+    first after ``start``; ``intervals`` is how many there are up to ``end``. The calendar itself is never made: a mark names the boundary that sees it.
+    """
+    us = F.lit(grid * 1_000_000)
+    below = lambda c: ((micros(F.col(c)) - F.pmod(micros(F.col(c)), us)) / us).cast("long")
+    above = F.ceil(micros(F.col("end")) / us).cast("long")
+    limits = bounds.select(*keys, "capital", below("start").alias("_first"), (above - below("start")).alias("intervals"))
+    seen = blocks.null_safe_join(equity, limits, keys, "inner").withColumn("boundary", below(order[0]) + 1 - F.col("_first"))
+    seen = seen.filter((F.col("boundary") >= 1) & (F.col("boundary") <= F.col("intervals")))
+    last = seen.groupBy(*keys, "boundary").agg(F.max_by("equity", F.struct(*order)).alias("equity"), F.max("capital").alias("capital"), F.max("intervals").alias("intervals"))
+    r = blocks.with_previous(last, keys, ["boundary"], {"_before": "equity"}, slot=F.floor(F.col("boundary") / 4096))
+    before = F.coalesce("_before", "capital")
+    return r.withColumn("ret", (F.col("equity") - before) / F.greatest(before, F.lit(TINY))).drop("_before")
+
+
+def table_metrics(equity: DataFrame, trades: DataFrame, bounds: DataFrame, keys: list[str], grid: int, periods_per_year: float = 252.0, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Metrics of runs that are given as tables: an equity table on any time line, trades, and the bounds of each run. One row per run in ``bounds``.
+
+    Return and Sharpe ratio are of the returns on the grid (:func:`grid_returns`), drawdown and ruin of every mark. The profit factor is missing without a loss. Marks outside of
+    [start, end) do not count; a run without marks keeps its capital, and one without trades has zeros.
+    """
+    curve = blocks.null_safe_join(equity, bounds.select(*keys, "start", "end", "capital"), keys, "inner")
+    curve = curve.filter((F.col(order[0]) >= F.col("start")) & (F.col(order[0]) < F.col("end")))
+    r = grid_returns(curve.drop("start", "end", "capital"), bounds, keys, grid, order)
+    n, m, mean = F.max("intervals"), F.count(F.lit(1)), F.avg("ret")
+    # the other intervals return zero: both parts' moments are put together
+    moments = r.groupBy(*keys).agg((F.sum("ret") / n).alias("_mean"), (F.var_pop("ret") * m + mean * mean * m * (n - m) / n).alias("_m2"), n.alias("_n"))
+    sd = F.sqrt(F.col("_m2") / F.nullif(F.col("_n") - 1, F.lit(0)))
+    moments = moments.select(*keys, F.when(sd > TINY, F.col("_mean") / F.nullif(sd, F.lit(0.0)) * (periods_per_year**0.5)).otherwise(0.0).alias("sharpe"))
+    b = blocks.split(curve, keys, list(order))
+    peaks = blocks.carried(b, {"_top": F.max("equity")}, {"_top": "max"})
+    peaks = b.own(peaks.withColumn("peak", F.greatest("capital", "_top", F.max("equity").over(b.window().rowsBetween(Window.unboundedPreceding, 0)))))
+    risk = peaks.groupBy(*keys).agg(F.max_by("equity", F.struct(*order)).alias("final_equity"), F.max(1 - F.col("equity") / F.col("peak")).alias("max_drawdown"), (F.min("equity") <= 0).alias("bankrupt"))
+    pnl = F.col("pnl")
+    held = (micros(F.col("exit_ts")) - micros(F.col("entry_ts"))) / 1e6
+    deals = trades.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum(F.greatest(pnl, F.lit(0.0))).alias("_gains"), F.sum(-F.least(pnl, F.lit(0.0))).alias("_losses"), F.avg(pnl).alias("expectancy"),
+        F.avg((pnl > 0).cast("double")).alias("hit_rate"), F.sum(F.col("quantity") * (F.col("entry_price") + F.col("exit_price"))).alias("_traded"), F.sum(held).alias("_held"))
+    j = bounds.select(*keys, "start", "end", "capital")
+    for part in (moments, risk, deals):
+        j = blocks.null_safe_join(j, part, keys, "left")
+    j = j.fillna(0, ["trades"]).fillna(0.0, ["sharpe", "max_drawdown", "expectancy", "hit_rate", "_gains", "_losses", "_traded", "_held"]).fillna(False, ["bankrupt"])
+    final = F.coalesce("final_equity", "capital")
+    return j.select(
+        *keys, final.alias("final_equity"), (final / F.col("capital") - 1).alias("net_return"), "sharpe", F.greatest(F.lit(0.0), "max_drawdown").alias("max_drawdown"), "bankrupt", "trades",
+        F.when(F.col("_losses") > 0, ratio(F.col("_gains"), F.col("_losses"))).alias("profit_factor"), ((F.col("_gains") > 0) & (F.col("_losses") == 0)).alias("no_losing_trades"),
+        "expectancy", "hit_rate", (F.col("_held") / ((micros(F.col("end")) - micros(F.col("start"))) / 1e6)).alias("exposure"), (F.col("_traded") / F.col("capital")).alias("turnover"))

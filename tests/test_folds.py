@@ -111,3 +111,35 @@ def test_walk_forward_by_rows(spark):
     got = evidence.walk_forward(m, r, ["asset"], 3).first()
     p, _, _, dd = plain_curve([0.01 if i % 3 else -0.01 for i in range(60)])
     assert got.passing_folds == 2 and got.passed and abs(got.net_return - (p - 1)) < 1e-12 and abs(got.max_drawdown - dd) < 1e-12
+
+
+@pytest.mark.parametrize("ruined", [False, True])
+def test_metrics_of_given_tables(spark, ruined):
+    """Against a plain walk over the calendar: long silences, a mark on a boundary, several marks of one time."""
+    from quotelake.operators import metrics
+
+    r = np.random.default_rng(2)
+    minutes = np.sort(r.choice(6000, 150, replace=False)).tolist()
+    minutes = [m for m in minutes if not 2000 < m < 4000] + [4020, 4080, 4080, 6100]
+    value = (1000 + r.normal(0, 15, len(minutes)).cumsum()).tolist()
+    if ruined:
+        value[20] = -5.0
+    stamp = lambda m: (pd.Timestamp("2024-01-01 00:30") + pd.Timedelta(minutes=m)).to_pydatetime()
+    rows = sorted((stamp(m), i, v) for i, (m, v) in enumerate(zip(minutes, value)))
+    start, end = stamp(0), stamp(6001)
+    equity = spark.createDataFrame([("A", *x) for x in rows], "asset string, ts timestamp, seq long, equity double").repartition(3)
+    trades = spark.createDataFrame([("A", stamp(60), stamp(120), 2.0, 10.0, 12.0, 4.0), ("A", stamp(200), stamp(260), 1.0, 10.0, 9.0, -1.0)],
+                                   "asset string, entry_ts timestamp, exit_ts timestamp, quantity double, entry_price double, exit_price double, pnl double")
+    bounds = spark.createDataFrame([("A", start, end, 1000.0), ("B", start, end, 500.0)], "asset string, start timestamp, end timestamp, capital double")
+    got = {x.asset: x for x in metrics.table_metrics(equity, trades, bounds, ["asset"], 3600, order=("ts", "seq")).collect()}
+    own = [x for x in rows if start <= x[0] < end]
+    grid = pd.date_range(pd.Timestamp(start).floor("1h") + pd.Timedelta(hours=1), pd.Timestamp(end).ceil("1h"), freq="1h")
+    curve = np.array([1000.0] + [next((v for t, _, v in reversed(own) if t < g), 1000.0) for g in grid])
+    ret = np.diff(curve) / np.maximum(curve[:-1], 1e-12)
+    marks = np.r_[1000.0, [v for *_, v in own]]
+    a = got["A"]
+    np.testing.assert_allclose([a.final_equity, a.sharpe, a.max_drawdown], [own[-1][2], ret.mean() / ret.std(ddof=1) * 252**0.5, (1 - marks / np.maximum.accumulate(marks)).max()], rtol=1e-9)
+    assert a.bankrupt == ruined and (a.trades, a.profit_factor, a.expectancy, a.hit_rate) == (2, 4.0, 1.5, 0.5)
+    np.testing.assert_allclose([a.exposure, a.turnover], [7200 / (6001 * 60), (2 * 22 + 19) / 1000])
+    b = got["B"]
+    assert (b.final_equity, b.net_return, b.sharpe, b.trades, b.bankrupt, b.profit_factor, b.no_losing_trades) == (500.0, 0.0, 0.0, 0, False, None, False)

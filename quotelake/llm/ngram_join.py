@@ -248,18 +248,25 @@ def _tree_join(threshold: int):
     return run
 
 
-def _bucket_pairs(rest: DataFrame, threshold: int, page: int) -> DataFrame:
+def _vectors_of(vectors: DataFrame, c: str) -> DataFrame:
+    return vectors.select(F.col("uid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("counts", "half", "size")])
+
+
+def _bucket_pairs(rest: DataFrame, vectors: DataFrame, threshold: int, page: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components that the trees let through.
 
-    ``rest``: bucket, uid, label, counts, size (of the set), many (members of the bucket), inside (in the component that members were last compared
-    with). Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring
+    ``rest``: bucket, uid, label, size (of the set), many (members of the bucket), inside (in the component that members were last compared
+    with). ``vectors``: uid, counts, half, size. Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring
     classes. A bucket that fits in one leaf needs no tree: its members are compared with that leaf.
     """
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "counts", "half", "size")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "size")]
     leaf = rest.where(F.col("many") <= LEAF)
     u, v = leaf.where(~F.col("inside")).select("bucket", *side("a")), leaf.select("bucket", *side("b"))
-    direct = u.join(v, "bucket").where((F.col("label_a") != F.col("label_b")) & _may_link(threshold)).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
-    rest = rest.where(F.col("many") > LEAF)
+    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * threshold
+    # a pair may stand in many buckets: its vectors are fetched once
+    direct = u.join(v, "bucket").where((F.col("label_a") != F.col("label_b")) & near).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct()
+    direct = stage(direct).join(_vectors_of(vectors, "a"), "a").join(_vectors_of(vectors, "b"), "b").where(_may_link(threshold)).select("a", "b")
+    rest = stage(rest.where(F.col("many") > LEAF).join(vectors.select("uid", "counts"), "uid"))
     # sizes at the threshold differ by at most this ratio, a hair wider than exact, so they are in the same or in neighbouring classes
     ratio = float(np.log(100 / threshold)) * (1 + 1e-9) if threshold < 100 else 1.0
     place = lambda n: F.floor(F.ln(n) / ratio)
@@ -319,7 +326,7 @@ def _join_sets(docs: DataFrame, shingle: int, threshold: int, groups: int, stars
     release(spark, own)
     vectors = near.select("uid", "counts", "half", "size")
     is_link = F.col("both") * 100 >= F.col("either") * threshold
-    of = lambda c: vectors.select(F.col("uid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("counts", "half", "size")])
+    of = lambda c: _vectors_of(vectors, c)
 
     linked = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
@@ -345,8 +352,8 @@ def _join_sets(docs: DataFrame, shingle: int, threshold: int, groups: int, stars
         pairs = stage(untested(pairs)).join(of("a"), "a").join(of("b"), "b").where(_may_link(threshold))
         decided = _decided(pairs.groupBy("b").agg(F.min_by("a", F.struct("turn", "a")).alias("a")).select("a", "b"), near)
         linked, tested = with_links(linked, decided), tested.unionByName(decided.select("a", "b"))
-    rest = apart(linked, stars).withColumn("inside", F.col("label") == F.col("centre.label")).drop("centre").join(vectors, "uid")
-    final = with_links(linked, _decided(untested(_bucket_pairs(stage(rest), threshold, page)), near))
+    rest = apart(linked, stars).withColumn("inside", F.col("label") == F.col("centre.label")).drop("centre").join(near.select("uid", "size"), "uid")
+    final = with_links(linked, _decided(untested(_bucket_pairs(stage(rest), vectors, threshold, page)), near))
 
     # a component is named by its smallest doc_id
     named = stage(by_key.join(final.withColumnRenamed("node", "uid"), "uid", "left").select("key", "doc_id", F.coalesce("component", "uid").alias("component")))

@@ -423,15 +423,22 @@ def causality_audit(df: DataFrame, evaluate, keys: list[str], order: list[str],
     return out.withColumn("passed", F.col("changed") == 0)
 
 
-def confirmation_end(bars: DataFrame, keys: list[str], base: int, target: int, min_days: int, need: int = 120) -> DataFrame:
-    """First bar that has ``need`` complete signal bars and the minimum days behind it."""
-    from ..functions.guards import add_seconds, floor_ts
+def confirmation_end(bars: DataFrame, keys: list[str], base: int, target: int, min_days: int, need: int = 120, slot_bars: int = 4096) -> DataFrame:
+    """First bar that has ``need`` complete signal bars and the minimum days behind it.
+
+    Complete signal bars are counted per slot of ``slot_bars`` calendar places; only the slot that holds the wanted one is numbered.
+    """
+    from ..functions.guards import add_seconds, floor_ts, micros
 
     bucket = floor_ts(F.col("ts"), target)
     g = bars.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last"))
     whole = g.filter((F.col("_n") == target // base) & (F.col("_last") == add_seconds(F.col("_b"), target - base)))
-    # One row per signal bar: a calendar-sized table.
-    nth = whole.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_b"))).filter(F.col("_k") == need).select(*keys, F.col("_last").alias("_nth"))
+    whole = whole.withColumn("_slot", blocks.time_slot(micros(F.col("_b")), target * slot_bars))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = whole.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", before)
+    slots = slots.filter((F.col("_before") < need) & (F.col("_before") + F.col("_m") >= need)).drop("_m")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_b"))
+    nth = whole.join(slots, [*keys, "_slot"]).withColumn("_k", place).filter(F.col("_k") == need).select(*keys, F.col("_last").alias("_nth"))
     span = bars.groupBy(*keys).agg(F.min("ts").alias("_first"), F.max("ts").alias("_final"))
     horizon = F.col("_first") + F.make_dt_interval(F.lit(min_days))
     due = span.join(nth, keys, "left").withColumn("_due", F.when(F.col("_final") >= horizon, F.greatest("_nth", horizon)))

@@ -116,28 +116,41 @@ def common_range(bars: DataFrame) -> DataFrame:
     return bars.crossJoin(F.broadcast(span)).filter(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 
-def grid_sample(marks: DataFrame, value: str, step: int, start: str, end: str, initial: float) -> DataFrame:
+def grid_sample(
+    marks: DataFrame, value: str, step: int, start: str, end: str, initial: float, block_rows: int = blocks.BLOCK_ROWS
+) -> DataFrame:
     """The last mark strictly before each boundary of a UTC grid, else the initial value.
 
-    Marks are reduced to one per grid interval map-side; only the calendar-sized grid is
-    filled forward.
+    Marks are reduced to one per grid interval map-side. The grid is made and filled in blocks of
+    ``block_rows`` boundaries; what a block takes over from earlier ones is a table with a row per block.
+    A NULL mark is no mark; a NULL asset is a series of its own. A range without a boundary gives no row.
     """
     us = step * 1_000_000
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    first = floor_ts(lo, step) + F.make_dt_interval(secs=F.lit(step))
-    last = F.timestamp_micros(F.ceil(micros(hi) / us) * us)
+    first = micros(floor_ts(lo, step)) + us
+    last = F.ceil(micros(hi) / us) * us
+    many = ((last - first) / us).cast("long") + 1
+    block = lambda at: F.floor((at - first) / (us * block_rows))
     # A mark at b - 0 counts for boundary b; a mark on b counts for the next one.
-    ends = F.timestamp_micros(micros(floor_ts(F.col("ts"), step)) + us)
+    ends = micros(floor_ts(F.col("ts"), step)) + us
     latest = (
-        marks.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).groupBy("asset", ends.alias("boundary"))
+        marks.filter((F.col("ts") >= lo) & (F.col("ts") < hi) & F.col(value).isNotNull()).groupBy("asset", ends.alias("_at"))
         .agg(F.max_by(value, F.struct(*[c for c in EVENT if c in marks.columns])).alias("_v"))
     )
-    grid = marks.select("asset").distinct().select(
-        "asset", F.explode(F.sequence(first, last, F.make_dt_interval(secs=F.lit(step)))).alias("boundary")
+    parts = marks.select("asset").distinct().select(
+        "asset", F.explode(F.when(many > 0, F.sequence(F.lit(0), F.floor((many - 1) / block_rows)))).alias("_part")
     )
-    w = Window.partitionBy("asset").orderBy("boundary").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(latest, ["asset", "boundary"], "left").select(
-        "asset", "boundary", F.coalesce(F.last("_v", ignorenulls=True).over(w), F.lit(float(initial))).alias("value")
+    left = latest.groupBy("asset", block(F.col("_at")).alias("_part")).agg(F.max_by("_v", "_at").alias("_left"))
+    earlier = Window.partitionBy("asset").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = blocks.null_safe_join(parts, left, ["asset", "_part"], "left").select(
+        "asset", "_part", F.last("_left", ignorenulls=True).over(earlier).alias("_before")
+    )
+    own = F.sequence(F.col("_part") * block_rows, F.least((F.col("_part") + 1) * block_rows, many) - 1)
+    grid = parts.withColumn("_k", F.explode(own)).withColumn("_at", first + F.col("_k") * us)
+    w = Window.partitionBy("asset", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last("_v", ignorenulls=True).over(w), "_before", F.lit(float(initial)))
+    return blocks.null_safe_join(grid, latest, ["asset", "_at"], "left").select(
+        "asset", F.timestamp_micros("_at").alias("boundary"), filled.alias("value")
     )
 
 

@@ -41,12 +41,17 @@ def _header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return first[0][0].split(sep) if first else []
 
 
+def _strict_csv(spark: SparkSession):
+    """A reader that fails on a malformed row and on any file whose header is not the schema's."""
+    return spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+
+
 def read_quotes_csv(spark: SparkSession, path: str, asset: str) -> DataFrame:
-    """Quotes from CSV with exactly timestamp, sequence, bid, ask."""
+    """Quotes from CSV with exactly timestamp, sequence, bid, ask. ``path`` may be a folder; each file's header is checked as it is scanned."""
     want = ["timestamp", "sequence", "bid", "ask"]
     if _header(prepare(spark), path) != want:
         raise SourceError(f"quote files hold exactly the columns {want}")
-    raw = spark.read.schema(QUOTE_CSV).option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = _strict_csv(spark).schema(QUOTE_CSV).csv(path)
     return raw.select(F.lit(asset).alias("asset"), _time("timestamp").alias("ts"), "sequence", _number("bid"), _number("ask"))
 
 
@@ -63,7 +68,7 @@ def read_bars_manifest(spark: SparkSession, path: str) -> DataFrame:
         if not {"timestamp", "open", "high", "low", "close"} <= set(cols):
             raise SourceError("bar files need timestamp, open, high, low, close")
         schema = T.StructType([T.StructField(c, T.StringType() if c == "timestamp" else T.DoubleType()) for c in cols])
-        raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(d["path"])
+        raw = _strict_csv(spark).schema(schema).csv(d["path"])
         part = raw.select(F.lit(d["asset"]).alias("asset"), _time("timestamp").alias("ts"), *[_number(c) for c in cols if c != "timestamp"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
@@ -103,7 +108,7 @@ def read_release_csv(spark: SparkSession, path: str, name: str, available: str,
     """An external series from a release file: when a value became known, and the value."""
     cols = _header(prepare(spark), path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = _strict_csv(spark).schema(schema).csv(path)
     return raw.select(F.lit(name).alias("series"), exact_time(F.col(available)).alias("available_at"), finite(F.col(value).cast("double")).alias("value"),
                       F.lit(max_age_days).alias("max_age_days"))
 

@@ -114,6 +114,15 @@ def test_store_refuses_replaces_and_prunes(spark, folder):
     assert "PartitionFilters: [isnotnull(asset" in one._jdf.queryExecution().toString() and one.count() == 1
 
 
+def test_every_file_of_a_folder_has_its_header_checked(spark, folder):
+    for name, head in (("a", "timestamp,sequence,bid,ask"), ("b", "timestamp,sequence,ask,bid")):
+        with open(f"{folder}/{name}.csv", "w") as f:
+            f.write(f"{head}\n2024-01-01T00:00:00Z,0,1.0,1.1\n")
+    assert readers.read_quotes_csv(spark, f"{folder}/a.csv", "X").count() == 1
+    with pytest.raises(Exception, match="header"):
+        readers.read_quotes_csv(spark, f"{folder}/*.csv", "X").collect()
+
+
 def test_csv_and_document_sources(spark, folder):
     with open(f"{folder}/q.csv", "w") as f:
         f.write("timestamp,sequence,bid,ask\n2024-01-01T00:00:00Z,0,1.0,1.1\n2024-01-01 00:00:01,1,1.0,1.1\n")

@@ -137,6 +137,29 @@ def test_confirmation_needs_bars_and_days(spark):
     assert end(150) is None
 
 
+@pytest.mark.parametrize("slot_bars", [1, 7, 64, 4096])
+def test_confirmation_counts_complete_bars_over_slots(spark, slot_bars):
+    b = bars_of(spark, [1.0] * 150).where(F.dayofyear("ts") != 9)
+    end = lambda need: evidence.confirmation_end(b, ["asset"], 86400, 86400, 1, need, slot_bars).collect()[0].end_ts
+    days = [r.ts for r in b.orderBy("ts").collect()]
+    assert [end(n) for n in (7, 63, 149, 150)] == [days[6], days[62], days[148], None]
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 64, 1 << 18])
+def test_grid_is_filled_over_block_edges(spark, block_rows):
+    marks = [("A", "2024-01-01 03:00", 1.0), ("A", "2024-01-01 03:30", 2.0), ("A", "2024-01-02 12:00", None), ("A", "2024-01-04 00:00", 3.0),
+             (None, "2024-01-03 05:59", 5.0), ("B", "2024-01-09 00:00", 9.0), ("B", "2023-12-31 23:00", 8.0)]
+    df = frame(spark, marks, "asset string, ts timestamp, v double")
+    got = {(r.asset, r.boundary): r.value for r in resample.grid_sample(df, "v", 3600, "2024-01-01", "2024-01-06", 100.0, block_rows).collect()}
+    hours = [at("2024-01-01") + pd.Timedelta(hours=h) for h in range(1, 121)]
+    want = {}
+    for asset in ("A", None, "B"):
+        own = sorted((at(t), v) for a, t, v in marks if a == asset and v is not None and at("2024-01-01") <= at(t) < at("2024-01-06"))
+        want |= {(asset, h): ([v for t, v in own if t < h] or [100.0])[-1] for h in hours}
+    assert {(a, pd.Timestamp(t)): v for (a, t), v in got.items()} == {(a, pd.Timestamp(t)): v for (a, t), v in want.items()}
+    assert resample.grid_sample(df, "v", 3600, "2024-01-01", "2024-01-01", 100.0, block_rows).count() == 0
+
+
 def test_hour_coverage_marks_closed_saturday(spark):
     q = spark.createDataFrame([("X", at("2024-01-05 10:10"), 0, 1.0, 1.1)], "asset string, ts timestamp, sequence long, bid double, ask double")
     got = {str(r.day): r for r in quality.hour_coverage(q, "2024-01-05", "2024-01-07").collect()}

@@ -250,6 +250,22 @@ def _co_moment(here: dict[str, Column], left: dict[str, Column], x: str, y: str,
     return here[own] * n + F.when(m > 0, left[own] * m + apart).otherwise(F.lit(0.0))
 
 
+def _deviation(values: Column) -> Column:
+    """Sample deviation of an array, by Welford's update in its order.
+
+    The step is the textbook's, d * (x - mean after x): Spark's own aggregate takes another one, and where a window holds nothing but one price
+    written in two ways (100.2849 and the next double) the two differ by more than the deviation itself.
+    """
+
+    def step(a: Column, x: Column) -> Column:
+        n, d = a["n"] + 1, x - a["mean"]
+        mean = a["mean"] + d / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + d * (x - mean)).alias("m2"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(values, zero, step, lambda a: F.sqrt(a["m2"] / (a["n"] - 1)))
+
+
 def std(x, n: int) -> Feature:
     """Sample deviation; missing for a window of one."""
     if n == 1:
@@ -257,7 +273,8 @@ def std(x, n: int) -> Feature:
 
     def make(s: Stage, c: Column) -> Column:
         if n <= DIRECT:
-            return _full(s, c, n, F.stddev_samp(c).over(s.trailing(n)))
+            held = s.pin(F.collect_list(c.cast("double")).over(s.trailing(n)))
+            return F.when(F.size(held) == n, _deviation(held))
         here, left = s.parts(n, n=F.count(c), mean=F.avg(c), v=F.var_pop(c), low=F.min(c), high=F.max(c))
         left = {**left, "n": F.coalesce(left["n"], F.lit(0))}
         flat = F.least(here["low"], left["low"]) == F.greatest(here["high"], left["high"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.guards import floor_ts
+from ..functions.guards import floor_ts, ordered_mean
 from ..functions.sampling import draw_sql
 from ..operators import quality
 from ..operators import registry as rg
@@ -125,7 +125,8 @@ def recent_notes(s, d):
 
 def scorecard(s, d):
     cand = table(s, d, "orders").select(F.col("o_orderkey").alias("candidate"), F.col("o_orderpriority").alias("asset"))
-    res = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("m"), F.max("l_shipdate").alias("last")).filter("last >= '1999-01-01'").select(
+    li = table(s, d, "lineitem").select("l_orderkey", "l_shipdate", "l_discount", F.struct("_metadata.file_path", "_metadata.row_index").alias("_place"))
+    res = li.groupBy("l_orderkey").agg(ordered_mean("l_discount", "_place").alias("m"), F.max("l_shipdate").alias("last")).filter("last >= '1999-01-01'").select(
         F.col("l_orderkey").alias("candidate"), (F.col("m") > 0.05).alias("passed"), (F.col("m") * 20).alias("forward_sharpe"))
     return report(rg.scorecard(cand, res))
 

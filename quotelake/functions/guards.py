@@ -35,3 +35,13 @@ def floor_ts(ts: Column, seconds: int) -> Column:
 def add_seconds(ts: Column, seconds: int | Column) -> Column:
     sec = F.lit(int(seconds)) if isinstance(seconds, int) else seconds
     return F.timestamp_micros(micros(ts) + sec.cast("long") * F.lit(1_000_000))
+
+
+def ordered_mean(value: str, place: str) -> Column:
+    """The mean of a group's doubles, added one after another by ``place``.
+
+    A sum of doubles depends on its order, and a plain average on how rows happen to be split; where a mean meets a threshold (two
+    discounts of 0.04 and 0.06 against 0.05) that decides. For groups that are small, such as the lines of an order.
+    """
+    held = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(place).alias("p"), F.col(value).cast("double").alias("v")))))
+    return F.aggregate(held, F.lit(0.0), lambda a, e: a + e["v"]) / F.nullif(F.size(held), F.lit(0))

@@ -110,10 +110,13 @@ def count_overlaps(requests: DataFrame, taken: DataFrame, start: str = "start",
         F.coalesce(micros(F.col(c)), F.lit(bound[c])).alias("_t"), F.lit(side).alias("_side"),
         (F.col("id") if kind == "probe" else F.lit(None).cast(requests.schema["id"].dataType)).alias("id"),
         F.lit(1 if kind == "start" else 0).alias("_s"), F.lit(1 if kind == "end" else 0).alias("_e"))
+    # Taken intervals are counted by time before anything is shuffled: only their numbers matter.
+    counted = lambda df: df.groupBy("_t", "_side", "id").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
     line = (
-        point(taken, start, 0, "start").unionByName(point(requests, end, 3, "probe"))
-        .unionByName(point(requests, start, 1, "probe")).unionByName(point(taken, end, 2, "end"))
+        counted(point(taken, start, 0, "start")).unionByName(point(requests, end, 3, "probe"))
+        .unionByName(point(requests, start, 1, "probe")).unionByName(counted(point(taken, end, 2, "end")))
     )
+    line = stage(line)
     b = blocks.split(line, [], ["_t", "_side"], axis=F.col("_t"), block_rows=block_rows)
     rows = blocks.carried(b, {"_cs": F.sum("_s"), "_ce": F.sum("_e")}, {"_cs": "sum", "_ce": "sum"})
     run = b.window().rowsBetween(Window.unboundedPreceding, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.guards import floor_ts, ordered_mean
@@ -152,17 +153,17 @@ def partition_write_plan(s, d):
     return store.write_plan(q, existing, "2024-01-25 12:00:00").withColumn("day", F.col("day").cast("string"))
 
 
-def _encode(batches):
-    for pdf in batches:
-        packed = [hour_files.encode_hour([r["ms"] for r in rows], [r["bid"] for r in rows], [r["ask"] for r in rows], 100000.0) for rows in pdf.records]
-        yield pd.DataFrame({"asset": pdf.asset, "hour": pdf.hour, "scale": 100000.0, "content": packed})
+def _encode(hour: pa.Table) -> pa.Table:
+    """The quotes of one asset's hour as one file."""
+    q = hour.sort_by([("ms", "ascending"), ("sequence", "ascending")])
+    content = hour_files.encode_hour(q["ms"].to_numpy(), q["bid"].to_numpy(), q["ask"].to_numpy(), 100000.0)
+    return hour.select(["asset", "hour"]).slice(0, 1).append_column("scale", pa.array([100000.0])).append_column("content", pa.array([content], pa.binary()))
 
 
 def hour_file_ingest(s, d):
     """Quotes packed into hourly files, as they would land, and decoded again."""
     q = quotes(s, d).withColumn("hour", floor_ts(F.col("ts"), 3600)).withColumn("ms", F.floor((F.unix_micros("ts") - F.unix_micros("hour")) / 1000))
-    hours = q.groupBy("asset", "hour").agg(F.array_sort(F.collect_list(F.struct("ms", "sequence", "bid", "ask"))).alias("records"))
-    files = hours.mapInPandas(_encode, "asset STRING, hour TIMESTAMP, scale DOUBLE, content BINARY")
+    files = q.select("asset", "hour", "ms", "sequence", "bid", "ask").groupBy("asset", "hour").applyInArrow(_encode, "asset STRING, hour TIMESTAMP, scale DOUBLE, content BINARY")
     return report(hour_files.decode_hours(files).select("asset", "ts", "sequence", "bid", "ask"))
 
 

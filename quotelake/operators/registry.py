@@ -29,23 +29,44 @@ def _inactive(name: str) -> Column:
     return by_family & (F.col("regime") != "low_volatility") if name == "fast" else by_family
 
 
-def param_grid(rules: DataFrame, key: str) -> DataFrame:
-    """Each rule with one parameter moved by -20 % or +20 %, inside its bounds.
+#: Rules and tries of one task: its memory does not grow with the table.
+TASK_ROWS = 1 << 18
 
-    Unused parameters, unchanged values, repeats and fast >= slow are left out.
-    """
-    options = []
+
+def _spread(rules: DataFrame, key: str, per_rule: int = 1) -> DataFrame:
+    """Rules of one key together, in as many parts as their number asks for; what is grouped by the key later is not shuffled again."""
+    return rules.repartition(max(1, -(-rules.count() * per_rule // TASK_ROWS)), key)
+
+
+def _options(rules: DataFrame) -> dict[str, Column]:
+    """Per parameter, a rule's values moved by -20 % or +20 % inside its bounds, as an array of (factor, value) without repeats."""
+    out = {}
     for name, (low, high) in BOUNDS.items():
+        moved = []
         for factor in (0.8, 1.2):
             v = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col(name) * factor))
-            v = F.bround(v) if name in WHOLE else F.bround(v, 8)
+            v = (F.bround(v) if name in WHOLE else F.bround(v, 8)).cast("double")
             ok = ~_inactive(name) & (v != F.col(name))
             if name == "fast":
                 ok = ok & (v < F.col("slow"))
             if name == "slow":
                 ok = ok & (v > F.col("fast"))
-            options.append(F.when(ok, F.struct(F.lit(name).alias("parameter"), F.lit(factor).alias("factor"), v.cast("double").alias("value"))))
-    exploded = rules.select(key, F.explode(F.array_compact(F.array(*options))).alias("o")).select(key, "o.*")
+            moved.append((factor, v, ok))
+        (f, v, ok), (g, w, ok2) = moved
+        again = F.coalesce(ok & (v == w), F.lit(False))
+        struct = lambda x, c: F.struct(F.lit(x).alias("factor"), c.alias("value"))
+        out[name] = F.array_compact(F.array(F.when(ok, struct(f, v)), F.when(ok2 & ~again, struct(g, w))))
+    return out
+
+
+def param_grid(rules: DataFrame, key: str) -> DataFrame:
+    """Each rule with one parameter moved by -20 % or +20 %, inside its bounds.
+
+    Unused parameters, unchanged values, repeats and fast >= slow are left out.
+    """
+    of = lambda n, o: F.transform(o, lambda x: F.struct(F.lit(n).alias("parameter"), x["factor"].alias("factor"), x["value"].alias("value")))
+    named = [of(n, o) for n, o in _options(rules).items()]
+    exploded = _spread(rules, key, 2 * len(BOUNDS)).select(key, F.explode(F.concat(*named)).alias("o")).select(key, "o.*")
     return exploded.groupBy(key, "parameter", "value").agg(F.min("factor").alias("factor"))
 
 

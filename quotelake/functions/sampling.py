@@ -6,6 +6,8 @@ it, a retry makes the same one, and the formula can be written in any SQL.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,22 @@ def draw_sql(seed: int, *parts: str) -> str:
     for k in (1, 2, 3):
         x = f"list_transform([{x}], lambda v: (v * v % {PRIME} + v * 48271 % {PRIME} + {k}) % {PRIME})[1]"
     return f"CAST({x} AS BIGINT)"
+
+
+def draws(seeds: list[int], slots: list[int]):
+    """A function of two columns that makes the draws of all seeds and slots at once, as one array: seed by seed, slot by slot.
+
+    As a Column a draw is repeated inside itself and again wherever a filter is pushed through it; this is made once a row.
+    """
+
+    def made(a: pa.Array, b: pa.Array) -> pa.Array:
+        first = sum(np.fmod(c.to_numpy(zero_copy_only=False).astype("int64"), PRIME) * w for c, w in zip((a, b), WEIGHTS))
+        out = np.empty((len(a), len(seeds) * len(slots)), "int64")
+        for j, (seed, slot) in enumerate((s, i) for s in seeds for i in slots):
+            x = np.fmod(first + (seed + slot % PRIME * WEIGHTS[2]), PRIME)
+            for k in (1, 2, 3):
+                x = np.fmod(np.fmod(x * x, PRIME) + np.fmod(x * 48_271, PRIME) + k, PRIME)
+            out[:, j] = x
+        return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype="int32") * out.shape[1], pa.array(out.ravel()))
+
+    return F.arrow_udf(made, "array<bigint>").asNondeterministic()

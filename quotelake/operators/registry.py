@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sampling import draw
+from ..functions.sampling import draws
 from ..functions.signals import FAMILIES, reads
+from ..session import stage
 from . import blocks
 
 # Bounds of the one-at-a-time shocks.
@@ -75,24 +76,40 @@ def joint_grid(rules: DataFrame, key: str, samples: int = 8, tries: int | None =
 
     Try t moves a parameter when its draw is odd and picks among its options by another
     draw; the first ``samples`` distinct valid tries are kept. Ten tries are made per sample.
+
+    Tries are made in two turns, the second only for rules that the first leaves short. Drawn tries are shuffled once, by their rule.
     """
     tries = 10 * samples if tries is None else tries
-    order = list(BOUNDS)
-    slot = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("parameter"))
-    g = param_grid(rules, key).withColumn("slot", slot)
-    opts = g.groupBy(key, "slot", "parameter").agg(F.array_sort(F.collect_list("value")).alias("options"))
-    t = opts.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    moved = t.filter(draw(seed, F.col(key), F.col("try"), F.col("slot")) % 2 == 1)
-    pick = (draw(seed + 1, F.col(key), F.col("try"), F.col("slot")) % F.size("options") + 1).cast("int")
-    moved = moved.withColumn("value", F.element_at("options", pick))
-    per = moved.groupBy(key, "try").agg(
-        F.count(F.lit(1)).alias("moved"), F.array_sort(F.collect_list(F.struct("slot", "parameter", "value"))).alias("_m"),
-        F.max(F.when(F.col("parameter") == "fast", F.col("value"))).alias("_f"), F.max(F.when(F.col("parameter") == "slow", F.col("value"))).alias("_s"))
-    per = per.join(rules.select(key, "fast", "slow"), key).filter((F.col("moved") >= 2) & (F.coalesce("_f", "fast") < F.coalesce("_s", "slow")))
-    text = F.concat_ws(";", F.transform("_m", lambda m: F.concat(m["parameter"], F.lit("="), _fixed(m["value"]))))
-    per = per.withColumn("changes", text).groupBy(key, "changes").agg(F.min("try").alias("try"), F.min("moved").alias("moved"))
+    values = {n: F.transform(o, lambda x: x["value"]).alias(n) for n, o in _options(rules).items()}
+    one = _spread(rules, key, 2 * samples).select(key, F.struct("fast", "slow").alias("_own"), *values.values())
+    gathered = {n: F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in BOUNDS}
+    opts = stage(one.groupBy(key).agg(F.collect_set("_own").alias("_own"), *gathered.values()))
+    first = stage(_joint(opts, key, samples, min(tries, 2 * samples), seed))
+    full = first.filter(F.col("k") == samples).select(key)
+    if tries > 2 * samples:
+        short = stage(opts.join(full, key, "left_anti"))
+        first = first.join(full, key, "left_semi").unionByName(_joint(short, key, samples, tries, seed))
+    return first.select(key, "changes", "try", "moved")
+
+
+def _joint(opts: DataFrame, key: str, samples: int, tries: int, seed: int) -> DataFrame:
+    """The first ``samples`` distinct valid ones of the tries from 0 on, numbered from 1 (k)."""
+    made = draws([seed, seed + 1], list(range(1, len(BOUNDS) + 1)))
+    t = opts.filter(F.col(key).isNotNull()).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    t = t.withColumn("_r", made(F.col(key).cast("long"), F.col("try").cast("long")))
+    picked = [
+        F.when((F.size(n) > 0) & (F.col("_r")[i] % 2 == 1), F.get(n, (F.col("_r")[len(BOUNDS) + i] % F.greatest(F.size(n), F.lit(1))).cast("int"))).alias(f"_v{i}")
+        for i, n in enumerate(BOUNDS)]
+    t = t.select(key, "try", "_own", *picked)
+    at = {n: F.col(f"_v{i}") for i, n in enumerate(BOUNDS)}
+    moved = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in at.values()), F.lit(0)).cast("long")
+    apart = F.exists("_own", lambda r: F.coalesce(at["fast"], r["fast"]) < F.coalesce(at["slow"], r["slow"]))
+    t = t.withColumn("moved", moved).filter((F.col("moved") >= 2) & apart).drop("_own").repartition(max(1, -(-opts.count() * tries // TASK_ROWS)), key)
+    per = t.groupBy(key, F.array(*[F.round(c * 1e6).cast("long") for c in at.values()]).alias("_m")).agg(F.min("try").alias("try"), F.min("moved").alias("moved"))
     w = Window.partitionBy(key).orderBy("try")
-    return per.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= samples).drop("k")
+    per = per.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= samples)
+    text = F.concat_ws(";", *[F.when(F.col("_m")[i].isNotNull(), F.concat(F.lit(f"{n}="), F.col("_m")[i].cast("string"))) for i, n in enumerate(BOUNDS)])
+    return per.select(key, text.alias("changes"), "try", "moved", "k")
 
 
 def rule_signature() -> Column:

@@ -13,6 +13,9 @@ how much work there is, never what is found. Buckets with the same members are o
 Copies are not expanded into pairs. Equal sets are one node. In a bucket, members are first compared with one of them, then twice more with
 another, which unites groups of copies; members that already are in one component need no comparing. Only what then still is apart
 goes through the bucket's trees, in pages of bounded size, every page against every other whose sizes can match.
+
+Before full sets are fetched for a pair, its odd sketches are compared: one bit a group, for more groups than shingles, that says whether the
+group's number is odd. Shared shingles cancel in their XOR, so the bits left are at most the shingles that are in one set only.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from quotelake.session import owning, release, stage
 
 from .common import lower_ascii_text, words_of
 from .components import components
-from .near_dups import PAIR_BATCH, _batches_of, _compare, _long, _short, shingles_of
+from .near_dups import PAIR_BATCH, _batches_of, _compare, _differing, _long, _short, shingles_of
 from .rolling import WordHashes
 
 SHINGLE = 5
@@ -46,6 +49,8 @@ PAGE = 2048
 #: The table of frequent shingles: counters (a power of two) and how many of them are kept.
 COUNTER_BITS = 22
 FREQUENT = 1 << 16
+#: Bits of an odd sketch: the power of two from twice the set's size on, within these. The brief one stands in every row of a bucket.
+BRIEF_BITS, ODD_BITS = 512, 1 << 14
 #: Bits of the map that says whose sets are needed. Where more rows are than it has bits it lets all of them through.
 BITMAP_BITS = 23
 
@@ -115,6 +120,12 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each of many groups, as 64-bit words: whether its number of shingles is odd. What two sets share cancels in the XOR."""
+    bits = min(max(BRIEF_BITS, 1 << max(0, 2 * len(s) - 1).bit_length()), ODD_BITS)
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def prefix_of(s: np.ndarray, late: np.ndarray | None, threshold: int) -> np.ndarray:
     """The first shingles of an ascending set, one of which every set at the threshold shares; ``late`` holds the counters' weights."""
     n = len(s)
@@ -211,16 +222,17 @@ def _decided(pairs: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _near_sets(groups: int, bits: np.ndarray):
-    """The sets of rows that the bitmap has, with their count vectors."""
+    """The sets of rows that the bitmap has, with their count vectors and odd sketches."""
 
     def run(batches):
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
         for batch in batches:
             batch = _has(bits, batch)
-            counts = [counts_of(_long(d.as_buffer()), groups) for d in batch["shingles"]]
-            half = [folded(c, len(c) // 2) for c in counts]
-            size = pa.array([int(c.sum()) for c in counts], pa.int32())
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["uid"], batch["at"], batch["shingles"], size, pa.array(counts, ints), pa.array(half, ints)], names=["uid", "at", "shingles", "size", "counts", "half"])
+            sets = [_long(d.as_buffer()) for d in batch["shingles"]]
+            odd = [odd_sketch(x) for x in sets]
+            brief = [np.bitwise_xor.reduce(o.reshape(-1, BRIEF_BITS // 64)) for o in odd]
+            columns = [pa.array([len(x) for x in sets], pa.int32()), pa.array([counts_of(x, groups) for x in sets], ints), pa.array(odd, longs), pa.array(brief, longs)]
+            yield pa.RecordBatch.from_arrays([batch["uid"], batch["at"], batch["shingles"], *columns], names=["uid", "at", "shingles", "size", "counts", "odd", "brief"])
 
     return run
 
@@ -248,25 +260,25 @@ def _tree_join(threshold: int):
     return run
 
 
-def _vectors_of(vectors: DataFrame, c: str) -> DataFrame:
-    return vectors.select(F.col("uid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("counts", "half", "size")])
+def _fields_of(near: DataFrame, c: str, *fields: str) -> DataFrame:
+    return near.select(F.col("uid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in fields])
 
 
-def _bucket_pairs(rest: DataFrame, vectors: DataFrame, threshold: int, page: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that the trees let through.
+def _bucket_pairs(rest: DataFrame, near: DataFrame, threshold: int, page: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that may link, as far as the trees or, in a bucket that fits in one leaf, the
+    brief odd sketches tell.
 
-    ``rest``: bucket, uid, label, size (of the set), many (members of the bucket), inside (in the component that members were last compared
-    with). ``vectors``: uid, counts, half, size. Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring
+    ``rest``: bucket, uid, label, size (of the set), brief, many (members of the bucket), inside (in the component that members were last compared
+    with). ``near``: uid, counts. Points are dealt into pages by class of size and by hash; queries, the members that are not inside, visit the pages of the neighbouring
     classes. A bucket that fits in one leaf needs no tree: its members are compared with that leaf.
     """
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "size")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "size", "brief")]
     leaf = rest.where(F.col("many") <= LEAF)
-    u, v = leaf.where(~F.col("inside")).select("bucket", *side("a")), leaf.select("bucket", *side("b"))
-    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * threshold
-    # a pair may stand in many buckets: its vectors are fetched once
-    direct = u.join(v, "bucket").where((F.col("label_a") != F.col("label_b")) & near).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct()
-    direct = stage(direct).join(_vectors_of(vectors, "a"), "a").join(_vectors_of(vectors, "b"), "b").where(_may_link(threshold)).select("a", "b")
-    rest = stage(rest.where(F.col("many") > LEAF).join(vectors.select("uid", "counts"), "uid"))
+    u, v = leaf.where(~F.col("inside")).select(F.col("bucket"), *side("a")), leaf.select(F.col("bucket").alias("bucket_b"), *side("b"))
+    fits = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * threshold) & _odd_fits(_differing("brief_a", "brief_b", BRIEF_BITS), threshold)
+    # decided in the join: most members of a bucket share little more than its shingle, and their pairs grow with the square of its size
+    direct = u.join(v, (F.col("bucket") == F.col("bucket_b")) & (F.col("label_a") != F.col("label_b")) & fits).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
+    rest = stage(rest.where(F.col("many") > LEAF).drop("brief").join(near.select("uid", "counts"), "uid"))
     # sizes at the threshold differ by at most this ratio, a hair wider than exact, so they are in the same or in neighbouring classes
     ratio = float(np.log(100 / threshold)) * (1 + 1e-9) if threshold < 100 else 1.0
     place = lambda n: F.floor(F.ln(n) / ratio)
@@ -281,13 +293,34 @@ def _bucket_pairs(rest: DataFrame, vectors: DataFrame, threshold: int, page: int
     return direct.unionByName(found).distinct()
 
 
-def _may_link(threshold: int):
-    """:func:`may_link` of the columns counts_a, half_a, size_a and those of b; where the groups differ by more than twice, of the sizes alone."""
-    wide = lambda x, y: F.size(f"counts_{x}") > F.size(f"counts_{y}")
-    a, b = (F.when(wide(x, y), F.col(f"half_{x}")).otherwise(F.col(f"counts_{x}")) for x, y in ("ab", "ba"))
-    most = F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)).otherwise(F.least("size_a", "size_b"))
+def _halved(x: str, both):
+    """A vector of half as many groups: group g of them is made of g and g + half."""
+    half = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), both)
+
+
+def _total(x: str, y: str, halve, each):
+    """The sum of ``each`` over two vectors, the longer one halved; null where they differ by more than twice: sets of such sizes never link."""
+    wide = lambda p, q: F.size(p) > F.size(q)
+    a, b = F.when(wide(x, y), _halved(x, halve)).otherwise(F.col(x)), F.when(wide(y, x), _halved(y, halve)).otherwise(F.col(y))
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, each), F.lit(0), lambda n, v: n + v))
+
+
+def _odd_fits(differ, threshold: int):
+    """Can sets whose odd sketches differ in so many bits link? As many shingles at least are in one of them only."""
     sizes = F.col("size_a") + F.col("size_b")
-    return (F.least("size_a", "size_b") * (100 + threshold) >= threshold * sizes) & (most * (100 + threshold) >= threshold * sizes)
+    return (sizes - differ) * (100 + threshold) >= 2 * threshold * sizes
+
+
+def _odd_may_link(threshold: int):
+    differ = _total("odd_a", "odd_b", lambda x, y: x.bitwiseXOR(y), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * threshold) & _odd_fits(F.coalesce(differ, F.lit(0)), threshold)
+
+
+def _may_link(threshold: int):
+    """:func:`may_link` of the columns counts_a, size_a and those of b; where the groups differ by more than twice, of the sizes alone."""
+    most = F.coalesce(_total("counts_a", "counts_b", lambda x, y: x + y, lambda x, y: F.least(x, y)), F.least("size_a", "size_b"))
+    return most * (100 + threshold) >= threshold * (F.col("size_a") + F.col("size_b"))
 
 
 def join_sets(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, groups: int = GROUPS, stars: int = STARS, page: int = PAGE) -> DataFrame:
@@ -321,12 +354,15 @@ def _join_sets(docs: DataFrame, shingle: int, threshold: int, groups: int, stars
     members = stage(shared.join(kept, "bucket").select("bucket", "uid", "many"))
     # only documents that share a bucket are looked at from here on, and the table of all sets goes
     at = F.pmod(F.xxhash64("uid"), F.lit(1 << BITMAP_BITS)).alias("at")
-    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, at long, shingles binary, size int, counts array<int>, half array<int>")
+    made = usable.select("uid", at, "shingles").mapInArrow(_near_sets(groups, _bits(members)), "uid long, at long, shingles binary, size int, counts array<int>, odd array<long>, brief array<long>")
     near = stage(made)
     release(spark, own)
-    vectors = near.select("uid", "counts", "half", "size")
     is_link = F.col("both") * 100 >= F.col("either") * threshold
-    of = lambda c: _vectors_of(vectors, c)
+
+    def likely(pairs: DataFrame, *fields: str) -> DataFrame:
+        """Pairs that may link by their odd sketches; what else was asked for is there to judge them by."""
+        of = lambda c: _fields_of(near, c, "size", "odd", *fields)
+        return stage(pairs).join(of("a"), "a").join(of("b"), "b").where(_odd_may_link(threshold))
 
     linked = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
@@ -349,11 +385,11 @@ def _join_sets(docs: DataFrame, shingle: int, threshold: int, groups: int, stars
         # each member is compared with one centre a turn: in the first with that of its largest bucket
         turn = F.when(F.lit(k == 0), -F.col("many")).otherwise(F.xxhash64("bucket", F.lit(k)))
         pairs = apart(linked, k).where(F.col("label") != F.col("centre.label")).groupBy(F.col("centre.uid").alias("a"), F.col("uid").alias("b")).agg(F.min(turn).alias("turn"))
-        pairs = stage(untested(pairs)).join(of("a"), "a").join(of("b"), "b").where(_may_link(threshold))
-        decided = _decided(pairs.groupBy("b").agg(F.min_by("a", F.struct("turn", "a")).alias("a")).select("a", "b"), near)
+        decided = _decided(likely(untested(pairs)).groupBy("b").agg(F.min_by("a", F.struct("turn", "a")).alias("a")).select("a", "b"), near)
         linked, tested = with_links(linked, decided), tested.unionByName(decided.select("a", "b"))
-    rest = apart(linked, stars).withColumn("inside", F.col("label") == F.col("centre.label")).drop("centre").join(near.select("uid", "size"), "uid")
-    final = with_links(linked, _decided(untested(_bucket_pairs(stage(rest), vectors, threshold, page)), near))
+    rest = apart(linked, stars).withColumn("inside", F.col("label") == F.col("centre.label")).drop("centre").join(near.select("uid", "size", "brief"), "uid")
+    pairs = likely(untested(_bucket_pairs(stage(rest), near, threshold, page)), "counts").where(_may_link(threshold)).select("a", "b")
+    final = with_links(linked, _decided(pairs, near))
 
     # a component is named by its smallest doc_id
     named = stage(by_key.join(final.withColumnRenamed("node", "uid"), "uid", "left").select("key", "doc_id", F.coalesce("component", "uid").alias("component")))

@@ -102,3 +102,29 @@ def test_count_tree(n):
     assert set(zip(who.tolist(), point.tolist())) == want and len(who) == len(want)
     for (high, least), (top, low) in zip(tree.levels, tree.levels[1:]):
         assert (top.max(axis=0) == high.max(axis=0)).all() and low.min() == least.min()
+
+
+def test_odd_sketches_bound_what_is_not_shared():
+    """Differing bits never outnumber the shingles that one set alone has, and tell sets apart that count vectors do not."""
+    r = np.random.default_rng(5)
+    for n in (1, 40, 330, 3000, 30_000):
+        s = np.unique(r.integers(0, 1 << 48, 2 * n, np.uint64))
+        a, b = s[:n], s[n // 4 : n // 4 + n]
+        x, y = ngram_join.odd_sketch(a), ngram_join.odd_sketch(b)
+        assert len(x) == len(y) and 64 * len(x) <= ngram_join.ODD_BITS
+        differ = sum(int(w).bit_count() for w in (x ^ y).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+        if n == 330:  # three quarters shared: the count vectors let them through, the sketches do not
+            assert ngram_join.may_link(ngram_join.counts_of(a)[None], ngram_join.counts_of(b)[None], n, n, 80) and (2 * n - differ) * 180 < 160 * 2 * n
+
+
+def test_leaf_buckets_are_not_expanded(spark):
+    """Members of a bucket that share no more than its shingle make no pair; the two that are alike make theirs."""
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 1 << 48, 300, np.uint64)) for _ in range(20)]
+    sets[7] = np.r_[sets[3][:-3], sets[7][:3]]
+    kinds = "uid long, label long, size int, counts array<int>, brief array<long>"
+    brief = [np.bitwise_xor.reduce(ngram_join.odd_sketch(x).reshape(-1, ngram_join.BRIEF_BITS // 64)).tolist() for x in sets]
+    near = spark.createDataFrame([(i, i, len(x), ngram_join.counts_of(x).tolist(), brief[i]) for i, x in enumerate(sets)], kinds)
+    rest = near.select("uid", "label", "size", "brief", F.lit(1).alias("bucket"), F.lit(20).alias("many"), (F.col("uid") == 0).alias("inside"))
+    assert [tuple(p) for p in ngram_join._bucket_pairs(rest, near, 80, 2048).collect()] == [(3, 7)]

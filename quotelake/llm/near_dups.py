@@ -6,11 +6,11 @@ sample toggles one bit: where two sets agree on a sample the toggles cancel, so
 estimates how many samples differ, precisely so for similar sets. Pairs whose count is too high for the threshold, by a wide
 margin, are not looked at further; all others are decided on the full sets.
 
-Equal sets are one node from the start. No bucket is ever expanded into all its pairs: its members are first compared with its smallest
+Equal sets are one node from the start. No bucket is ever expanded into all its pairs: its members are first compared with its first
 document only, and then with one more of that document's component. What is in one component needs no more comparing. Only
-members still outside the smallest document's component are compared with the rest, each pair in the first bucket it shares, and of
+members still outside the first document's component are compared with the rest, each pair in the first bucket it shares, and of
 those pairs only the ones that neither longer sketches, folded from 1024 samples, nor the triangle inequality of the Jaccard
-distance (through the distances to the smallest document, already known) rule out.
+distance (through the distances to the first document, already known) rule out.
 """
 
 from __future__ import annotations
@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     usable = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets are one node, named by the row of their smallest doc_id
     by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
-    placed = stage(usable.join(by_key.select("uid"), "uid").select("uid", "doc_id", F.posexplode("bands").alias("band", "bucket")))
-    centres = stage(placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("centre"), F.count("*").alias("size")).where("size > 1"))
+    placed = stage(usable.join(by_key.select("uid"), "uid").select("uid", F.posexplode("bands").alias("band", "bucket")))
+    # two numbers a bucket: almost every bucket has one member, so these rows are as many as all members
+    centres = stage(placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.count("*").alias("size")).where("size > 1"))
     members = stage(placed.join(centres, "bucket").select("bucket", "band", "uid", "centre", "size"))
     # only documents that share a bucket are looked at from here on
     sets = stage(usable.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "bands", "sketch", "shingles"))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from quotelake.llm import near_dups, rolling, substrings
+from quotelake.session import stage
 from quotelake.llm.common import words_of
 from quotelake.llm.components import components
 
@@ -163,3 +164,19 @@ def test_window_hashes():
         want = [sum(int(h[i + j]) * pow(int(rolling.BASE), k - 1 - j, 1 << 64) for j in range(k)) % (1 << 64) for i in range(len(h) - k + 1)]
         assert rolling.window_hashes(h, k).tolist() == want
     assert rolling.from_planes(rolling.planes(h), np.uint64).tolist() == h.tolist()
+
+
+def test_buckets_are_counted_in_plain_numbers(docs_of, monkeypatch):
+    """A bucket of one member costs the shuffle two numbers and its name: hashed, not sorted, and without a nested value."""
+    plans = []
+
+    def noted(df):
+        if df.columns == ["bucket", "centre", "size"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(near_dups, "stage", noted)
+    docs = [(i, " ".join(f"d{i}w{k}" for k in range(30))) for i in range(40)]
+    got = near_dups.near_duplicates(docs_of([*docs, (90, docs[5][1] + " more"), (3, docs[9][1] + " more")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted([(i, i) for i in range(40) if i != 9] + [(90, 5), (3, 3), (9, 3)])
+    assert len(plans) == 1 and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0] and "named_struct" not in plans[0] and "struct(" not in plans[0]

@@ -29,6 +29,7 @@ from quotelake.session import stage
 from .common import lower_ascii_text, words_of
 from .components import components
 from .rolling import WordHashes, window_hashes
+from .sieve import marked
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -196,21 +197,16 @@ def _differing(x: str, y: str, bits: int):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, most_bits: int = MOST_BITS, carry: bool = False) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, its own included), kept
-    (doc_id = component_id) and set_key (equal for equal sets).
+def _is_node():
+    return F.col("key").isNotNull() & F.col("doc_id").isNotNull()
 
-    Linked are documents with 100 * |A and B| >= threshold * |A or B|. A null text, or one without words, has the empty set and is linked with
-    nothing. Rows that repeat a doc_id are each linked by their own text; a row without a doc_id takes no part: its component is null and it is kept. Only
-    doc_id and text are read.
 
-    With ``carry`` each row also has the whole input ``row``, and ``first``: true for exactly one row of a component, the first found of its smallest
-    doc_id, and for all rows that are linked with nothing.
-    """
+def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, most_bits: int = MOST_BITS, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows with their numbers (uid) and the keys of their sets, written, and per key its component_id and the component's first row."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     kinds = StructType([*StructType.fromDDL(_SIGNED_SQL), *([read.schema["row"]] if carry else [])])
     signed = stage(read.mapInArrow(_sign(shingle, bands, rows, bits, carry), kinds))
-    usable = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+    usable = signed.where(_is_node())
     # equal sets are one node, named by the row of their smallest doc_id
     by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
     placed = stage(usable.join(by_key.select("uid"), "uid").select("uid", F.posexplode("bands").alias("band", "bucket")))
@@ -218,7 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     centres = stage(placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.count("*").alias("size")).where("size > 1"))
     members = stage(placed.join(centres, "bucket").select("bucket", "band", "uid", "centre", "size"))
     # only documents that share a bucket are looked at from here on
-    sets = stage(usable.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "bands", "sketch", "shingles"))
+    wanted = members.select("uid").distinct()
+    sets = stage(marked(usable.select("uid", "bands", "sketch", "shingles"), wanted).where("_maybe").drop("_maybe").join(wanted, "uid", "left_semi"))
     is_link = F.col("both") * 100 >= F.col("either") * threshold
     sketch_of = lambda c: sets.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
 
@@ -271,8 +268,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     named = stage(named)
     smallest = named.groupBy("component").agg(F.min(F.struct("doc_id", "uid")).alias("_f")).select("component", F.col("_f.doc_id").alias("component_id"), F.col("_f.uid").alias("_first"))
     classes = stage(named.join(stage(smallest), "component").select("key", "component_id", "_first"))
+    return signed, classes
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, most_bits: int = MOST_BITS, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, its own included), kept
+    (doc_id = component_id) and set_key (equal for equal sets).
+
+    Linked are documents with 100 * |A and B| >= threshold * |A or B|. A null text, or one without words, has the empty set and is linked with
+    nothing. Rows that repeat a doc_id are each linked by their own text; a row without a doc_id takes no part: its component is null and it is kept. Only
+    doc_id and text are read.
+
+    With ``carry`` each row also has the whole input ``row``, and ``first``: true for exactly one row of a component, the first found of its smallest
+    doc_id, and for all rows that are linked with nothing.
+    """
+    signed, classes = _classes(docs, shingle, threshold, bands, rows, bits, most_bits, carry)
     own = signed.select("doc_id", "n_shingles", "key", "uid", *(["row"] if carry else []))
-    is_node = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    is_node = _is_node()
     out = ["doc_id", "n_shingles", "component_id", "set_key", *(["row", "first"] if carry else [])]
     together = own.where(is_node).join(classes, "key").withColumn("set_key", F.col("key")).withColumn("first", F.col("uid") == F.col("_first")).select(*out)
     alone = own.where(~is_node).withColumn("component_id", F.col("doc_id")).withColumn("set_key", F.col("key")).withColumn("first", F.lit(True)).select(*out)
@@ -286,7 +298,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows are told apart even where they share a doc_id: of equal or similar texts under one id one stays, different texts under one id all stay, each
     judged by its own text. Null texts, texts without words, and rows without a doc_id stay.
     """
-    return near_duplicates(docs, carry=True).where("first").select("row.*")
+    signed, classes = _classes(docs, carry=True)
+    # whole rows stay where they are unless they may be copies
+    copies = stage(signed.where(_is_node()).select("key", "uid").join(classes, "key").where("uid != _first").select("uid"))
+    rows = marked(signed.select("uid", "row"), copies)
+    return rows.where(~F.col("_maybe")).select("row.*").unionByName(rows.where("_maybe").join(copies, "uid", "left_anti").select("row.*"))
 
 
 ORACLE = r"""

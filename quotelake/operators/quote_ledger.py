@@ -69,15 +69,45 @@ class Terms:
         return self.fixed_commission * self.cost_multiplier
 
 
+#: Rows that share an entry of the tables by which a time or a position is looked up.
+LOOKUP_ROWS = 4096
+
+
+def _chapter(position: str = "rn") -> Column:
+    return F.floor(F.col(position) / LOOKUP_ROWS).alias("_chapter")
+
+
+def chapter_ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last time in each stretch of ``LOOKUP_ROWS`` positions. Written."""
+    return stage(rows.groupBy(*keys, _chapter()).agg(F.max("ts").alias("_until")))
+
+
+def _first_at(probes: DataFrame, rows: DataFrame, ends: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """Position of the first row at or after a time, for few times beside rows.
+
+    The times are placed among the ends of stretches of positions; then only the rows of those stretches are looked at, and no row is moved unless
+    the times are too many to broadcast.
+    """
+    probes = stage(probes)
+    times = probes.filter(F.col(at).isNotNull()).select(*keys, at).distinct()
+    placed = stage(asof.asof(times, ends, keys, at, "_until", ["_chapter"], forward=True, right_order="_chapter").filter("_chapter IS NOT NULL"))
+    seen = blocks.null_safe_join(rows.select(*keys, "rn", "ts", _chapter()), placed, [*keys, "_chapter"], "inner").filter(F.col("ts") >= F.col(at))
+    return blocks.null_safe_join(probes, seen.groupBy(*keys, at).agg(F.min("rn").alias(name)), [*keys, at], "left")
+
+
 def place_decisions(quotes: DataFrame, decided: DataFrame, seconds: int) -> DataFrame:
     """Give each closed bar's decision to the first quote at or after its close.
 
-    ``decided``: asset, ts (bar start), entry, exit. The latest bar wins a shared quote.
+    ``decided``: asset, ts (bar start), entry, exit. The latest bar wins a shared quote. Quotes that have their position are not moved.
     """
     closes = decided.withColumn("closes", F.timestamp_micros(micros(F.col("ts")) + seconds * 1_000_000))
-    hit = asof.asof(closes, quotes, ["asset"], "closes", "ts", ["ts", "sequence"], forward=True, right_order="sequence", prefix="q_")
-    latest = hit.filter("q_ts IS NOT NULL").groupBy("asset", F.col("q_ts").alias("ts"), F.col("q_sequence").alias("sequence")).agg(
-        F.max_by(F.struct("entry", "exit"), "closes").alias("_d"))
+    if blocks.POSITION in quotes.columns:
+        found = stage(_first_at(closes, quotes, chapter_ends(quotes, ["asset"]), ["asset"], "closes", "q_rn"))
+        hit = quotes.select("asset", F.col("rn").alias("q_rn"), F.col("ts").alias("q_ts"), F.col("sequence").alias("q_sequence")).join(found, ["asset", "q_rn"])
+    else:
+        hit = asof.asof(closes, quotes, ["asset"], "closes", "ts", ["ts", "sequence"], forward=True, right_order="sequence", prefix="q_")
+    latest = stage(hit.filter("q_ts IS NOT NULL").groupBy("asset", F.col("q_ts").alias("ts"), F.col("q_sequence").alias("sequence")).agg(
+        F.max_by(F.struct("entry", "exit"), "closes").alias("_d")))
     j = quotes.join(latest, ["asset", "ts", "sequence"], "left")
     return j.select(*quotes.columns, F.coalesce("_d.entry", F.lit(False)).alias("entry"), F.coalesce("_d.exit", F.lit(False)).alias("exit"), F.col("_d").isNotNull().alias("decision"))
 
@@ -106,11 +136,6 @@ def quote_rows(quotes: DataFrame, keys: list[str], t: Terms) -> DataFrame:
     })).drop("_c", "_a", "_step", "_one")
 
 
-def _first_at(probes: DataFrame, rows: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """Position of the first row at or after a time."""
-    return asof.asof(probes, rows.select(*keys, "ts", "rn"), keys, at, "ts", ["rn"], forward=True, right_order="rn", prefix="_hit_").withColumnRenamed("_hit_rn", name)
-
-
 def _look(cands: DataFrame, rows: DataFrame, keys: list[str], at: str, fields: dict[str, str]) -> DataFrame:
     """Fetch columns of the row at a position."""
     r = rows.select(*keys, F.col("rn").alias(at), *[F.col(c).alias(n) for n, c in fields.items()])
@@ -124,13 +149,13 @@ def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 16)
     """
     ms = lambda c, n: F.timestamp_micros(micros(F.col(c)) + int(n) * 1000)
     later = lambda c, i: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.col(i) + 1))
-    last = rows.groupBy(*keys).agg(F.max("rn").alias("end"))
+    last, ends = rows.groupBy(*keys).agg(F.max("rn").alias("end")), chapter_ends(rows, keys)
     c = rows.filter("entry AND NOT exit").select(*keys, F.col("rn").alias("submit"), F.col("ts").alias("submit_ts"), "open_price", "stressed_bid", "stressed_ask")
     exits = rows.filter("exit").select(*keys, "rn")
     when = F.explode(F.array(F.struct(F.lit("ready").alias("kind"), ms("submit_ts", t.latency_ms + t.signal_delay_ms).alias("at")),
                              F.struct(F.lit("expires").alias("kind"), ms("submit_ts", t.order_ttl_ms).alias("at"))))
     probes = c.select(*keys, "submit", when.alias("w")).select(*keys, "submit", "w.*")
-    found = _first_at(probes, rows, keys, "at", "k").withColumn("k", later("k", "submit")).groupBy(*keys, "submit").pivot("kind", ["ready", "expires"]).agg(F.first("k"))
+    found = _first_at(probes, rows, ends, keys, "at", "k").withColumn("k", later("k", "submit")).groupBy(*keys, "submit").pivot("kind", ["ready", "expires"]).agg(F.first("k"))
     c = c.join(found, [*keys, "submit"], "left")
     c = asof.asof(c, exits, keys, "submit", "rn", ["rn"], forward=True, strict=True, positions=True, prefix="next_exit_")
     c = c.join(last, keys).withColumn("cancel", F.least("expires", "next_exit_rn"))
@@ -154,7 +179,7 @@ def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 16)
         f = f.withColumn("stop", F.col("entry_price") - t.direction * t.distance(F.col("entry_price"), t.stop_loss))
         f = f.withColumn("target", F.col("entry_price") + t.direction * t.distance(F.col("entry_price"), t.take_profit))
         if t.holding_unit == "milliseconds":
-            f = _first_at(f.withColumn("_due", ms("fill_ts", t.max_holding)), rows, keys, "_due", "timed").drop("_due")
+            f = _first_at(f.withColumn("_due", ms("fill_ts", t.max_holding)), rows, ends, keys, "_due", "timed").drop("_due")
         else:
             aged = rows.filter("decision").select(*keys, F.col("age").alias("_age"), F.col("rn").alias("timed"))
             f = f.withColumn("_age", F.col("fill_age") + t.max_holding).join(aged, [*keys, "_age"], "left").drop("_age")
@@ -182,7 +207,7 @@ def order_courses(rows: DataFrame, keys: list[str], t: Terms, bucket: int = 16)
     wait = F.lit(t.latency_ms) + F.when((F.col("reason").isin("condition", "max_holding")) & F.col("trigger_exit"), t.signal_delay_ms).otherwise(0)
     f = stage(f.withColumn("_ready", F.timestamp_micros(micros(F.col("trigger_ts")) + wait.cast("long") * 1000)))
     # Rows without a trigger have no time to look from; they end with the segment.
-    timed = _first_at(f.filter("trigger IS NOT NULL").select(*keys, "submit", "trigger", "_ready"), rows, keys, "_ready", "_x")
+    timed = _first_at(f.filter("trigger IS NOT NULL").select(*keys, "submit", "trigger", "_ready"), rows, ends, keys, "_ready", "_x")
     timed = timed.withColumn("_x", later("_x", "trigger")).select(*keys, "submit", "_x")
     f = f.join(timed, [*keys, "submit"], "left")
     at_once = F.col("reason") == "target_limit"
@@ -286,11 +311,24 @@ def order_events(book: DataFrame, keys: list[str]) -> DataFrame:
     return book.select(*keys, "submit", F.explode(made).alias("e")).select(*keys, "submit", "e.*")
 
 
+def _in_force(rows: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the last trade filled at or before it: a trade is laid out over the stretches of positions up to the next one's fill."""
+    fields = ["fill", "exit_at", "quantity", "entry_carry", "cash_open", "cash_after"]
+    until = F.coalesce(F.lead("fill").over(Window.partitionBy(*keys).orderBy("fill")) - 1, "end")
+    spans = trades.select(*keys, *[F.col(c).alias(f"t_{c}") for c in fields], until.alias("_until"))
+    spans = stage(spans.withColumn("_chapter", F.explode(F.sequence(F.floor(F.col("t_fill") / LOOKUP_ROWS), F.floor(F.col("_until") / LOOKUP_ROWS)))))
+    names = {c: f"_on_{c}" for c in [*keys, "_chapter"]}
+    own = rows.withColumn("_chapter", _chapter())
+    r = spans.withColumnsRenamed(names)
+    same = F.col("rn").between(F.col("t_fill"), F.col("_until"))
+    for c, o in names.items():
+        same = same & own[c].eqNullSafe(r[o])
+    return own.join(r, same, "left").drop(*names.values(), "_chapter", "_until")
+
+
 def liquidation_marks(rows: DataFrame, book: DataFrame, keys: list[str], t: Terms) -> DataFrame:
     """Value of the run at every quote if the position were closed there, costs included."""
-    trades = book.filter("result = 'trade'")
-    fields = ["fill", "exit_at", "quantity", "entry_carry", "cash_open", "cash_after"]
-    m = asof.asof(rows.select(*keys, "rn", "ts", "sequence", "close_price", "carry"), trades, keys, "rn", "fill", fields, positions=True, prefix="t_")
+    m = _in_force(rows.select(*keys, "rn", "ts", "sequence", "close_price", "carry"), book.filter("result = 'trade'"), keys)
     gross = F.col("t_quantity") * F.col("close_price")
     held = F.col("rn") < F.col("t_exit_at")
     value = F.col("t_cash_open") - F.col("t_quantity") * (F.col("carry") - F.col("t_entry_carry")) + t.direction * gross - gross * t.rate - t.fixed

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the map: 2 MB of words at most.
+#: Bits of the map: at most 2^18 rows of two numbers are broadcast, 4 MB.
 BITS = 24
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ class Settings:
 
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
+#: Features go to a member as 32-bit numbers, moved by this so that their order stays.
+SHIFT = 1 << 31
 #: Tokens whose features a task remembers: bounds its memory.
 KEPT = 150_000
 
@@ -140,31 +143,35 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), fold: in
     # at most max_positive + max_unlabelled ids, as expected numbers: small enough to send to every task
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled), "doc_id")
     members = F.when(F.col("kind") == 1, F.sequence(F.lit(0), F.lit(s.members - 1))).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(s.members)).cast("int")))
-    seen = picked.mapInArrow(_extract, "doc_id long, kind int, found array<long>").select("doc_id", "kind", "found", F.explode(members).alias("member"))
+    seen = picked.mapInArrow(_extract, "doc_id long, kind int, found array<int>").select("doc_id", "kind", "found", F.explode(members).alias("member"))
 
     def one(key, group):
-        group = group.sort_by([("kind", "ascending"), ("doc_id", "ascending")])
-        kinds = group["kind"].to_numpy()
-        flat = group["found"].combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # a member's documents are its task's memory: their features are neither sorted nor copied, only looked at in order
+        order = pa.compute.sort_indices(group.select(["kind", "doc_id"]), sort_keys=[("kind", "ascending"), ("doc_id", "ascending")]).to_numpy()
+        kinds = group["kind"].to_numpy()[order]
+        rows = [r for chunk in group["found"].chunks for r in _views(chunk)]
+        rows = [rows[i] for i in order]
         other, pos = [r for r, k in zip(rows, kinds, strict=True) if k == 0], [r for r, k in zip(rows, kinds, strict=True) if k == 1]
         if not pos or not other:
             return made.empty_table()
         f, w, bias = fit(pos, other, prior, s, key[0].as_py())
-        return pa.table({"member": [key[0].as_py()], "features": [f], "weights": [w], "bias": [bias]}, schema=made)
+        return pa.table({"member": [key[0].as_py()], "features": [f.astype(np.int64) + SHIFT], "weights": [w], "bias": [bias]}, schema=made)
 
     made = pa.schema([("member", pa.int32()), ("features", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())])
     rows = seen.groupBy("member").applyInArrow(one, "member int, features array<long>, weights array<double>, bias double").collect()
     return [(np.array(r.features, np.int64), np.array(r.weights), r.bias) for r in sorted(rows, key=lambda r: r.member)]
 
 
+def _views(lists: pa.ListArray) -> list[np.ndarray]:
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _extract(batches):
     cache = _Features()
     for batch in batches:
-        found = [features(t, cache) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["kind"].cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "kind", "found"])
+        found = [(features(t.as_py(), cache) - SHIFT).astype(np.int32) for t in batch["text"]]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["kind"].cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "kind", "found"])
 
 
 class _Effects(dict):

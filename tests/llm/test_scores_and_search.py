@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -58,6 +59,14 @@ def test_toxicity_without_toxic_labels(spark, docs_of):
     assert toxicity.score(docs_of([(1, "a")]), []).first().score == 0 and toxicity.score(docs_of([]), []).count() == 0
 
 
+def test_features_travel_as_32_bit_numbers_in_their_order():
+    texts = ["some words of a longer text", None, "words again"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "kind": [0, 1, 1], "text": texts})
+    found = next(toxicity._extract([batch]))["found"]
+    assert found.type == pa.list_(pa.int32())
+    assert [[x + toxicity.SHIFT for x in row] for row in found.to_pylist()] == [toxicity.features(t, toxicity._Features()).tolist() for t in texts]
+
+
 def test_risk_is_never_negative():
     toxic, other = [np.array([1, 2], np.int64)] * 40, [np.array([3], np.int64)] * 400
     f, w, b = toxicity.fit(toxic, other, 0.1, toxicity.Settings(steps=300), 0)

@@ -8,9 +8,9 @@ margin, are not looked at further; all others are decided on the full sets.
 
 Equal sets are one node from the start. No bucket is ever expanded into all its pairs: its members are first compared with its first
 document only, and then with one more of that document's component. What is in one component needs no more comparing. Only
-members still outside the first document's component are compared with the rest, each pair in the first bucket it shares, and of
-those pairs only the ones that neither longer sketches, folded from 1024 samples, nor the triangle inequality of the Jaccard
-distance (through the distances to the first document, already known) rule out.
+members still outside the first document's component are compared with the rest, and of those pairs only the ones that neither odd
+sketches of the whole sets, a sure bound, nor the triangle inequality of the Jaccard distance (through the distances to the first
+document, already known) rule out. Full sets are moved only for pairs that are still left.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from quotelake.session import stage
 
 from .common import lower_ascii_text, words_of
 from .components import components
+from .odd import odd_may_link, odd_sketch, sizes_fit
 from .rolling import WordHashes, window_hashes
-from .sieve import marked
+from .sieve import marked, repeats, without
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -38,10 +39,6 @@ ROWS = 4
 SKETCH_BITS = 512
 #: Samples that differ at the threshold toggle about 57 bits of 512, with a standard deviation of 8.6; this is 4.5 of them more.
 MOST_BITS = 95
-#: The longer sketches: samples, bits, and 4.5 standard deviations (25.7) above the 481 bits of a pair at the threshold.
-LONG_SAMPLES = 1024
-LONG_BITS = 8192
-LONG_MOST_BITS = 597
 PAIR_BATCH = 500
 BLOCK = 1 << 18
 
@@ -162,39 +159,32 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array([s for s, _ in shared], pa.int64()), pa.array([t - s for s, t in shared], pa.int64())], names=["a", "b", "both", "either"])
 
 
-def _long_sketches(batches):
-    """Odd sketches of the longer kind, from the full sets."""
-    rng = np.random.default_rng(11)
-    mult, plus = rng.integers(0, 1 << 62, LONG_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, LONG_SAMPLES, np.uint64)
-    at = np.arange(LONG_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _odd_sketches(batches):
+    """Sizes and odd sketches of full sets."""
     for batch in batches:
-        out = []
-        for data in batch["shingles"]:
-            x = _mixed(_long(data.as_buffer()))
-            least = np.full(LONG_SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-            for a in range(0, len(x), 512):
-                least = np.minimum(least, (x[a : a + 512, None] * mult + plus).min(axis=0))
-            bit = (_mixed(least + at) >> np.uint64(40)) % np.uint64(LONG_BITS)
-            out.append(np.packbits(np.bincount(bit.astype(np.int64), minlength=LONG_BITS).astype(np.uint8) & 1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(out, pa.list_(pa.int64()))], names=["uid", "long_sketch"])
+        sets = [_long(d.as_buffer()) for d in batch["shingles"]]
+        yield pa.RecordBatch.from_arrays([batch["uid"], pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64()))], names=["uid", "size", "odd"])
+
+
+def _sets_of(sets: DataFrame, numbers: DataFrame) -> DataFrame:
+    """uid and shingles of the rows with these numbers, and of few others: no set is shuffled for that."""
+    return marked(sets.select("uid", "shingles"), numbers).where("_maybe").select("uid", "shingles")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sizes of the intersection and union of each distinct pair's full sets. Written."""
-    a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("set_b"))
+    """The sizes of the intersection and union of each distinct pair's full sets. Written. Only sets that occur in a pair are moved."""
+    pairs = stage(pairs)
+    of = lambda c: _sets_of(sets, pairs.select(F.col(c).alias("uid"))).select(F.col("uid").alias(c), F.col("shingles").alias(f"set_{c}"))
     with _batches_of(pairs.sparkSession, PAIR_BATCH):
-        return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, both long, either long"))
+        return stage(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, both long, either long"))
 
 
 def _differing(x: str, y: str, bits: int):
     """Population count of the XOR of two sketches."""
-    if bits <= 512:
-        total = F.lit(0)
-        for i in range(bits // 64):
-            total = total + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
-        return total
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    words = F.lit(0)
+    for i in range(bits // 64):
+        words = words + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
+    return words
 
 
 def _is_node():
@@ -209,18 +199,19 @@ def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD
     usable = signed.where(_is_node())
     # equal sets are one node, named by the row of their smallest doc_id
     by_key = stage(usable.groupBy("key").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("key", "first.uid", "first.doc_id"))
-    placed = stage(usable.join(by_key.select("uid"), "uid").select("uid", F.posexplode("bands").alias("band", "bucket")))
+    placed = stage(without(usable.select("uid", "bands"), stage(repeats(usable, by_key))).select("uid", F.explode("bands").alias("bucket")))
     # two numbers a bucket: almost every bucket has one member, so these rows are as many as all members
     centres = stage(placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.count("*").alias("size")).where("size > 1"))
-    members = stage(placed.join(centres, "bucket").select("bucket", "band", "uid", "centre", "size"))
-    # only documents that share a bucket are looked at from here on
-    wanted = members.select("uid").distinct()
-    sets = stage(marked(usable.select("uid", "bands", "sketch", "shingles"), wanted).where("_maybe").drop("_maybe").join(wanted, "uid", "left_semi"))
+    members = stage(placed.join(centres, "bucket").select("bucket", "uid", "centre", "size"))
+    # only documents that share a bucket are looked at from here on, by their sketches before their sets
+    brief = stage(marked(usable.select("uid", F.col("n_shingles").alias("size"), "sketch"), members.select("uid")).where("_maybe").drop("_maybe"))
+    sets = stage(_sets_of(usable, members.select("uid")))  # read often, so without the sets of all others
     is_link = F.col("both") * 100 >= F.col("either") * threshold
-    sketch_of = lambda c: sets.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    fields = lambda df, c, x: df.select(F.col("uid").alias(c), F.col("size").alias(f"size_{c}"), F.col(x).alias(f"{x}_{c}"))
 
     stars = members.where("uid != centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
-    stars = _confirm(stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(_differing("sketch_a", "sketch_b", bits) <= most_bits).select("a", "b"), sets)
+    stars = stars.join(fields(brief, "a", "sketch"), "a").join(fields(brief, "b", "sketch"), "b").where(sizes_fit(threshold) & (_differing("sketch_a", "sketch_b", bits) <= most_bits))
+    stars = _confirm(stars.select("a", "b"), sets)
     linked = components(stars.where(is_link).select("a", "b"))
 
     def unsettled(linked: DataFrame) -> DataFrame:
@@ -232,14 +223,13 @@ def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD
 
     open_ = unsettled(linked)
     with _batches_of(docs.sparkSession, PAIR_BATCH):
-        longer = stage(sets.join(open_.select("uid").distinct(), "uid", "left_semi").select("uid", "shingles").mapInArrow(_long_sketches, "uid long, long_sketch array<long>"))
-    long_of = lambda c: longer.select(F.col("uid").alias(c), F.col("long_sketch").alias(f"long_{c}"))
+        odd = stage(_sets_of(sets, open_.select("uid")).mapInArrow(_odd_sketches, "uid long, size int, odd array<long>"))
 
     # a second star, around any other document of the centre's component
     inside = F.col("label") == F.col("centre_label")
     second = stage(open_.where(inside & (F.col("uid") != F.col("centre"))).groupBy("bucket").agg(F.min_by("uid", F.xxhash64("uid")).alias("b")))
     again = open_.where(~inside).select("bucket", F.col("uid").alias("a")).join(second, "bucket").select("a", "b").distinct()
-    again = _confirm(again.join(long_of("a"), "a").join(long_of("b"), "b").where(_differing("long_a", "long_b", LONG_BITS) <= LONG_MOST_BITS).select("a", "b"), sets)
+    again = _confirm(again.join(fields(odd, "a", "odd"), "a").join(fields(odd, "b", "odd"), "b").where(odd_may_link(threshold)).select("a", "b"), sets)
     star_links = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
     linked = components(star_links.unionByName(again.where(is_link).select("a", "b")))
 
@@ -247,18 +237,14 @@ def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD
     rest = (
         unsettled(linked).join(away, ["centre", "uid"], "left")
         .withColumn("away", F.when(F.col("uid") == F.col("centre"), 0.0).otherwise(F.col("away")))
-        .join(longer, "uid").join(sets.select("uid", "bands"), "uid"))
+        .select("bucket", "uid", "label", "centre_label", "away").join(odd, "uid"))
     rest = stage(rest)
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "away", "long_sketch", "bands")]
-    u = rest.where("label != centre_label").select("bucket", "band", *side("u"))
-    v = rest.select(F.col("bucket").alias("bucket_v"), *side("v"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("uid", "label", "away", "size", "odd")]
+    u = rest.where("label != centre_label").select("bucket", *side("a"))
+    v = rest.select(F.col("bucket").alias("bucket_b"), *side("b"))
     apart = 1 - threshold / 100 + 1e-9
-    pair = (
-        (F.col("label_u") != F.col("label_v")) & F.coalesce(F.abs(F.col("away_u") - F.col("away_v")) <= apart, F.lit(True))
-        & ~F.arrays_overlap(F.slice("bands_u", F.lit(1), F.col("band")), F.slice("bands_v", F.lit(1), F.col("band")))  # band counts from 0: those before
-        & (_differing("long_sketch_u", "long_sketch_v", LONG_BITS) <= LONG_MOST_BITS)
-    )
-    cross = u.join(v, (F.col("bucket") == F.col("bucket_v")) & pair).select(F.least("uid_u", "uid_v").alias("a"), F.greatest("uid_u", "uid_v").alias("b")).distinct()
+    pair = (F.col("label_a") != F.col("label_b")) & F.coalesce(F.abs(F.col("away_a") - F.col("away_b")) <= apart, F.lit(True)) & odd_may_link(threshold)
+    cross = u.join(v, (F.col("bucket") == F.col("bucket_b")) & pair).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct()
     more = _confirm(cross, sets).where(is_link).select("a", "b")
     final = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

@@ -19,3 +19,14 @@ def marked(rows: DataFrame, numbers: DataFrame, column: str = "uid", bits: int =
     words = numbers.select(F.shiftright(at, 6).alias("_word"), (at % 64).cast("int").alias("_at")).distinct().groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _at)")).alias("_bits"))
     held = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("_word"), "left")
     return held.withColumn("_maybe", F.coalesce(F.getbit("_bits", (at % 64).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
+
+
+def without(rows: DataFrame, numbers: DataFrame, column: str = "uid") -> DataFrame:
+    """rows whose number is not among ``numbers``, exactly; only those that the map can't tell are shuffled."""
+    held = marked(rows, numbers, column)
+    return held.where(~F.col("_maybe")).drop("_maybe").unionByName(held.where("_maybe").drop("_maybe").join(numbers, column, "left_anti"))
+
+
+def repeats(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The uid of each row that is not the first of its key; rows: key, uid; first: key, uid."""
+    return rows.select("key", "uid").join(first.select("key", F.col("uid").alias("_first")), "key").where(F.col("uid") != F.col("_first")).select("uid")

@@ -180,3 +180,31 @@ def test_buckets_are_counted_in_plain_numbers(docs_of, monkeypatch):
     got = near_dups.near_duplicates(docs_of([*docs, (90, docs[5][1] + " more"), (3, docs[9][1] + " more")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted([(i, i) for i in range(40) if i != 9] + [(90, 5), (3, 3), (9, 3)])
     assert len(plans) == 1 and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0] and "named_struct" not in plans[0] and "struct(" not in plans[0]
+
+
+def test_sets_move_only_for_pairs_that_may_link(docs_of, monkeypatch):
+    """A set that is in no pair is not shuffled for pairs; what sketches of whole sets rule out is not compared."""
+    compared, plans = [], []
+    real = near_dups._confirm
+
+    def noted(pairs, sets):
+        out = real(pairs, sets)
+        compared.append([(r.both, r.either) for r in out.collect()])
+        return out
+
+    def staged(df):
+        if df.columns == ["a", "b", "both", "either"]:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(near_dups, "_confirm", noted)
+    monkeypatch.setattr(near_dups, "stage", staged)
+    r = random.Random(3)
+    shared = [f"s{k}" for k in range(170)]
+    docs = [(i, " ".join([*shared, *(f"d{i}w{k}" for k in range(40))])) for i in range(40)]  # alike at 0.67: none links
+    docs += [(100 + i, " ".join([*shared[: 168 - i], *(f"e{k}" for k in range(40))])) for i in range(3)]
+    r.shuffle(docs)
+    got = {x.doc_id: x.component_id for x in near_dups.near_duplicates(docs_of(docs)).collect()}
+    assert got == {i: c for i, (_, c) in plain_components(docs).items()}
+    assert len(compared) == 3 and sum(100 * b < 72 * e for b, e in compared[1] + compared[2]) < 40  # of 780 pairs
+    assert len(plans) == 3 and all(p.count("getbit") >= 2 for p in plans)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quotelake.llm import near_dups
-from quotelake.llm.sieve import marked
+from quotelake.llm.sieve import marked, repeats, without
 
 
 def test_a_marked_row_may_be_wrong_but_no_number_is_missed(spark):
@@ -24,3 +24,11 @@ def test_rows_without_a_copy_are_not_moved(spark, docs_of):
         assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_without_leaves_exactly_the_others(spark):
+    rows = spark.range(3_000).withColumnRenamed("id", "uid")
+    gone = rows.where("uid % 7 = 2")
+    assert {r.uid for r in without(rows, gone).collect()} == {i for i in range(3_000) if i % 7 != 2}
+    keyed = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "key string, uid long")
+    assert [r.uid for r in repeats(keyed, keyed.where("uid != 2")).collect()] == [2]
